@@ -1,0 +1,45 @@
+"""Guarded ratios; division by zero is an error in ANSI mode."""
+
+from __future__ import annotations
+
+import math
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def ratio_or_zero(num: Column, den: Column) -> Column:
+    return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
+
+
+def f1(precision: Column, recall: Column) -> Column:
+    return ratio_or_zero(2 * precision * recall, precision + recall)
+
+
+def chi_square_tail(stat: float, df: int) -> float:
+    """P(X > stat) for a chi-square variable, as the finite sum that holds for whole df."""
+    if stat <= 0 or df < 1:
+        return 1.0
+    half = stat / 2
+    if df % 2 == 0:
+        total = term = 1.0
+        for j in range(1, df // 2):
+            term *= half / j
+            total += term
+        return min(1.0, math.exp(-half) * total)
+    tail = math.erfc(math.sqrt(half))
+    term = math.sqrt(half) * 2 / math.sqrt(math.pi)
+    for j in range(1, (df - 1) // 2 + 1):
+        tail += math.exp(-half) * term
+        term *= half / (j + 0.5)
+    return min(1.0, tail)
+
+
+@F.pandas_udf(T.DoubleType())
+def chi_square_p(stat: pd.Series, df: pd.Series) -> pd.Series:
+    """``chi_square_tail`` for tables with one row per test."""
+    return pd.Series([
+        None if pd.isna(s) else chi_square_tail(float(s), int(d)) for s, d in zip(stat, df)
+    ], dtype="float64")
