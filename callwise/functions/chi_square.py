@@ -1,23 +1,14 @@
-"""Guarded ratios; division by zero is an error in ANSI mode."""
+"""The chi-square tail probability, for tables with one row per test."""
 
 from __future__ import annotations
 
 import math
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def ratio_or_zero(num: Column, den: Column) -> Column:
-    return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
-
-
-def f1(precision: Column, recall: Column) -> Column:
-    return ratio_or_zero(2 * precision * recall, precision + recall)
-
-
 def chi_square_tail(stat: float, df: int) -> float:
     """P(X > stat) for a chi-square variable, as the finite sum that holds for whole df."""
     if stat <= 0 or df < 1:

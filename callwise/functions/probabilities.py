@@ -1,51 +1,53 @@
-"""Column expressions over an array of class probabilities.
+"""SQL expressions over an array of class probabilities.
 
-The array follows the sorted label list; expressions stay in the JVM.
+The array follows the sorted label list; everything stays in the JVM.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from callwise.functions.sqltext import texts
 
 
-def label_array(labels: Sequence[str]) -> Column:
-    return F.array(*[F.lit(x) for x in labels])
+def label_array(labels: Sequence[str]) -> str:
+    return f"array({texts(labels)})"
 
 
-def best_index(proba: Column) -> Column:
-    """0-based position of the largest probability; the first one on ties."""
-    return (F.array_position(proba, F.array_max(proba)) - 1).cast("int")
+def best_index(proba: str = "proba") -> str:
+    """1-based position of the largest probability; the first one on ties."""
+    return f"cast(array_position({proba}, array_max({proba})) AS int)"
 
 
-def predicted_label(proba: Column, labels: Sequence[str]) -> Column:
-    return F.element_at(label_array(labels), best_index(proba) + 1)
+def predicted_label(labels: Sequence[str], proba: str = "proba") -> str:
+    return f"element_at({label_array(labels)}, {best_index(proba)})"
 
 
-def confidence(proba: Column) -> Column:
-    return F.round(F.array_max(proba), 4)
+def confidence(proba: str = "proba") -> str:
+    return f"round(array_max({proba}), 4)"
 
 
-def probability_map(proba: Column, labels: Sequence[str]) -> Column:
-    return F.map_from_arrays(label_array(labels), F.transform(proba, lambda p: F.round(p, 4)))
+def probability_map(labels: Sequence[str], proba: str = "proba") -> str:
+    return f"map_from_arrays({label_array(labels)}, transform({proba}, p -> round(p, 4)))"
 
 
-def ranked(proba: Column, labels: Sequence[str]) -> Column:
+def ranked(labels: Sequence[str], proba: str = "proba") -> str:
     """Structs (p, i, label), best first; on ties the higher position comes first."""
-    names = label_array(labels)
-    paired = F.transform(proba, lambda p, i: F.struct(
-        p.alias("p"), i.alias("i"), F.get(names, i).alias("label")))
-    return F.reverse(F.array_sort(paired))
+    pairs = (f"transform({proba}, (p, i) -> "
+             f"struct(p AS p, i AS i, get({label_array(labels)}, i) AS label))")
+    return f"reverse(array_sort({pairs}))"
 
 
-def top_k_labels(proba: Column, labels: Sequence[str], k: int) -> Column:
-    return F.transform(F.slice(ranked(proba, labels), 1, k), lambda s: s["label"])
+def top_k_labels(labels: Sequence[str], k: int, proba: str = "proba") -> str:
+    return f"transform(slice({ranked(labels, proba)}, 1, {k}), s -> s.label)"
 
 
-def normalised(scores: Column) -> Column:
+def in_top_k(labels: Sequence[str], k: int, truth: str = "y_true", proba: str = "proba") -> str:
+    return f"array_contains({top_k_labels(labels, k, proba)}, {truth})"
+
+
+def normalised(scores: str) -> str:
     """Scores divided by their sum; equal shares where the sum is 0."""
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(scores, lambda x: F.when(total > 0, x / F.nullif(total, F.lit(0.0)))
-                       .otherwise(F.lit(1.0) / F.size(scores)))
+    total = f"aggregate({scores}, 0D, (acc, x) -> acc + x)"
+    return (f"transform({scores}, x -> coalesce(try_divide(x, nullif({total}, 0D)), "
+            f"1D / size({scores})))")

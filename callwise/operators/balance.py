@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callwise.functions.ratios import chi_square_p
+from callwise.functions.chi_square import chi_square_p
 
 RARE_PERCENT = 5.0
 
@@ -31,19 +31,14 @@ def class_summary(df: DataFrame, target: str = "next_step") -> DataFrame:
 
     With k classes of mean size m, the sum of (o - m)^2 / m is k * var_pop / m.
     """
-    row = class_percentages(df, target).agg(
-        F.count(F.lit(1)).alias("n_classes"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
-        F.min("n").alias("min_count"),
-        F.max("n").alias("max_count"),
-        F.coalesce(F.sum(F.col("rare").cast("long")), F.lit(0)).alias("n_rare"),
-        F.round(F.max("n") / F.greatest(F.min("n"), F.lit(1)), 2).alias("imbalance_ratio"),
-        F.try_divide(F.count(F.lit(1)) * F.var_pop("n"), F.avg("n")).alias("stat"),
-    )
-    df_ = F.col("n_classes") - 1
-    return row.withColumn("chi2_df", df_).withColumn(
-        "chi2_p", F.round(chi_square_p(F.col("stat"), df_), 6)
-    ).withColumn("chi2_stat", F.round("stat", 3)).drop("stat")
+    row = class_percentages(df, target).selectExpr(
+        "count(1) AS n_classes", "coalesce(sum(n), 0) AS total_rows", "min(n) AS min_count",
+        "max(n) AS max_count", "count_if(rare) AS n_rare",
+        "round(max(n) / greatest(min(n), 1), 2) AS imbalance_ratio",
+        "try_divide(count(1) * var_pop(n), avg(n)) AS stat", "count(1) - 1 AS chi2_df")
+    return row.withColumn("p", chi_square_p("stat", "chi2_df")).selectExpr(
+        "n_classes", "total_rows", "min_count", "max_count", "n_rare", "imbalance_ratio", "chi2_df",
+        "round(p, 6) AS chi2_p", "round(stat, 3) AS chi2_stat")
 
 
 def min_class_count(df: DataFrame, target: str = "next_step") -> DataFrame:

@@ -2,47 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callwise.config import DEFAULTS
+from callwise.functions.sqltext import text
 from callwise.plans.sequence import ROWS_PER_SLICE, sequence_columns
 
 _FIELDS = ("lead_id", "call_number", "interaction_id", "prev_outcome", "prev_next_step",
            "next_step", "days_since_entry", "days_since_last_call")
 
 
-def _found(rule: str, hit: Column, expected: Column, found: Column) -> Column:
-    return F.when(hit, F.struct(
-        F.lit(rule).alias("rule"), expected.cast("string").alias("expected"),
-        found.cast("string").alias("found")))
+def _found(rule: str, hit: str, expected: str, found: str) -> str:
+    return (f"CASE WHEN {hit} THEN struct('{rule}' AS rule, cast({expected} AS string) AS expected, "
+            f"cast({found} AS string) AS found) END")
 
 
-def _first_prev(sentinel: str) -> Column:
-    prev = F.col("prev_outcome")
-    hit = (F.col("call_number") == 1) & prev.isNotNull() & ~prev.isin(sentinel, "")
-    return _found("wrong_prev_outcome_first_call", hit, F.lit(sentinel), prev)
+def _first_prev(sentinel: str) -> str:
+    hit = f"call_number = 1 AND prev_outcome NOT IN ({text(sentinel)}, '')"
+    return _found("wrong_prev_outcome_first_call", hit, text(sentinel), "prev_outcome")
 
 
-def _first_days() -> Column:
-    days = F.col("days_since_last_call")
-    return _found("nonzero_days_first_call", (F.col("call_number") == 1) & (days != 0), F.lit("0"), days)
+_FIRST_DAYS = _found(
+    "nonzero_days_first_call", "call_number = 1 AND days_since_last_call <> 0", "'0'", "days_since_last_call")
+_STEP_MISMATCH = _found(
+    "next_step_prev_mismatch", "step_before <> prev_next_step", "step_before", "prev_next_step")
+_DAYS_ORDER = _found(
+    "days_since_entry_lt_last_call", "days_since_entry < days_since_last_call",
+    "days_since_last_call", "days_since_entry")
 
 
-def _step_mismatch() -> Column:
-    return _found("next_step_prev_mismatch", F.col("step_before") != F.col("prev_next_step"),
-                  F.col("step_before"), F.col("prev_next_step"))
-
-
-def _days_order() -> Column:
-    entry, last = F.col("days_since_entry"), F.col("days_since_last_call")
-    return _found("days_since_entry_lt_last_call", entry < last, last, entry)
-
-
-def _report(df: DataFrame, *rules: Column) -> DataFrame:
-    hits = F.array_compact(F.array(*rules))
-    return df.select("lead_id", "call_number", F.explode(hits).alias("v")).select(
-        "lead_id", "call_number", "v.rule", "v.expected", "v.found")
+def _report(df: DataFrame, *rules: str) -> DataFrame:
+    return df.selectExpr(
+        "lead_id", "call_number", f"explode(array_compact(array({', '.join(rules)}))) AS v"
+    ).select("lead_id", "call_number", "v.rule", "v.expected", "v.found")
 
 
 def wrong_first_outcome(df: DataFrame, sentinel: str = DEFAULTS.sentinel) -> DataFrame:
@@ -50,23 +43,23 @@ def wrong_first_outcome(df: DataFrame, sentinel: str = DEFAULTS.sentinel) -> Dat
 
 
 def nonzero_first_days(df: DataFrame) -> DataFrame:
-    return _report(df, _first_days())
+    return _report(df, _FIRST_DAYS)
 
 
 def entry_before_last_call(df: DataFrame) -> DataFrame:
-    return _report(df, _days_order())
+    return _report(df, _DAYS_ORDER)
 
 
 def _with_step_before(df: DataFrame, rows_per_slice: int) -> DataFrame:
     return sequence_columns(
-        df.where(F.col("lead_id").isNotNull()), ["lead_id"], ["call_number", "interaction_id"],
+        df.where("lead_id IS NOT NULL"), ["lead_id"], ["call_number", "interaction_id"],
         lags={"step_before": "next_step"}, rows_per_slice=rows_per_slice)
 
 
 def step_mismatch(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Calls whose previous step is not the step of the call sorted before them."""
     narrow = df.select("lead_id", "call_number", "interaction_id", "next_step", "prev_next_step")
-    return _report(_with_step_before(narrow, rows_per_slice), _step_mismatch())
+    return _report(_with_step_before(narrow, rows_per_slice), _STEP_MISMATCH)
 
 
 def violations(df: DataFrame, sentinel: str = DEFAULTS.sentinel,
@@ -78,10 +71,9 @@ def violations(df: DataFrame, sentinel: str = DEFAULTS.sentinel,
     """
     rows = df.select(*_FIELDS)
     ordered = _with_step_before(rows, rows_per_slice).select(*_FIELDS, "step_before")
-    alone = rows.where(F.col("lead_id").isNull()).withColumn(
+    alone = rows.where("lead_id IS NULL").withColumn(
         "step_before", F.lit(None).cast("string"))
-    return _report(ordered.unionByName(alone), _first_prev(sentinel), _first_days(),
-                   _step_mismatch(), _days_order())
+    return _report(ordered.unionByName(alone), _first_prev(sentinel), _FIRST_DAYS, _STEP_MISMATCH, _DAYS_ORDER)
 
 
 def coherence_report(df: DataFrame, sentinel: str = DEFAULTS.sentinel,

@@ -8,7 +8,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callwise.functions.ratios import chi_square_p
+from callwise.functions.chi_square import chi_square_p
+from callwise.functions.sqltext import name, text
 from callwise.plans.sequence import ROWS_PER_SLICE, values_below
 
 
@@ -18,20 +19,15 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     One aggregate pass for all pairs; null where a column is constant.
     """
     pairs = list(combinations_with_replacement(columns, 2))
-    found = []
+    found, cells = [], []
     for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x = F.when(both, F.col(a).cast("double"))
-        y = F.when(both, F.col(b).cast("double"))
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        found.append(F.round(r, 4).alias(f"r{i}"))
-    one = df.agg(*found)
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            cells.append(F.struct(F.lit(left).alias("col_a"), F.lit(right).alias("col_b"),
-                                  F.col(f"r{i}").alias("r")))
-    return one.select(F.inline(F.array(*cells)))
+        x, y = f"cast({name(a)} AS double)", f"cast({name(b)} AS double)"
+        both = f"FILTER (WHERE {name(a)} IS NOT NULL AND {name(b)} IS NOT NULL)"
+        spread = f"stddev_pop({x}) {both} * stddev_pop({y}) {both}"
+        found.append(F.expr(f"round(try_divide(covar_pop({x}, {y}) {both}, {spread}), 4)").alias(f"r{i}"))
+        cells += [f"struct({text(left)} AS col_a, {text(right)} AS col_b, r{i} AS r)"
+                  for left, right in sorted({(a, b), (b, a)})]
+    return df.agg(*found).selectExpr(f"inline(array({', '.join(cells)}))")
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str,
@@ -42,34 +38,25 @@ def kruskal_wallis(df: DataFrame, value: str, group: str,
     average rank of a value is the number of lower rows plus (t + 1) / 2 for t
     rows that share it, and the lower rows come from a sliced prefix sum.
     """
-    counts = (
-        df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("v"), F.col(group).alias("g"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = df.where(f"{name(value)} IS NOT NULL AND {name(group)} IS NOT NULL").selectExpr(
+        f"cast({name(value)} AS double) AS v", f"{name(group)} AS g"
+    ).groupBy("v", "g").agg(F.expr("count(1)").alias("n"))
     # At most one entry per class in each list.
     per_value = counts.groupBy("v").agg(
-        F.sum("n").alias("t"), F.collect_list(F.struct("g", "n")).alias("parts"))
+        F.expr("sum(n)").alias("t"), F.expr("collect_list(struct(g, n))").alias("parts"))
     ranked = values_below(per_value, "v", "t", "below", rows_per_slice)
-    t = F.col("t").cast("double")
-    rank = F.col("below") + (t + 1) / 2
-    per_group = ranked.select(
-        F.inline("parts"), rank.alias("rank"),
-        ((t * t * t - t) / F.size("parts")).alias("tie"),
+    per_group = ranked.selectExpr(
+        "inline(parts)", "below + (t + 1) / 2 AS rank",
+        "(cast(t AS double) * t * t - t) / size(parts) AS tie",
     ).groupBy("g").agg(
-        F.sum("n").alias("n"), F.sum(F.col("rank") * F.col("n")).alias("rank_sum"),
-        F.sum("tie").alias("tie"),
-    )
-    totals = per_group.agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").cast("double").alias("total"), F.sum("tie").alias("tie"),
-        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("spread"),
-    )
-    n = F.col("total")
-    h = F.try_divide(
-        F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("spread") - 3 * (n + 1),
-        1 - F.try_divide(F.col("tie"), n * n * n - n))
-    out = totals.select((F.col("k") - 1).alias("df"), n.cast("long").alias("n_rows"), h.alias("h"))
-    out = out.withColumn("p_raw", chi_square_p("h", "df"))
-    return out.select(
-        "n_rows", "df", F.round("h", 3).alias("h_stat"), F.round("p_raw", 6).alias("p_value"),
-        F.coalesce(F.col("p_raw") < 0.05, F.lit(False)).alias("significant"))
+        F.expr("sum(n)").alias("n"), F.expr("sum(rank * n)").alias("rank_sum"), F.expr("sum(tie)").alias("tie"))
+    totals = per_group.selectExpr(
+        "count(1) - 1 AS df", "cast(sum(n) AS double) AS total", "sum(tie) AS tie",
+        "sum(rank_sum * rank_sum / n) AS spread")
+    h = ("try_divide(try_divide(12D, total * (total + 1)) * spread - 3 * (total + 1), "
+         "1 - try_divide(tie, total * total * total - total))")
+    tested = totals.selectExpr("df", "cast(total AS bigint) AS n_rows", f"{h} AS h").withColumn(
+        "p_raw", chi_square_p("h", "df"))
+    return tested.selectExpr(
+        "n_rows", "df", "round(h, 3) AS h_stat", "round(p_raw, 6) AS p_value",
+        "coalesce(p_raw < 0.05, false) AS significant")

@@ -8,180 +8,154 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callwise.functions import probabilities as P
-from callwise.functions.ratios import f1, ratio_or_zero
+from callwise.functions.sqltext import text
 
 
 def with_prediction(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
-    return scored.withColumns({
-        "y_pred": P.predicted_label(F.col("proba"), labels),
-        "confidence": P.confidence(F.col("proba")),
-    })
+    return scored.selectExpr("*", f"{P.predicted_label(labels)} AS y_pred", f"{P.confidence()} AS confidence")
 
 
 def with_top_k(scored: DataFrame, labels: Sequence[str], k: int = 3) -> DataFrame:
-    return scored.withColumn("top_labels", P.top_k_labels(F.col("proba"), labels, k))
+    return scored.selectExpr("*", f"{P.top_k_labels(labels, k)} AS top_labels")
 
 
 def probabilities_long(scored: DataFrame, labels: Sequence[str], key: str) -> DataFrame:
     """One row per scored row and label: place 1 is the best, probability to four decimals."""
-    ranked = P.ranked(F.col("proba"), labels)
-    return scored.select(key, F.posexplode(ranked).alias("pos", "r")).select(
-        key, (F.col("pos") + 1).alias("place"), F.col("r.label").alias("label"),
-        F.round("r.p", 4).alias("probability"))
+    return scored.selectExpr(key, f"posexplode({P.ranked(labels)}) AS (pos, r)").selectExpr(
+        key, "pos + 1 AS place", "r.label AS label", "round(r.p, 4) AS probability")
 
 
-def _squared_error(labels: Sequence[str]) -> Column:
-    return F.array(*[
-        F.sum(F.pow(F.get("proba", F.lit(i)) - (F.col("y_true") == x).cast("double"), F.lit(2.0)))
-        for i, x in enumerate(labels)
-    ])
+def _squared_error(labels: Sequence[str]) -> list[str]:
+    return [f"sum(pow(proba[{i}] - cast(y_true = {text(x)} AS double), 2))" for i, x in enumerate(labels)]
 
 
 def label_cells(scored: DataFrame, labels: Sequence[str], k: int = 3) -> DataFrame:
     """Per (true, predicted): rows, top-k hits and summed squared error of each class."""
-    rows = scored.withColumn("y_pred", P.predicted_label(F.col("proba"), labels))
-    hit = F.array_contains(P.top_k_labels(F.col("proba"), labels, k), F.col("y_true"))
+    rows = scored.selectExpr("y_true", "proba", f"{P.predicted_label(labels)} AS y_pred",
+                             f"cast({P.in_top_k(labels, k)} AS bigint) AS hit")
     return rows.groupBy("y_true", "y_pred").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(hit.cast("long")).alias("hits"),
-        _squared_error(labels).alias("sq"))
+        F.expr("count(1)").alias("n"), F.expr("sum(hit)").alias("hits"),
+        *[F.expr(e).alias(f"sq{i}") for i, e in enumerate(_squared_error(labels))])
 
 
 def _label_totals(scored: DataFrame, labels: Sequence[str], k: int) -> DataFrame:
     """Per class of the full list: support, predicted, true positives, hits, squared errors."""
     cells = label_cells(scored, labels, k)
-    none = F.array(*[F.lit(0.0) for _ in labels])
-
-    def part(label, support, predicted, tp, hits, sq):
-        return F.struct(
-            label.alias("label"), support.cast("long").alias("support"),
-            predicted.cast("long").alias("predicted"), tp.cast("long").alias("tp"),
-            hits.cast("long").alias("hits"), sq.alias("sq"))
-
-    zero = F.lit(0)
-    right = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
-    seen = cells.select(F.inline(F.array(
-        part(F.col("y_true"), F.col("n"), zero, right, F.col("hits"), F.col("sq")),
-        part(F.col("y_pred"), zero, F.col("n"), zero, zero, none))))
-    listed = scored.sparkSession.range(1).select(F.inline(F.array(*[
-        part(F.lit(x), zero, zero, zero, zero, none) for x in labels])))
-    return seen.unionByName(listed).groupBy("label").agg(
-        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
-        F.sum("tp").alias("tp"), F.sum("hits").alias("hits"),
-        *[F.sum(F.get("sq", F.lit(i))).alias(f"sq{i}") for i in range(len(labels))])
+    sq = [f"sq{i}" for i in range(len(labels))]
+
+    def part(label: str, support: str, predicted: str, tp: str, hits: str, errors: Sequence[str]) -> str:
+        return (f"struct({label} AS label, cast({support} AS bigint) AS support, "
+                f"cast({predicted} AS bigint) AS predicted, cast({tp} AS bigint) AS tp, "
+                f"cast({hits} AS bigint) AS hits, {', '.join(f'{e} AS {s}' for e, s in zip(errors, sq))})")
+
+    none = ["0D"] * len(labels)
+    parts = [part("y_true", "n", "0", "if(y_true = y_pred, n, 0)", "hits", sq),
+             part("y_pred", "0", "n", "0", "0", none)]
+    listed = [part(text(x), "0", "0", "0", "0", none) for x in labels]
+    seen = cells.selectExpr(f"inline(array({', '.join(parts)}))")
+    empty = scored.sparkSession.range(1).selectExpr(f"inline(array({', '.join(listed)}))")
+    return seen.unionByName(empty).groupBy("label").agg(
+        *[F.expr(f"sum({c})").alias(c) for c in ("support", "predicted", "tp", "hits", *sq)])
 
 
 def _with_scores(totals: DataFrame) -> DataFrame:
-    precision = ratio_or_zero(F.col("tp"), F.col("predicted"))
-    recall = ratio_or_zero(F.col("tp"), F.col("support"))
-    return totals.withColumn("precision", precision).withColumn("recall", recall).withColumn(
-        "f1", f1(F.col("precision"), F.col("recall")))
+    return totals.selectExpr(
+        "*", "coalesce(try_divide(tp, predicted), 0D) AS precision",
+        "coalesce(try_divide(tp, support), 0D) AS recall",
+        "coalesce(try_divide(2 * tp, support + predicted), 0D) AS f1")
 
 
-def per_class_metrics(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Precision, recall, F1 and support of every class in the list, 0 where absent."""
-    table = _with_scores(_label_totals(scored, labels, k=1))
-    return table.select("label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
+SCORES = ("precision", "recall", "f1")
+_PRESENT = "support + predicted > 0"
 
 
-def _present() -> Column:
-    return (F.col("support") > 0) | (F.col("predicted") > 0)
+def _macro(c: str) -> str:
+    return f"avg({c}) FILTER (WHERE {_PRESENT})"
 
 
-def _macro(c: str) -> Column:
-    return F.avg(F.when(_present(), F.col(c)))
+def _weighted(c: str) -> str:
+    return f"coalesce(try_divide(sum({c} * support), sum(support)), 0D)"
 
 
-def _weighted(c: str) -> Column:
-    return ratio_or_zero(F.sum(F.col(c) * F.col("support")), F.sum("support"))
+_ACCURACY = "coalesce(try_divide(sum(tp), sum(support)), 0D)"
 
 
-def _accuracy() -> Column:
-    return ratio_or_zero(F.sum("tp"), F.sum("support"))
+def per_class_metrics(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Precision, recall, F1 and support of every class in the list, 0 where absent."""
+    return _with_scores(_label_totals(scored, labels, k=1)).selectExpr(
+        "label", *[f"round({c}, 4) AS {c}" for c in SCORES], "support")
 
 
 def eval_summary(scored: DataFrame, labels: Sequence[str], k: int = 3, digits: int = 4) -> DataFrame:
     """One row with all headline metrics."""
-    table = _with_scores(_label_totals(scored, labels, k))
-    brier = [ratio_or_zero(F.sum(f"sq{i}"), F.sum("support")) for i in range(len(labels))]
-    total = brier[0]
-    for b in brier[1:]:
-        total = total + b
+    total_error = " + ".join(f"sum(sq{i})" for i in range(len(labels)))
     values = {
-        "accuracy": _accuracy(),
+        "accuracy": _ACCURACY,
         "f1_macro": _macro("f1"), "f1_weighted": _weighted("f1"),
         "precision_macro": _macro("precision"), "precision_weighted": _weighted("precision"),
         "recall_macro": _macro("recall"), "recall_weighted": _weighted("recall"),
-        f"top{k}_accuracy": ratio_or_zero(F.sum("hits"), F.sum("support")),
-        "brier_score_avg": total / len(labels),
+        f"top{k}_accuracy": "coalesce(try_divide(sum(hits), sum(support)), 0D)",
+        "brier_score_avg": f"coalesce(try_divide({total_error}, sum(support) * {len(labels)}), 0D)",
     }
-    return table.agg(F.sum("support").alias("n_rows"),
-                     *[F.round(v, digits).alias(name) for name, v in values.items()])
+    return _with_scores(_label_totals(scored, labels, k)).agg(
+        F.expr("sum(support)").alias("n_rows"),
+        *[F.expr(f"round({v}, {digits})").alias(n) for n, v in values.items()])
 
 
 def topk_accuracy(scored: DataFrame, labels: Sequence[str], k: int = 3) -> DataFrame:
-    hit = F.array_contains(P.top_k_labels(F.col("proba"), labels, k), F.col("y_true"))
-    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(hit.cast("long")).alias("hits"),
-                      F.round(F.avg(hit.cast("double")), 4).alias("topk_accuracy"))
+    return scored.selectExpr(f"cast({P.in_top_k(labels, k)} AS bigint) AS hit").selectExpr(
+        "count(1) AS n_rows", "sum(hit) AS hits", "round(avg(hit), 4) AS topk_accuracy")
 
 
 def classification_report(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Rows per present class, then accuracy, macro and weighted averages."""
     table = _with_scores(_label_totals(scored, labels, k=1))
-    rounded = [F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")]
-    classes = table.where(_present()).select("label", *rounded, "support")
+    classes = table.where(_PRESENT).selectExpr("label", *[f"round({c}, 4) AS {c}" for c in SCORES], "support")
     averages = table.agg(
-        F.sum("support").alias("support"), _accuracy().alias("acc"),
-        *[_macro(c).alias(f"m_{c}") for c in ("precision", "recall", "f1")],
-        *[_weighted(c).alias(f"w_{c}") for c in ("precision", "recall", "f1")])
+        F.expr("sum(support)").alias("support"), F.expr(_ACCURACY).alias("acc"),
+        *[F.expr(_macro(c)).alias(f"m_{c}") for c in SCORES],
+        *[F.expr(_weighted(c)).alias(f"w_{c}") for c in SCORES])
 
-    def line(name, p, r, f):
-        return F.struct(F.lit(name).alias("label"), F.round(p, 4).alias("precision"),
-                        F.round(r, 4).alias("recall"), F.round(f, 4).alias("f1"),
-                        F.col("support").alias("support"))
+    def line(title: str, columns: Sequence[str]) -> str:
+        values = ", ".join(f"round({v}, 4) AS {c}" for v, c in zip(columns, SCORES))
+        return f"struct('{title}' AS label, {values}, support AS support)"
 
-    summary = averages.select(F.inline(F.array(
-        line("accuracy", F.col("acc"), F.col("acc"), F.col("acc")),
-        line("macro avg", F.col("m_precision"), F.col("m_recall"), F.col("m_f1")),
-        line("weighted avg", F.col("w_precision"), F.col("w_recall"), F.col("w_f1")))))
-    return classes.unionByName(summary)
+    lines = [line("accuracy", ["acc"] * 3), line("macro avg", [f"m_{c}" for c in SCORES]),
+             line("weighted avg", [f"w_{c}" for c in SCORES])]
+    return classes.unionByName(averages.selectExpr(f"inline(array({', '.join(lines)}))"))
 
 
 def brier_scores(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Mean squared error of each class's probability, one against the rest, and their mean."""
-    one = scored.agg(F.count(F.lit(1)).alias("n"), _squared_error(labels).alias("sq"))
-    per = F.transform(F.col("sq"), lambda s: s / F.col("n"))
-    names = F.array(*[F.lit(x) for x in labels], F.lit("(mean)"))
-    mean = F.aggregate(per, F.lit(0.0), lambda a, x: a + x) / len(labels)
-    values = F.concat(per, F.array(mean))
-    return one.select(F.inline(F.arrays_zip(names.alias("label"), values.alias("brier")))).toDF(
-        "label", "brier").withColumn("brier", F.round("brier", 6))
+    one = scored.agg(F.expr("count(1)").alias("n"),
+                     *[F.expr(e).alias(f"sq{i}") for i, e in enumerate(_squared_error(labels))])
+    lines = [f"struct({text(x)} AS label, try_divide(sq{i}, n) AS brier)" for i, x in enumerate(labels)]
+    total = " + ".join(f"sq{i}" for i in range(len(labels)))
+    lines.append(f"struct('(mean)' AS label, try_divide({total}, n * {len(labels)}) AS brier)")
+    return one.selectExpr(f"inline(array({', '.join(lines)}))").selectExpr("label", "round(brier, 6) AS brier")
 
 
 def confusion_matrix(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Every pair of listed classes: count, and share of the true class's rows (null if none)."""
-    rows = scored.withColumn("y_pred", P.predicted_label(F.col("proba"), labels))
+    columns = [f"n{i}" for i in range(len(labels))]
+    rows = scored.selectExpr("y_true", f"{P.predicted_label(labels)} AS y_pred")
     counts = rows.groupBy("y_true").agg(*[
-        F.count(F.when(F.col("y_pred") == x, 1)).alias(f"n{i}") for i, x in enumerate(labels)])
-    zero = rows.sparkSession.range(1).select(F.explode(P.label_array(labels)).alias("y_true")).select(
-        "y_true", *[F.lit(0).cast("long").alias(f"n{i}") for i in range(len(labels))])
-    full = counts.unionByName(zero).groupBy("y_true").agg(
-        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(labels))])
-    support = F.expr(" + ".join(f"n{i}" for i in range(len(labels))))
-    return full.withColumn("support", support).select("y_true", F.inline(F.array(*[
-        F.struct(F.lit(x).alias("y_pred"), F.col(f"n{i}").alias("n"),
-                 F.round(F.try_divide(F.col(f"n{i}").cast("double"), F.col("support").cast("double")), 4)
-                 .alias("row_share"))
-        for i, x in enumerate(labels)])))
+        F.expr(f"count_if(y_pred = {text(x)})").alias(c) for c, x in zip(columns, labels)])
+    zero = rows.sparkSession.range(1).selectExpr(
+        f"explode({P.label_array(labels)}) AS y_true", *[f"0L AS {c}" for c in columns])
+    full = counts.unionByName(zero).groupBy("y_true").agg(*[F.expr(f"sum({c})").alias(c) for c in columns])
+    cells = [f"struct({text(x)} AS y_pred, {c} AS n, round(try_divide({c}, {' + '.join(columns)}), 4) AS row_share)"
+             for c, x in zip(columns, labels)]
+    return full.selectExpr("y_true", f"inline(array({', '.join(cells)}))")
 
 
 def label_distribution(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Rows per class in truth and in prediction, 0 where a class is absent."""
-    return _label_totals(scored, labels, k=1).select(
-        "label", F.col("support").alias("n_true"), F.col("predicted").alias("n_pred"))
+    return _label_totals(scored, labels, k=1).selectExpr("label", "support AS n_true", "predicted AS n_pred")
 
 
 def calibration_bins(scored: DataFrame, labels: Sequence[str], n_bins: int = 10) -> DataFrame:
@@ -190,17 +164,14 @@ def calibration_bins(scored: DataFrame, labels: Sequence[str], n_bins: int = 10)
     A probability on an edge counts for the lower bin; empty bins are left out.
     """
     step = 1.0 / n_bins
-    edges = F.array(*[F.lit(i * step) for i in range(1, n_bins)])
-    long = scored.select("y_true", F.posexplode("proba").alias("i", "p"))
-    label = F.get(P.label_array(labels), F.col("i"))
-    binned = long.select(
-        label.alias("label"), "p", (F.col("y_true") == label).cast("double").alias("hit"),
-        F.size(F.filter(edges, lambda e: e < F.col("p"))).alias("bin"))
+    edges = ", ".join(f"{i * step!r}D" for i in range(1, n_bins))
+    binned = scored.selectExpr("y_true", "posexplode(proba) AS (i, p)").selectExpr(
+        f"get({P.label_array(labels)}, i) AS label", "y_true", "p",
+        f"cast(size(filter(array({edges}), e -> e < p)) AS bigint) AS bin")
     bins = binned.groupBy("label", "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("hit").alias("share"),
-        F.sum("hit").alias("positives"))
+        F.expr("count(1)").alias("n"), F.expr("avg(p)").alias("mean_p"),
+        F.expr("count_if(y_true = label)").alias("positives"))
     # At most n_bins rows per class.
-    occurs = F.sum("positives").over(Window.partitionBy("label"))
-    return bins.withColumn("occurs", occurs).where(F.col("occurs") > 0).select(
-        "label", F.col("bin").cast("long").alias("bin"), "n",
-        F.round("mean_p", 6).alias("mean_predicted"), F.round("share", 6).alias("fraction_positive"))
+    return bins.withColumn("occurs", F.expr("sum(positives) OVER (PARTITION BY label)")).where(
+        "occurs > 0").selectExpr("label", "bin", "n", "round(mean_p, 6) AS mean_predicted",
+                                 "round(positives / n, 6) AS fraction_positive")

@@ -20,6 +20,8 @@ TEXTS = ("current_transcript", "context_text")
 
 def scale_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of each column; deviation 1 for a constant. One job."""
+    if not columns:
+        return {}
     row = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns],
                  *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     return {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in columns}

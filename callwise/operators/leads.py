@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callwise.config import COLD_SOURCE, DEFAULTS, INBOUND_SOURCES, STATUS_PRIOR
+from callwise.functions.sqltext import name, text, texts
 
 # Employee counts that move the prior.
 LARGE_COMPANY, SMALL_COMPANY = 500, 50
@@ -23,48 +24,38 @@ def lead_to_rows(records: DataFrame, calls: str = "calls", entry: str = "entry_d
     one day. A record is one row, so its days are summed inside the row: no
     shuffle, and records that share a lead id stay apart.
     """
-    gap = lambda c: F.greatest(
-        F.lit(1), F.coalesce(c["days_until_next_call"], F.lit(DEFAULT_GAP)))
-    start = F.struct(F.col(offset).cast("int").alias("day"), F.array().cast("array<int>").alias("days"))
-    walked = F.aggregate(
-        F.col(calls), start,
-        lambda acc, c: F.struct((acc["day"] + gap(c)).cast("int").alias("day"),
-                                F.array_append(acc["days"], acc["day"]).alias("days")))
-    kept = [c for c in records.columns if c not in (calls, entry, offset)]
-    days = records.withColumn("__days", walked["days"])
-    previous = F.get(F.col(calls), F.col("pos") - 1)
-    rows = days.select("*", F.posexplode(calls).alias("pos", "call")).select(
-        *kept, F.col(entry).alias("lead_entry_date"),
-        (F.col("pos") + 1).cast("int").alias("call_number"),
-        F.get("__days", F.col("pos")).alias("days_since_entry"),
-        F.when(F.col("pos") == 0, 0).otherwise(
-            F.get("__days", F.col("pos")) - F.get("__days", F.col("pos") - 1)
-        ).alias("days_since_last_call"),
-        previous["outcome"].alias("prev_outcome"), previous["next_step"].alias("prev_next_step"),
-        F.col("call.transcript").alias("current_transcript"),
-        F.col("call.outcome").alias("current_outcome"), F.col("call.next_step").alias("next_step"))
-    blank = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(sentinel))
-    return rows.withColumns({
-        "call_timestamp": F.date_add("lead_entry_date", F.col("days_since_entry")),
-        "prev_outcome": blank("prev_outcome"), "prev_next_step": blank("prev_next_step")})
+    gap = f"greatest(1, coalesce(c.days_until_next_call, {DEFAULT_GAP}))"
+    walked = (
+        f"aggregate({name(calls)}, struct(cast({name(offset)} AS int) AS day, cast(array() AS array<int>) AS days), "
+        f"(acc, c) -> struct(acc.day + {gap} AS day, array_append(acc.days, acc.day) AS days)).days")
+    kept = [name(c) for c in records.columns if c not in (calls, entry, offset)]
+    rows = records.selectExpr(
+        *kept, f"{name(entry)} AS lead_entry_date", f"{name(calls)} AS all_calls", f"{walked} AS days"
+    ).selectExpr("*", "posexplode(all_calls) AS (pos, call)")
+    before = lambda field: (
+        f"coalesce(nullif(get(all_calls, pos - 1).{field}, ''), {text(sentinel)})")
+    return rows.selectExpr(
+        *kept, "lead_entry_date", "pos + 1 AS call_number",
+        "date_add(lead_entry_date, days[pos]) AS call_timestamp", "days[pos] AS days_since_entry",
+        "coalesce(days[pos] - get(days, pos - 1), 0) AS days_since_last_call",
+        f"{before('outcome')} AS prev_outcome", f"{before('next_step')} AS prev_next_step",
+        "call.transcript AS current_transcript", "call.outcome AS current_outcome", "call.next_step AS next_step")
 
 
 def journey_prior(leads: DataFrame, employees: str = "company_num_employees",
                   source: str = "lead_source") -> DataFrame:
     """Add the prior of each final status, moved by company size and lead source."""
-    size, origin = F.col(employees), F.col(source)
-    converted = (
-        F.lit(STATUS_PRIOR["Converted"])
-        * F.when(size >= LARGE_COMPANY, 1.5).otherwise(1.0)
-        * F.when(origin.isin(*INBOUND_SOURCES), 1.4).otherwise(1.0)
-        * F.when(size < SMALL_COMPANY, 0.7).otherwise(1.0))
-    lost = F.lit(STATUS_PRIOR["Lost"]) * F.when(origin == COLD_SOURCE, 1.3).otherwise(1.0)
-    nurturing, progress = F.lit(STATUS_PRIOR["Nurturing"]), F.lit(STATUS_PRIOR["In Progress"])
-    total = converted + lost + nurturing + progress
-    return leads.withColumns({
-        name: F.round(weight / total, 6) for name, weight in (
-            ("p_converted", converted), ("p_lost", lost),
-            ("p_nurturing", nurturing), ("p_in_progress", progress))})
+    size, origin, prior = name(employees), name(source), STATUS_PRIOR
+    weights = {
+        "p_converted": f"{prior['Converted']}D * if({size} >= {LARGE_COMPANY}, 1.5D, 1D)"
+                       f" * if({origin} IN ({texts(INBOUND_SOURCES)}), 1.4D, 1D)"
+                       f" * if({size} < {SMALL_COMPANY}, 0.7D, 1D)",
+        "p_lost": f"{prior['Lost']}D * if({origin} = {text(COLD_SOURCE)}, 1.3D, 1D)",
+        "p_nurturing": f"{prior['Nurturing']}D",
+        "p_in_progress": f"{prior['In Progress']}D",
+    }
+    total = " + ".join(weights.values())
+    return leads.selectExpr("*", *[f"round({w} / ({total}), 6) AS {c}" for c, w in weights.items()])
 
 
 def leads_with_class(calls: DataFrame, target: str, label: str = "next_step",

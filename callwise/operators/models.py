@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from callwise.config import DEFAULTS
 from callwise.functions import probabilities as P
+from callwise.functions.sqltext import name
 from callwise.operators.evaluation import eval_summary
 
 MAX_TREE_DEPTH = 30
@@ -42,26 +43,25 @@ class Fitted:
     def score(self, df: DataFrame) -> DataFrame:
         """Add ``proba``, an array of doubles along ``labels``."""
         if self.majority is not None:
-            return df.withColumn("proba", F.array(*[
-                F.lit(1.0 if i == self.majority else 0.0) for i in range(len(self.labels))]))
-        out, columns = df, []
+            sure = ", ".join("1D" if i == self.majority else "0D" for i in range(len(self.labels)))
+            return df.withColumn("proba", F.expr(f"array({sure})"))
+        out = df
         for i, model in enumerate(self.models):
             # Only the probability is computed; the two other outputs are switched off.
-            quiet = model.copy().setProbabilityCol(f"__p{i}").setRawPredictionCol("").setPredictionCol("")
+            quiet = model.copy().setProbabilityCol(f"__v{i}").setRawPredictionCol("").setPredictionCol("")
             out = quiet.transform(out)
-            columns.append(vector_to_array(f"__p{i}"))
-        if len(columns) == 1 and len(self.labels) > 1:
-            proba = columns[0]
-        else:
-            proba = P.normalised(F.array(*[c[1] for c in columns]))
-        return out.withColumn("proba", proba).select(*df.columns, "proba")
+        out = out.withColumns({f"__p{i}": vector_to_array(f"__v{i}") for i in range(len(self.models))})
+        if len(self.models) == 1:
+            return out.select(*df.columns, F.col("__p0").alias("proba"))
+        scores = ", ".join(f"__p{i}[1]" for i in range(len(self.models)))
+        return out.withColumn("__s", F.expr(f"array({scores})")).withColumn(
+            "proba", F.expr(P.normalised("__s"))).select(*df.columns, "proba")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add label, confidence and probability map; input columns stay."""
-        p = F.col("proba")
-        return self.score(df).select(
-            *df.columns, P.predicted_label(p, self.labels).alias("predicted_next_step"),
-            P.confidence(p).alias("confidence"), P.probability_map(p, self.labels).alias("probabilities"))
+        return self.score(df).selectExpr(
+            *map(name, df.columns), f"{P.predicted_label(self.labels)} AS predicted_next_step",
+            f"{P.confidence()} AS confidence", f"{P.probability_map(self.labels)} AS probabilities")
 
 
 def fit_majority(df: DataFrame, labels: Sequence[str]) -> Fitted:
@@ -118,9 +118,8 @@ def model_set(booster: dict | None = None, forest: dict | None = None,
 
 def evaluate(fitted: Fitted, df: DataFrame, k: int = 3) -> dict:
     """Headline metrics on rows with a ``label`` code, unrounded, as a plain dict."""
-    names = P.label_array(fitted.labels)
-    scored = fitted.score(df.select("features", "label")).select(
-        F.element_at(names, F.col("label").cast("int") + 1).alias("y_true"), "proba")
+    scored = fitted.score(df.select("features", "label")).selectExpr(
+        f"element_at({P.label_array(fitted.labels)}, cast(label AS int) + 1) AS y_true", "proba")
     return eval_summary(scored, fitted.labels, k, digits=12).first().asDict()
 
 

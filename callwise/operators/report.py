@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callwise.config import DEFAULTS, Settings
-from callwise.functions.ratios import ratio_or_zero
 from callwise.operators import balance, coherence, correlation, duplicates, features, patterns
 
 # Thresholds of the audit's warnings.
@@ -22,69 +21,65 @@ def lead_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("lead_id").alias("n_leads"))
 
 
-def _check(row: DataFrame, name: str, warnings: dict[str, Column], stats: dict[str, Column],
-           passed: Column | None = None) -> DataFrame:
-    found = F.array_compact(F.array(*[F.when(hit, F.lit(text)) for text, hit in warnings.items()]))
-    values = F.create_map(*[x for k, c in stats.items() for x in (F.lit(k), c.cast("double"))])
-    return row.select(
-        F.lit(name).alias("check_name"),
-        (F.size(found) == 0 if passed is None else passed).alias("passed"),
-        found.alias("warnings"), F.array().cast("array<string>").alias("errors"), values.alias("stats"))
+def _check(row: DataFrame, check: str, warnings: dict[str, str], stats: dict[str, str],
+           passed: str = "size(warnings) = 0") -> DataFrame:
+    found = ", ".join(f"CASE WHEN {hit} THEN '{said}' END" for said, hit in warnings.items())
+    values = ", ".join(f"'{k}', cast({v} AS double)" for k, v in stats.items())
+    return row.selectExpr(
+        f"array_compact(array({found})) AS warnings", f"map({values}) AS stats"
+    ).selectExpr(f"'{check}' AS check_name", f"{passed} AS passed", "warnings",
+                 "cast(array() AS array<string>) AS errors", "stats")
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
 
 
 def class_distribution(df: DataFrame, target: str = "next_step") -> DataFrame:
-    c = F.col
     return _check(
         balance.class_summary(df, target), "class_distribution",
-        {"high imbalance": c("imbalance_ratio") > MAX_IMBALANCE, "rare classes": c("n_rare") > 0,
-         "classes are not uniform": c("chi2_p") < SIGNIFICANT},
-        {n: c(n) for n in ("n_classes", "total_rows", "imbalance_ratio", "n_rare", "chi2_stat", "chi2_p")})
+        {"high imbalance": f"imbalance_ratio > {MAX_IMBALANCE}", "rare classes": "n_rare > 0",
+         "classes are not uniform": f"chi2_p < {SIGNIFICANT}"},
+        _same("n_classes", "total_rows", "imbalance_ratio", "n_rare", "chi2_stat", "chi2_p"))
 
 
 def feature_correlations(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The pair of company columns in one row, with the rank test of the first by class."""
     a, b = "company_num_employees", "company_annual_revenue_eur"
-    matrix = correlation.pearson_matrix(df, settings.numeric)
-    pair = matrix.where((F.col("col_a") == a) & (F.col("col_b") == b)).agg(F.max("r").alias("r"))
-    kw = correlation.kruskal_wallis(df, a, settings.target)
-    test = kw.select(F.struct("h_stat", "p_value")).scalar()
-    row = pair.withColumn("kw", test)
+    pair = correlation.pearson_matrix(df, (a, b)).where(f"col_a = '{a}' AND col_b = '{b}'").agg(
+        F.max("r").alias("r"))
+    test = correlation.kruskal_wallis(df, a, settings.target).select(F.struct("h_stat", "p_value")).scalar()
     return _check(
-        row, "feature_correlations",
-        {"employees and revenue move together": F.abs("r") > HIGH_CORRELATION},
-        {"r_employees_revenue": F.col("r"), "kruskal_h": F.col("kw.h_stat"), "kruskal_p": F.col("kw.p_value")},
-        passed=F.lit(True))
+        pair.withColumn("kw", test), "feature_correlations",
+        {"employees and revenue move together": f"abs(r) > {HIGH_CORRELATION}"},
+        {"r_employees_revenue": "r", "kruskal_h": "kw.h_stat", "kruskal_p": "kw.p_value"}, passed="true")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     near = duplicates.near_duplicates(df).select(F.struct("near_duplicates", "distinct_texts")).scalar()
-    row = duplicates.exact_duplicates(df).withColumn("near", near)
     return _check(
-        row, "duplicates",
-        {"exact duplicate calls": F.col("exact_duplicates") > 0,
-         "texts that start alike": F.col("near.near_duplicates") > 0},
-        {"exact_duplicates": F.col("exact_duplicates"), "near_duplicates": F.col("near.near_duplicates"),
-         "distinct_texts": F.col("near.distinct_texts"), "total_rows": F.col("total_rows")})
+        duplicates.exact_duplicates(df).withColumn("near", near), "duplicates",
+        {"exact duplicate calls": "exact_duplicates > 0", "texts that start alike": "near.near_duplicates > 0"},
+        {"exact_duplicates": "exact_duplicates", "near_duplicates": "near.near_duplicates",
+         "distinct_texts": "near.distinct_texts", "total_rows": "total_rows"})
 
 
 def temporal_coherence(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    row = coherence.coherence_report(df, settings.sentinel)
     return _check(
-        row, "temporal_coherence", {"calls out of sequence": F.col("n_inconsistencies") > 0},
-        {"n_inconsistencies": F.col("n_inconsistencies"), "coherence_rate": F.col("coherence_rate"),
-         "share_of_rows": ratio_or_zero(F.col("n_inconsistencies"), F.col("n_rows"))})
+        coherence.coherence_report(df, settings.sentinel), "temporal_coherence",
+        {"calls out of sequence": "n_inconsistencies > 0"},
+        {**_same("n_inconsistencies", "coherence_rate"),
+         "share_of_rows": "coalesce(try_divide(n_inconsistencies, n_rows), 0D)"})
 
 
 def artificial_patterns(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    over = patterns.sector_counts(df).agg(
-        F.coalesce(F.sum(F.col("over_represented").cast("long")), F.lit(0))).scalar()
+    over = patterns.sector_counts(df).agg(F.expr("count_if(over_represented)")).scalar()
     row = patterns.sector_entropy_std(df, target=settings.target).withColumn("over", over)
     return _check(
         row, "artificial_patterns",
-        {"over-represented sectors": F.col("over") > 0,
-         "sectors have very similar label mixes": F.col("entropy_std") < LOW_ENTROPY_STD},
-        {"n_over_represented": F.col("over"), "sector_entropy_std": F.col("entropy_std"),
-         "n_sectors": F.col("n_sectors")})
+        {"over-represented sectors": "over > 0",
+         "sectors have very similar label mixes": f"entropy_std < {LOW_ENTROPY_STD}"},
+        {"n_over_represented": "over", "sector_entropy_std": "entropy_std", "n_sectors": "n_sectors"})
 
 
 def validation_report(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -95,9 +90,8 @@ def validation_report(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
 
 
 def report_totals(report: DataFrame) -> DataFrame:
-    passed = F.sum(F.col("passed").cast("long"))
-    return report.agg(passed.alias("checks_passed"), F.count(F.lit(1)).alias("checks_total"),
-                      (passed == F.count(F.lit(1))).alias("all_passed"))
+    return report.selectExpr("count_if(passed) AS checks_passed", "count(1) AS checks_total",
+                             "every(passed) AS all_passed")
 
 
 def sample_components(df: DataFrame, text: str, key: str, encoder=None, n: int = 200,

@@ -1,140 +1,133 @@
 """Exact stratified split and folds in md5 order.
 
-Ranking every row of a class needs one task per class. Here a row's place is
-found from a bucket, the leading hex digits of its md5: classes are counted per
-bucket, the small count table is accumulated, and for a split only rows of the
-one bucket that holds a class's border are ranked.
+Ranking every row of a class would need one task per class and a shuffle of the
+table. Instead the borders are found: rows are counted per class and bucket (the
+leading hex digits of a row's md5), which tells the bucket each border lies in,
+and only rows of those buckets are ranked. What remains are a few md5 values per
+class, and every row is placed by comparing with them, without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callwise.config import DEFAULTS
+from callwise.functions.sqltext import name, text
 
 BUCKET_DIGITS = 4
+MAX_LABELS = 10_000
 
 
-def _marked(df: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
-    mark = F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")).cast("binary"))
-    return df.withColumn("__mark", mark).withColumn("__bucket", F.substring("__mark", 1, digits))
+def md5_mark(key: str, seed: int) -> str:
+    """A fixed random-looking order: md5 of seed and key."""
+    return f"md5(cast(concat('{seed}-', cast({name(key)} AS string)) AS binary))"
 
 
-def _bucket_offsets(marked: DataFrame, label: str) -> DataFrame:
-    """Rows per (class, bucket) and rows of the class in lower buckets."""
-    counts = marked.groupBy(F.col(label).alias("__label"), F.col("__bucket").alias("__b")).agg(
-        F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__label").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+def class_sizes(df: DataFrame, label: str) -> dict[str, int]:
+    """Rows per class, nulls left out; an error if the column is no label."""
+    rows = df.where(f"{name(label)} IS NOT NULL").groupBy(label).count().limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"column {label} has more than {MAX_LABELS} values; is it a label?")
+    return {r[0]: r[1] for r in sorted(rows, key=lambda r: r[0])}
 
 
-def class_quotas(df: DataFrame, label: str, test_size: Fraction = DEFAULTS.test_size) -> DataFrame:
+def test_quotas(sizes: Mapping[str, int], test_size: Fraction = DEFAULTS.test_size) -> dict[str, int]:
     """Test rows per class: ceil(share * rows) in all, spread by largest remainder.
 
-    Remainders are whole numbers; ties go to the lower label.
+    Whole-number arithmetic; ties go to the lower label.
     """
-    num, den = test_size.numerator, test_size.denominator
-    counts = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    # One row per class.
-    every = Window.partitionBy()
-    by_rest = Window.orderBy(F.desc("rest"), "label")
-    counts = counts.withColumn("total", F.sum("n").over(every))
-    counts = counts.withColumn("smallest", F.min("n").over(every))
-    counts = counts.withColumn("n_test", F.expr(f"(total * {num} + {den - 1}) div {den}"))
-    counts = counts.withColumn("quota", F.expr("n * n_test div total"))
-    counts = counts.withColumn("rest", F.expr("n * n_test % total"))
-    counts = counts.withColumn("left_over", F.col("n_test") - F.sum("quota").over(every))
-    extra = F.when(F.row_number().over(by_rest) <= F.col("left_over"), 1).otherwise(0)
-    return counts.withColumn("quota", (F.col("quota") + extra).cast("long")).select(
-        "label", "n", "quota", (F.col("smallest") >= 2).alias("stratified"))
-
-
-def _by_label(table: DataFrame, *fields: str):
-    """A table with one row per class as a scalar map from label to its fields."""
-    return table.agg(F.map_from_entries(F.collect_list(
-        F.struct(F.col("__label"), F.struct(*fields))))).scalar()
+    total = sum(sizes.values())
+    wanted = -(-total * test_size.numerator // test_size.denominator)
+    quotas = {c: n * wanted // total for c, n in sizes.items()}
+    by_rest = sorted(sizes, key=lambda c: (-(sizes[c] * wanted % total), c))
+    for c in by_rest[: wanted - sum(quotas.values())]:
+        quotas[c] += 1
+    return quotas
+
+
+def _marks_at(df: DataFrame, key: str, label: str, ranks: Mapping[str, Sequence[int]], seed: int,
+              digits: int) -> dict[str, list[str]]:
+    """The md5 of the row with each wanted rank of each class; '' for rank 0.
+
+    ``key`` must be unique. Both jobs read key and label only.
+    """
+    wanted = df.sparkSession.createDataFrame(
+        [(c, r) for c, found in ranks.items() for r in found if r > 0], "wanted_label string, wanted long")
+    rows = df.where(f"{name(label)} IS NOT NULL").selectExpr(
+        f"cast({name(label)} AS string) AS label", f"{md5_mark(key, seed)} AS mark")
+    bucketed = rows.selectExpr("label", "mark", f"substring(mark, 1, {digits}) AS bucket")
+    counts = bucketed.groupBy("label", "bucket").agg(F.expr("count(1)").alias("n"))
+    cumulated = counts.selectExpr(
+        "label", "bucket", "n", "sum(n) OVER (PARTITION BY label ORDER BY bucket) - n AS before")
+    # A few wanted ranks per class.
+    borders = cumulated.join(F.broadcast(wanted), F.expr(
+        "label = wanted_label AND wanted > before AND wanted <= before + n")).selectExpr(
+        "label", "bucket", "wanted", "wanted - before AS owed").collect()
+    if not borders:
+        return {c: ["" for _ in found] for c, found in ranks.items()}
+    places = df.sparkSession.createDataFrame(
+        [(r["label"], r["bucket"]) for r in borders], "label string, bucket string").distinct()
+    inside = bucketed.join(F.broadcast(places), ["label", "bucket"], "left_semi").selectExpr(
+        "label", "bucket", "mark", "row_number() OVER (PARTITION BY label, bucket ORDER BY mark) AS rank")
+    owed = df.sparkSession.createDataFrame(
+        [tuple(r) for r in borders], "label string, bucket string, wanted long, owed long")
+    found = inside.join(F.broadcast(owed), ["label", "bucket"]).where("rank = owed").select(
+        "label", "wanted", "mark").collect()
+    marks = {(r["label"], r["wanted"]): r["mark"] for r in found}
+    return {c: [marks[c, r] if r > 0 else "" for r in found_ranks] for c, found_ranks in ranks.items()}
+
+
+def _lookup(values: Mapping[str, str], label: str) -> str:
+    entries = ", ".join(f"{text(c)}, {v}" for c, v in values.items())
+    return f"try_element_at(map({entries}), cast({name(label)} AS string))"
 
 
 def stratified_split(df: DataFrame, key: str, label: str,
                      test_size: Fraction = DEFAULTS.test_size, seed: int = DEFAULTS.seed,
                      digits: int = BUCKET_DIGITS) -> DataFrame:
     """Add ``split``: ``test`` or ``train``, or ``all`` on every row where a class
-    has fewer than two rows and the table serves both ends.
-
-    Each class ends up with one md5 value, that of its last test row, and the
-    rows are told apart by comparing with it: the table itself is not shuffled.
-    ``key`` must be unique.
-    """
-    labelled = df.where(F.col(label).isNotNull())
-    marked = _marked(labelled, key, seed, digits)
-    narrow = marked.select(F.col(label).alias("__label"), "__mark", "__bucket")
-    quotas = class_quotas(labelled, label, test_size)
-    offsets = _bucket_offsets(marked, label)
-    # The bucket in which the last test row of a class lies, and its rank there.
-    borders = offsets.join(quotas, offsets["__label"] == quotas["label"]).where(
-        F.col("__before") <= F.col("quota")
-    ).groupBy("__label").agg(
-        F.max(F.struct(F.col("__b").alias("bucket"),
-                       (F.col("quota") - F.col("__before")).alias("owed"))).alias("border"),
-        F.first("stratified").alias("stratified"),
-    ).select("__label", "border.bucket", "border.owed", "stratified")
-    place = F.element_at(_by_label(borders, "bucket", "owed"), F.col("__label"))
-    rank = F.row_number().over(Window.partitionBy("__label").orderBy("__mark"))
-    inside = narrow.withColumn("__place", place).where(F.col("__bucket") == F.col("__place.bucket"))
-    last = inside.withColumn("__rank", rank).where(F.col("__rank") == F.col("__place.owed")).select(
-        "__label", F.col("__mark").alias("cut"))
-    # Every mark of a bucket is above the bare bucket digits: no test row there if none is owed.
-    none = borders.where(F.col("owed") == 0).select("__label", F.col("bucket").alias("cut"))
-    cut = F.element_at(_by_label(last.unionByName(none), "cut"), F.col(label))["cut"]
-    exact = F.element_at(_by_label(borders, "stratified"), F.col(label))["stratified"]
-    side = F.when(~exact, "all").when(F.col("__mark") <= cut, "test").otherwise("train")
-    return marked.withColumn("split", side).select(*df.columns, "split")
+    has fewer than two rows and the table serves both ends."""
+    sizes = {str(c): n for c, n in class_sizes(df, label).items()}
+    labelled = df.where(f"{name(label)} IS NOT NULL")
+    if not sizes or min(sizes.values()) < 2:
+        return labelled.withColumn("split", F.lit("all"))
+    quotas = {c: [q] for c, q in test_quotas(sizes, test_size).items()}
+    cuts = {c: text(m[0]) for c, m in _marks_at(df, key, label, quotas, seed, digits).items()}
+    return labelled.withColumn("split", F.expr(
+        f"CASE WHEN {md5_mark(key, seed)} <= {_lookup(cuts, label)} THEN 'test' ELSE 'train' END"))
 
 
 def train_part(split: DataFrame) -> DataFrame:
-    return split.where(F.col("split").isin("train", "all")).drop("split")
+    return split.where("split IN ('train', 'all')").drop("split")
 
 
 def test_part(split: DataFrame) -> DataFrame:
-    return split.where(F.col("split").isin("test", "all")).drop("split")
+    return split.where("split IN ('test', 'all')").drop("split")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = DEFAULTS.folds,
                      seed: int = DEFAULTS.seed, digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Add ``fold`` in 0..k-1, dealt round-robin inside each class.
-
-    Windows and join share the partitioning by (class, bucket).
-    """
-    marked = _marked(df.where(F.col(label).isNotNull()), key, seed, digits)
-    offsets = _bucket_offsets(marked, label).select("__label", "__b", "__before")
-    inside = Window.partitionBy(label, "__bucket").orderBy("__mark", key)
-    ranked = marked.withColumn("__rank", F.row_number().over(inside))
-    joined = ranked.join(offsets, (F.col(label) == F.col("__label")) & (F.col("__bucket") == F.col("__b")))
-    fold = F.expr(f"cast((__before + __rank - 1) % {k} as int)")
-    return joined.withColumn("fold", fold).select(*df.columns, "fold")
+    """Add ``fold`` in 0..k-1: each class in md5 order, cut into k parts whose
+    sizes differ by at most one."""
+    sizes = {str(c): n for c, n in class_sizes(df, label).items()}
+    labelled = df.where(f"{name(label)} IS NOT NULL")
+    if not sizes:
+        return labelled.withColumn("fold", F.lit(0))
+    ranks = {c: [i * n // k for i in range(1, k)] for c, n in sizes.items()}
+    marks = _marks_at(df, key, label, ranks, seed, digits)
+    arrays = {c: "array(" + ", ".join(text(m) for m in found) + ")" for c, found in marks.items()}
+    mark = md5_mark(key, seed)
+    return labelled.withColumn("__mark", F.expr(mark)).withColumn("fold", F.expr(
+        f"size(filter({_lookup(arrays, label)}, m -> m < __mark))")).drop("__mark")
 
 
 def group_split(df: DataFrame, group: str, test_size: Fraction = DEFAULTS.test_size,
                 seed: int = DEFAULTS.seed) -> DataFrame:
     """Add ``split`` so that all calls of a lead fall on one side (share by hash, not exact)."""
-    mark = F.md5(F.concat(F.lit(f"{seed}-"), F.col(group).cast("string")).cast("binary"))
-    cut = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") * test_size.denominator
     limit = test_size.numerator * 16 ** 8
-    return df.withColumn("split", F.when(cut < limit, "test").otherwise("train"))
-
-
-def check_cv(n_rows: int, smallest: int, k: int = DEFAULTS.folds) -> bool:
-    """Whether a table is large enough for k-fold validation."""
-    return n_rows >= 2 * k and smallest >= 2
-
-
-def label_list(df: DataFrame, label: str, most: int = 10_000) -> Sequence[str]:
-    """The sorted labels of a table; an error above ``most``, as classes are few."""
-    rows = df.where(F.col(label).isNotNull()).select(label).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"column {label} has more than {most} values; is it a label?")
-    return sorted(r[0] for r in rows)
+    share = f"cast(conv(substring({md5_mark(group, seed)}, 1, 8), 16, 10) AS bigint) * {test_size.denominator}"
+    return df.withColumn("split", F.expr(f"CASE WHEN {share} < {limit} THEN 'test' ELSE 'train' END"))

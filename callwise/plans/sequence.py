@@ -15,9 +15,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callwise.functions.sqltext import name, names, text
+
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 4096
 MAX_HOT_KEYS = 20_000
@@ -34,14 +36,9 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> list:
     task. The ``MAX_HOT_KEYS`` largest come back, which bounds the driver's share:
     any key left out holds less than 1 / MAX_HOT_KEYS of the table.
     """
-    present = df
-    for key in keys:
-        present = present.where(F.col(key).isNotNull())
-    return (
-        present.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > rows_per_slice)
-        .orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()
-    )
+    set_ = " AND ".join(f"{name(k)} IS NOT NULL" for k in keys)
+    counts = df.where(set_).groupBy(*keys).agg(F.expr("count(1)").alias("n"))
+    return counts.where(f"n > {rows_per_slice}").orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()
 
 
 def cut_points(df: DataFrame, order: Sequence[str], rows: int, slices: int) -> list[tuple]:
@@ -65,8 +62,8 @@ def cut_points(df: DataFrame, order: Sequence[str], rows: int, slices: int) -> l
     )
 
 
-def _sort_key(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+def _sort_key(order: Sequence[str]) -> str:
+    return "struct(" + ", ".join(f"{name(c)} AS k{i}" for i, c in enumerate(order)) + ")"
 
 
 def slice_of(df: DataFrame, order: Sequence[str], cuts: list[tuple]) -> Column:
@@ -77,33 +74,36 @@ def slice_of(df: DataFrame, order: Sequence[str], cuts: list[tuple]) -> Column:
     """
     if not cuts:
         return F.lit(0)
-    types = [df.schema[c].dataType for c in order]
-
-    def literal(cut: tuple) -> Column:
-        return F.struct(*[
-            F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cut, types))
-        ])
-
+    fields = ", ".join(f"k{i}: {df.schema[c].dataType.simpleString()}" for i, c in enumerate(order))
     width = math.isqrt(len(cuts) - 1) + 1
     blocks = [cuts[i:i + width] for i in range(0, len(cuts), width)]
-    heads = F.array(*[literal(b[0]) for b in blocks])
-    inner = F.array(*[F.array(*[literal(c) for c in b]) for b in blocks])
+
+    def literal(cut: tuple) -> str:
+        values = ", ".join("NULL" if v is None else text(str(v)) for v in cut)
+        return f"struct({values})"
+
+    def typed(array: str, depth: int) -> str:
+        kind = "array<" * depth + f"struct<{fields}>" + ">" * depth
+        return f"cast({array} AS {kind})"
+
+    heads = typed("array(" + ", ".join(literal(b[0]) for b in blocks) + ")", 1)
+    inner = typed("array(" + ", ".join(
+        "array(" + ", ".join(map(literal, b)) + ")" for b in blocks) + ")", 2)
     key = _sort_key(order)
-    block = F.size(F.filter(heads, lambda c: c <= key))
-    inside = F.size(F.filter(F.element_at(inner, F.greatest(block, F.lit(1))), lambda c: c <= key))
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inside)
+    block = f"size(filter({heads}, c -> c <= {key}))"
+    inside = f"size(filter(element_at({inner}, greatest({block}, 1)), c -> c <= {key}))"
+    return F.expr(f"CASE WHEN {block} = 0 THEN 0 ELSE ({block} - 1) * {width} + {inside} END")
 
 
 def _windowed(df, part, order, lags, sums, firsts, number):
     """Row number, lags, running sums of earlier rows and first values in ``part``."""
-    base = Window.partitionBy(*part)
-    w = base.orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    cols = {number: F.row_number().over(w).cast("long")}
-    cols.update({out: F.lag(src).over(w) for out, src in lags.items()})
-    cols.update({out: F.coalesce(F.sum(src).over(before), F.lit(0)) for out, src in sums.items()})
-    cols.update({out: F.first(src).over(w) for out, src in firsts.items()})
-    return df.withColumns(cols)
+    w = f"PARTITION BY {names(part)} ORDER BY {names(order)}"
+    before = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    cols = {number: f"cast(row_number() OVER ({w}) AS bigint)"}
+    cols.update({out: f"lag({name(src)}) OVER ({w})" for out, src in lags.items()})
+    cols.update({out: f"coalesce(sum({name(src)}) OVER {before}, 0)" for out, src in sums.items()})
+    cols.update({out: f"first_value({name(src)}) OVER ({w})" for out, src in firsts.items()})
+    return df.withColumns({out: F.expr(e) for out, e in cols.items()})
 
 
 def sequence_columns(
@@ -139,7 +139,7 @@ def sequence_columns(
         marks = df.sparkSession.createDataFrame(
             [tuple(r[k] for k in keys) + (True,) for r in hot], f"{types}, {_HOT} boolean")
         marked = df.join(F.broadcast(marks), list(keys), "left")
-        hot_rows = marked.where(F.col(_HOT))
+        hot_rows = marked.where(_HOT)
     else:
         rows = df.count()
         marked = df.withColumn(_HOT, F.lit(True))
@@ -147,8 +147,7 @@ def sequence_columns(
 
     slices = min(MAX_SLICES, math.ceil(rows / rows_per_slice))
     cuts = cut_points(hot_rows, order, rows, slices) if slices > 1 else []
-    sliced = marked.withColumn(
-        _SLICE, F.when(F.col(_HOT), slice_of(df, order, cuts)).otherwise(F.lit(0)))
+    sliced = marked.withColumn(_SLICE, F.when(F.col(_HOT), slice_of(df, order, cuts)).otherwise(0))
     part = [*keys, _SLICE]
     local = _windowed(sliced, part, order, lags, sums, firsts, number)
     if not cuts:
@@ -156,36 +155,31 @@ def sequence_columns(
 
     # One row per (hot key, slice); counting and sums combine on the map side.
     key = _sort_key(order)
-    carried = sliced.where(F.col(_HOT)).groupBy(*part).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[F.sum(src).alias(f"__s_{out}") for out, src in sums.items()],
-        *[F.max_by(F.struct(F.col(src)), key).alias(f"__l_{out}") for out, src in lags.items()],
-        *[F.min_by(F.struct(F.col(src)), key).alias(f"__f_{out}") for out, src in firsts.items()],
+    hot_cells = sliced.where(_HOT).groupBy(*part).agg(
+        F.expr("count(1)").alias("__n"),
+        *[F.expr(f"sum({name(src)})").alias(f"__s_{out}") for out, src in sums.items()],
+        *[F.expr(f"max_by(struct({name(src)} AS v), {key})").alias(f"__l_{out}") for out, src in lags.items()],
+        *[F.expr(f"min_by(struct({name(src)} AS v), {key})").alias(f"__f_{out}") for out, src in firsts.items()],
     )
-    along = Window.partitionBy(*keys).orderBy(_SLICE)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.select(
-        *[F.col(c).alias(f"__c_{c}") for c in part],
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"),
-        *[F.coalesce(F.sum(f"__s_{out}").over(before), F.lit(0)).alias(f"__s_{out}") for out in sums],
-        *[F.lag(f"__l_{out}").over(along).alias(f"__l_{out}") for out in lags],
-        *[F.first(f"__f_{out}").over(along).alias(f"__f_{out}") for out in firsts],
+    along = (f"PARTITION BY {names(keys)} " if keys else "") + f"ORDER BY {_SLICE}"
+    before = f"({along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carried = hot_cells.selectExpr(
+        *[f"{name(c)} AS `__c_{c}`" for c in part],
+        f"coalesce(sum(__n) OVER {before}, 0) AS __n",
+        *[f"coalesce(sum(`__s_{out}`) OVER {before}, 0) AS `__s_{out}`" for out in sums],
+        *[f"lag(`__l_{out}`) OVER ({along}) AS `__l_{out}`" for out in lags],
+        *[f"first_value(`__f_{out}`) OVER ({along}) AS `__f_{out}`" for out in firsts],
     )
-    on = None
-    for c in part:
-        same = F.col(c) == F.col(f"__c_{c}")
-        on = same if on is None else on & same
-    joined = local.join(carried, on, "left")
-    fixed = {number: F.col(number) + F.coalesce(F.col("__n"), F.lit(0))}
-    for out, src in lags.items():
-        fixed[out] = F.when(
-            F.col(_HOT) & (F.col(number) == 1), F.col(f"__l_{out}")[src]).otherwise(F.col(out))
+    joined = local.join(carried, F.expr(" AND ".join(f"{name(c)} = `__c_{c}`" for c in part)), "left")
+    fixed = {number: f"{name(number)} + coalesce(__n, 0)"}
+    for out in lags:
+        fixed[out] = f"CASE WHEN {_HOT} AND {name(number)} = 1 THEN `__l_{out}`.v ELSE {name(out)} END"
     for out in sums:
-        fixed[out] = F.col(out) + F.coalesce(F.col(f"__s_{out}"), F.lit(0))
-    for out, src in firsts.items():
-        fixed[out] = F.when(F.col(_HOT), F.col(f"__f_{out}")[src]).otherwise(F.col(out))
-    kept = [c for c in df.columns if c not in added]
-    return joined.select(*kept, *[fixed[c].alias(c) for c in added])
+        fixed[out] = f"{name(out)} + coalesce(`__s_{out}`, 0)"
+    for out in firsts:
+        fixed[out] = f"CASE WHEN {_HOT} THEN `__f_{out}`.v ELSE {name(out)} END"
+    kept = [name(c) for c in df.columns if c not in added]
+    return joined.selectExpr(*kept, *[f"{fixed[c]} AS {name(c)}" for c in added])
 
 
 def values_below(counted: DataFrame, value: str, weight: str, out: str,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callwise.config import FIRST_CALL
+from callwise.functions.sqltext import text, texts
 from callwise.plans.sequence import sequence_columns
 from callwise.sources.calls import read_table
 
@@ -17,115 +18,122 @@ CALL_NUMERIC = ("company_num_employees", "company_annual_revenue_eur", "call_num
                 "days_since_entry", "days_since_last_call")
 
 
-def calls(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as calls, customers as leads."""
-    orders = read_table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
+def order_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as the calls of a lead: sequence columns only."""
+    orders = read_table(spark, d, "orders").selectExpr(
+        "o_orderkey AS interaction_id", "o_custkey AS lead_id", "o_orderstatus AS current_outcome",
+        "o_orderpriority AS next_step", "o_totalprice AS company_annual_revenue_eur",
+        "to_date(o_orderdate) AS call_timestamp")
     ordered = sequence_columns(
-        orders.drop("o_orderdate"), ["o_custkey"], ["day", "o_orderkey"],
-        lags={"step": "o_orderpriority", "outcome": "o_orderstatus", "day_before": "day"},
-        firsts={"entry": "day"}, number="call_number")
-    customer = read_table(spark, d, "customer")
-    nation, region = read_table(spark, d, "nation"), read_table(spark, d, "region")
-    joined = (
-        ordered.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
-    return joined.select(
-        F.col("o_orderkey").alias("interaction_id"), F.col("o_custkey").alias("lead_id"),
-        F.col("c_name").alias("contact_name"),
-        F.concat(F.lit("role-"), (F.col("c_custkey") % 15).cast("string")).alias("contact_role"),
-        F.concat_ws("-", "n_name", "c_mktsegment").alias("company_name"),
-        F.col("c_mktsegment").alias("company_sector"), F.col("n_name").alias("company_country"),
-        F.col("r_name").alias("company_city"), F.col("c_acctbal").alias("company_num_employees"),
-        F.col("o_totalprice").alias("company_annual_revenue_eur"),
-        F.col("o_orderstatus").alias("lead_source"), F.col("entry").alias("lead_entry_date"),
-        F.concat_ws(" ", "c_mktsegment", "n_name").alias("initial_interest_notes"),
-        "call_number", F.col("day").alias("call_timestamp"),
-        F.datediff("day", "entry").alias("days_since_entry"),
-        F.coalesce(F.datediff("day", "day_before"), F.lit(0)).alias("days_since_last_call"),
-        F.coalesce("outcome", F.lit(FIRST_CALL)).alias("prev_outcome"),
-        F.coalesce("step", F.lit(FIRST_CALL)).alias("prev_next_step"),
-        F.col("o_orderstatus").alias("current_outcome"), F.col("o_orderpriority").alias("next_step"))
+        orders, ["lead_id"], ["call_timestamp", "interaction_id"],
+        lags={"step": "next_step", "outcome": "current_outcome", "day_before": "call_timestamp"},
+        firsts={"lead_entry_date": "call_timestamp"}, number="call_number")
+    return ordered.selectExpr(
+        "interaction_id", "lead_id", "call_number", "call_timestamp", "lead_entry_date",
+        "datediff(call_timestamp, lead_entry_date) AS days_since_entry",
+        "coalesce(datediff(call_timestamp, day_before), 0) AS days_since_last_call",
+        f"coalesce(outcome, '{FIRST_CALL}') AS prev_outcome", f"coalesce(step, '{FIRST_CALL}') AS prev_next_step",
+        "current_outcome", "next_step", "company_annual_revenue_eur", "current_outcome AS lead_source")
+
+
+def with_leads(calls: DataFrame, d: str) -> DataFrame:
+    """Calls with the static fields of their lead, from the customer tables."""
+    spark = calls.sparkSession
+    customer, nation, region = (read_table(spark, d, t) for t in ("customer", "nation", "region"))
+    leads = customer.join(nation, F.expr("c_nationkey = n_nationkey")).join(
+        region, F.expr("n_regionkey = r_regionkey")
+    ).selectExpr(
+        "c_custkey", "c_name AS contact_name", "concat('role-', cast(c_custkey % 15 AS string)) AS contact_role",
+        "concat(n_name, '-', c_mktsegment) AS company_name", "c_mktsegment AS company_sector",
+        "n_name AS company_country", "r_name AS company_city", "c_acctbal AS company_num_employees",
+        "concat(c_mktsegment, ' ', n_name) AS initial_interest_notes")
+    return calls.join(leads, F.expr("lead_id = c_custkey")).drop("c_custkey")
+
+
+def calls(spark: SparkSession, d: str) -> DataFrame:
+    """The call table: orders as calls, customers as leads."""
+    return with_leads(order_calls(spark, d), d)
+
+
+RAW = (
+    "interaction_id", "lead_id",
+    "CASE WHEN interaction_id % 7 = 0 THEN '' WHEN interaction_id % 11 = 0 THEN 'NA' "
+    "WHEN interaction_id % 13 = 0 THEN NULL ELSE prev_outcome END AS prev_outcome",
+    "CASE WHEN interaction_id % 5 = 0 THEN '' WHEN interaction_id % 17 = 0 THEN 'nan' "
+    "ELSE prev_next_step END AS prev_next_step",
+    "CASE WHEN interaction_id % 9 = 0 THEN 'x1' WHEN interaction_id % 10 = 0 THEN 'NULL' "
+    "WHEN interaction_id % 19 = 0 THEN '1d' ELSE concat(' ', cast(days_since_entry AS string)) END "
+    "AS days_since_entry",
+    "CASE WHEN interaction_id % 6 = 0 THEN NULL ELSE cast(call_number AS string) END AS call_number",
+    "next_step",
+)
 
 
 def raw_calls(spark: SparkSession, d: str) -> DataFrame:
     """Calls as a raw file would hold them, with damaged cells."""
-    i = F.col("interaction_id")
-    text = lambda c: F.col(c).cast("string")
-    return calls(spark, d).select(
-        "interaction_id", "lead_id",
-        F.when(i % 7 == 0, F.lit("")).when(i % 11 == 0, F.lit("NA")).when(i % 13 == 0, F.lit(None))
-        .otherwise(F.col("prev_outcome")).alias("prev_outcome"),
-        F.when(i % 5 == 0, F.lit("")).when(i % 17 == 0, F.lit("nan"))
-        .otherwise(F.col("prev_next_step")).alias("prev_next_step"),
-        F.when(i % 9 == 0, F.lit("x1")).when(i % 10 == 0, F.lit("NULL")).when(i % 19 == 0, F.lit("1d"))
-        .otherwise(F.concat(F.lit(" "), text("days_since_entry"))).alias("days_since_entry"),
-        F.when(i % 6 == 0, F.lit(None)).otherwise(text("call_number")).alias("call_number"),
-        F.when(i % 8 == 0, F.lit(None)).otherwise(F.col("company_sector")).alias("company_sector"),
-        F.when(i % 4 == 0, F.lit(None)).otherwise(F.col("initial_interest_notes"))
-        .alias("initial_interest_notes"), "next_step")
+    return order_calls(spark, d).selectExpr(*RAW)
 
 
-def broken_calls(spark: SparkSession, d: str) -> DataFrame:
+def raw_lead_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The same with damaged fields of the lead."""
+    return calls(spark, d).selectExpr(
+        *RAW, "CASE WHEN interaction_id % 8 = 0 THEN NULL ELSE company_sector END AS company_sector",
+        "CASE WHEN interaction_id % 4 = 0 THEN NULL ELSE initial_interest_notes END AS initial_interest_notes")
+
+
+def broken(calls: DataFrame) -> DataFrame:
     """Calls whose sequence fields are wrong in places."""
-    i = F.col("interaction_id")
-    return calls(spark, d).withColumns({
-        "prev_outcome": F.when(i % 23 == 0, F.lit("ODD")).otherwise(F.col("prev_outcome")),
-        "prev_next_step": F.when(i % 29 == 0, F.lit(None)).when(i % 31 == 0, F.lit("ODD"))
-        .otherwise(F.col("prev_next_step")),
-        "days_since_last_call": F.when(i % 37 == 0, F.lit(None))
-        .when(i % 41 == 0, F.col("days_since_last_call") + 5000).otherwise(F.col("days_since_last_call")),
-        "call_number": F.when(i % 43 == 0, F.col("call_number") + 3).otherwise(F.col("call_number")),
-    })
+    return calls.withColumns({c: F.expr(e) for c, e in {
+        "prev_outcome": "CASE WHEN interaction_id % 23 = 0 THEN 'ODD' ELSE prev_outcome END",
+        "prev_next_step": "CASE WHEN interaction_id % 29 = 0 THEN NULL WHEN interaction_id % 31 = 0 THEN 'ODD' "
+                          "ELSE prev_next_step END",
+        "days_since_last_call": "CASE WHEN interaction_id % 37 = 0 THEN NULL WHEN interaction_id % 41 = 0 "
+                                "THEN days_since_last_call + 5000 ELSE days_since_last_call END",
+        "call_number": "CASE WHEN interaction_id % 43 = 0 THEN call_number + 3 ELSE call_number END",
+    }.items()})
+
+
+def broken_calls(spark: SparkSession, d: str) -> DataFrame:
+    return broken(order_calls(spark, d))
 
 
 def call_texts(spark: SparkSession, d: str) -> DataFrame:
     """Calls with the document of the same number as transcript, null where there is none."""
-    docs = read_table(spark, d, "documents").select(
-        F.col("doc_id"), F.col("text").alias("current_transcript"))
-    return calls(spark, d).join(docs, F.col("interaction_id") == F.col("doc_id"), "left").drop("doc_id")
+    docs = read_table(spark, d, "documents").selectExpr("doc_id", "text AS current_transcript")
+    return calls(spark, d).join(docs, F.expr("interaction_id = doc_id"), "left").drop("doc_id")
 
 
 def lead_records(spark: SparkSession, d: str) -> DataFrame:
     """Documents as nested lead records: each line of the text is a call."""
-    lines = F.split("text", "\n")
-    call = lambda t, i: F.struct(
-        t.alias("transcript"),
-        F.when(F.length(t) % 5 == 0, F.lit("")).otherwise(
-            F.concat(F.lit("len-"), (F.length(t) % 10).cast("string"))).alias("outcome"),
-        F.concat(F.lit("step-"), ((F.length(t) + i) % 6).cast("string")).alias("next_step"),
-        F.when(F.length(t) % 4 == 0, F.lit(None)).otherwise((F.length(t) % 15) - 1).cast("int")
-        .alias("days_until_next_call"))
-    return read_table(spark, d, "documents").select(
-        F.col("doc_id").alias("lead_id"), F.col("source").alias("company_sector"),
-        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("n_chars") % 90).cast("int")).alias("entry_date"),
-        (F.col("doc_id") % 7 + 1).cast("int").alias("first_offset"),
-        F.transform(lines, call).alias("calls"))
+    return read_table(spark, d, "documents").selectExpr(
+        "doc_id AS lead_id", "source AS company_sector",
+        "date_add(DATE'2024-01-01', cast(n_chars % 90 AS int)) AS entry_date",
+        "cast(doc_id % 7 + 1 AS int) AS first_offset",
+        "transform(split(text, '\n'), (t, i) -> named_struct('transcript', t, "
+        "'outcome', if(length(t) % 5 = 0, '', concat('len-', cast(length(t) % 10 AS string))), "
+        "'next_step', concat('step-', cast((length(t) + i) % 6 AS string)), "
+        "'days_until_next_call', if(length(t) % 4 = 0, NULL, length(t) % 15 - 1))) AS calls")
 
 
 def doc_calls(spark: SparkSession, d: str) -> DataFrame:
     """Documents as calls with a transcript; the language is the label."""
-    return read_table(spark, d, "documents").select(
-        F.col("doc_id").alias("interaction_id"), F.col("text").alias("current_transcript"),
-        F.col("source").alias("lead_source"), F.col("source").alias("initial_interest_notes"),
-        F.concat(F.lit("out-"), (F.col("n_chars") % 3).cast("string")).alias("prev_outcome"),
-        F.col("n_chars").cast("double").alias("company_num_employees"),
-        F.size(F.split("text", " ")).cast("double").alias("days_since_entry"),
-        F.col("lang").alias("next_step"))
+    return read_table(spark, d, "documents").selectExpr(
+        "doc_id AS interaction_id", "text AS current_transcript", "source AS lead_source",
+        "source AS initial_interest_notes", "concat('out-', cast(n_chars % 3 AS string)) AS prev_outcome",
+        "cast(n_chars AS double) AS company_num_employees",
+        "cast(size(split(text, ' ')) AS double) AS days_since_entry", "lang AS next_step")
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
     """Events as steps, users as leads."""
     events = read_table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", "value")
     ordered = sequence_columns(events, ["user_id"], ["ts", "event_id"], firsts={"start": "ts"}, number="step")
-    status = F.when(F.col("event_type") == "purchase", "converted").when(
-        F.col("event_type") == "error", "lost").when(F.col("event_type") == "view", "nurturing")
-    return ordered.select(
-        F.col("user_id").alias("lead_id"),
-        F.get(F.array(*[F.lit(s) for s in ("default", "aggressive", "conservative")]),
-              (F.col("user_id") % 3).cast("int")).alias("strategy"),
-        "step", F.datediff(F.to_date("ts"), F.to_date("start")).alias("day"),
-        F.col("event_type").alias("action"), F.col("value").alias("confidence"), status.alias("status"))
+    return ordered.selectExpr(
+        "user_id AS lead_id",
+        "element_at(array('default', 'aggressive', 'conservative'), cast(user_id % 3 + 1 AS int)) AS strategy",
+        "step", "datediff(to_date(ts), to_date(start)) AS day", "event_type AS action", "value AS confidence",
+        "CASE event_type WHEN 'purchase' THEN 'converted' WHEN 'error' THEN 'lost' "
+        "WHEN 'view' THEN 'nurturing' END AS status")
 
 
 EVENT_OUTCOMES = (
@@ -142,28 +150,28 @@ EVENT_OVERRIDES = (
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Test calls scored with the step frequencies that training calls show after each step."""
+    """Test calls scored with the step frequencies that training calls show after each step.
+
+    Fitting yields one small row per previous step, which becomes a literal map,
+    so scoring is a projection.
+    """
     from callwise.operators.split import stratified_split, test_part, train_part
 
-    split = stratified_split(
-        calls(spark, d).select("interaction_id", "prev_next_step", "next_step"),
+    rows = stratified_split(
+        order_calls(spark, d).select("interaction_id", "prev_next_step", "next_step"),
         "interaction_id", "next_step")
-    train = train_part(split).where(F.col("prev_next_step").isin(FIRST_CALL, *PRIORITIES))
-    counts = [F.sum((F.col("next_step") == x).cast("long")).alias(f"n{i}") for i, x in enumerate(PRIORITIES)]
-    per_prev = train.groupBy("prev_next_step").agg(*counts)
-
-    def shares(names):
-        total = F.expr(" + ".join(names)).cast("double")
-        return F.array(*[F.col(n).cast("double") / total for n in names])
-
-    names = [f"n{i}" for i in range(len(PRIORITIES))]
-    # One entry per class and one for the first call.
-    table = per_prev.select("prev_next_step", shares(names).alias("p")).agg(
-        F.map_from_entries(F.collect_list(F.struct("prev_next_step", "p")))).scalar()
-    prior = per_prev.agg(*[F.sum(n).alias(n) for n in names]).select(shares(names).alias("p")).scalar()
-    return test_part(split).select(
-        "interaction_id", F.col("next_step").alias("y_true"),
-        F.coalesce(F.try_element_at(table, F.col("prev_next_step")), prior).alias("proba"))
+    known = (FIRST_CALL, *PRIORITIES)
+    counts = train_part(rows).where(f"prev_next_step IN ({texts(known)})").groupBy("prev_next_step").agg(
+        *[F.expr(f"count_if(next_step = {text(x)})").alias(x) for x in PRIORITIES]).collect()
+
+    def shares(found: list[int]) -> str:
+        return "array(" + ", ".join(f"{n}D / {sum(found)}D" for n in found) + ")"
+
+    table = ", ".join(f"{text(r[0])}, {shares(list(r[1:]))}" for r in counts)
+    prior = shares([sum(column) for column in zip(*[r[1:] for r in counts])])
+    return test_part(rows).selectExpr(
+        "interaction_id", "next_step AS y_true",
+        f"coalesce(try_element_at(map({table}), prev_next_step), {prior}) AS proba")
 
 
 CTES = {

@@ -58,7 +58,7 @@ def _pearson_sql() -> str:
 
 @query("pearson_matrix", _pearson_sql(), "calls broken_calls")
 def pearson_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return correlation.pearson_matrix(A.broken_calls(spark, d), A.CALL_NUMERIC)
+    return correlation.pearson_matrix(A.broken(A.calls(spark, d)), A.CALL_NUMERIC)
 
 
 KRUSKAL_SQL = """
@@ -96,7 +96,7 @@ SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS exact_duplicates, CAST(coalesc
 FROM (SELECT count(*) AS n FROM broken_calls GROUP BY company_name, contact_name, call_number)""",
        "calls broken_calls")
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.exact_duplicates(A.broken_calls(spark, d))
+    return duplicates.exact_duplicates(A.broken(A.calls(spark, d)))
 
 
 @query("near_duplicates", """

@@ -32,7 +32,7 @@ def clean_numeric_coerce(spark: SparkSession, d: str) -> DataFrame:
 SELECT interaction_id, coalesce(company_sector, 'PRIMERA_LLAMADA') AS company_sector,
   coalesce(prev_next_step, 'PRIMERA_LLAMADA') AS prev_next_step FROM raw_calls""", "calls raw_calls")
 def clean_categoricals(spark: SparkSession, d: str) -> DataFrame:
-    raw = A.raw_calls(spark, d).select("interaction_id", "company_sector", "prev_next_step")
+    raw = A.raw_lead_calls(spark, d).select("interaction_id", "company_sector", "prev_next_step")
     return clean.fill_categoricals(raw, ["company_sector", "prev_next_step"])
 
 
@@ -40,7 +40,7 @@ def clean_categoricals(spark: SparkSession, d: str) -> DataFrame:
 SELECT interaction_id, coalesce(initial_interest_notes, '') || ' | ' || coalesce(prev_outcome, '') AS context_text
 FROM raw_calls""", "calls raw_calls")
 def context_text(spark: SparkSession, d: str) -> DataFrame:
-    raw = A.raw_calls(spark, d).select("interaction_id", "initial_interest_notes", "prev_outcome")
+    raw = A.raw_lead_calls(spark, d).select("interaction_id", "initial_interest_notes", "prev_outcome")
     return clean.with_context_text(raw).select("interaction_id", "context_text")
 
 
@@ -65,7 +65,7 @@ def unknown_labels(spark: SparkSession, d: str) -> DataFrame:
 SELECT interaction_id, lead_id, next_step FROM calls
 WHERE lead_id IN (SELECT lead_id FROM calls WHERE next_step = '1-URGENT')""", "calls")
 def leads_with_class(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.calls(spark, d).select("interaction_id", "lead_id", "next_step")
+    rows = A.order_calls(spark, d).select("interaction_id", "lead_id", "next_step")
     return leads.leads_with_class(rows, "1-URGENT")
 
 

@@ -23,9 +23,10 @@ def stratified_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("stratified_folds", """
-SELECT interaction_id, next_step, CAST((rn - 1) % 5 AS INTEGER) AS fold
+SELECT interaction_id, next_step, CAST(CAST(rn > n // 5 AS INT) + CAST(rn > 2 * n // 5 AS INT)
+  + CAST(rn > 3 * n // 5 AS INT) + CAST(rn > 4 * n // 5 AS INT) AS INTEGER) AS fold
 FROM (SELECT o_orderkey AS interaction_id, o_orderpriority AS next_step,
-        row_number() OVER (PARTITION BY o_orderpriority
+        count(*) OVER (PARTITION BY o_orderpriority) AS n, row_number() OVER (PARTITION BY o_orderpriority
           ORDER BY md5('42-' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rn FROM orders)""")
 def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
     return split.stratified_folds(labelled(spark, d), "interaction_id", "next_step")
@@ -41,8 +42,8 @@ def predicted_label(spark: SparkSession, d: str) -> DataFrame:
 def probability_map(spark: SparkSession, d: str) -> DataFrame:
     from callwise.functions.probabilities import probability_map as as_map
 
-    return A.scored(spark, d).select(
-        "interaction_id", F.explode(as_map(F.col("proba"), PRIORITIES)).alias("label", "probability"))
+    return A.scored(spark, d).selectExpr(
+        "interaction_id", f"explode({as_map(PRIORITIES)}) AS (label, probability)")
 
 
 @query("probabilities_ranked", """

@@ -62,9 +62,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 def _scored(fitted: models.Fitted, rows: DataFrame) -> DataFrame:
     """Rows with label, confidence and a check that the probabilities add up to 1."""
     out = fitted.score(rows)
-    total = F.aggregate("proba", F.lit(0.0), lambda a, x: a + x)
-    return evaluation.with_prediction(out, fitted.labels).select(
-        "vec_id", "y_pred", "confidence", F.round(total, 3).alias("total"))
+    return evaluation.with_prediction(out, fitted.labels).selectExpr(
+        "vec_id", "y_pred", "confidence", "round(aggregate(proba, 0D, (a, x) -> a + x), 3) AS total")
 
 
 # ---- features ----
@@ -85,7 +84,7 @@ FROM raw_calls GROUP BY 2 UNION ALL
 SELECT 'prev_next_step', coalesce(prev_next_step, 'PRIMERA_LLAMADA'), count(*) FROM raw_calls GROUP BY 2""",
        "calls raw_calls")
 def one_hot_counts(spark: SparkSession, d: str) -> DataFrame:
-    return features.one_hot_counts(A.raw_calls(spark, d), ["company_sector", "prev_next_step"])
+    return features.one_hot_counts(A.raw_lead_calls(spark, d), ["company_sector", "prev_next_step"])
 
 
 @query("one_hot_unknown", """

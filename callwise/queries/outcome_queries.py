@@ -26,7 +26,7 @@ def action_outcome_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("strategy_outcomes", """
-SELECT s.strategy, s.action, count(*) AS n_steps, round(sum(coalesce(prob, prob_terminal, 0)), 4) AS sum_prob,
+SELECT s.strategy, s.action, count(*) AS n_steps, round(sum(CAST(coalesce(prob, prob_terminal, 0) AS DOUBLE)), 4) AS sum_prob,
   CAST(sum(coalesce(lo, days_lo, 7)) AS BIGINT) AS sum_lo, CAST(sum(coalesce(hi, days_hi, 14)) AS BIGINT) AS sum_hi
 FROM steps s LEFT JOIN outcomes o ON o.action = s.action
   LEFT JOIN overrides v ON v.strategy = s.strategy AND v.action = s.action
