@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF, PCA, HashingTF, IndexToString, Normalizer, OneHotEncoder,
-    SQLTransformer, StringIndexer, StringIndexerModel, Tokenizer, VectorAssembler,
+    SQLTransformer, StringIndexer, StringIndexerModel, Tokenizer, VectorAssembler, VectorSizeHint,
 )
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -51,11 +51,11 @@ def text_stages(column: str, out: str, dim: int) -> list:
 
 
 def fit_features(df: DataFrame, settings: Settings = DEFAULTS, texts: Sequence[str] = TEXTS,
-                 vectors: Sequence[str] = ()) -> PipelineModel:
+                 vectors: Mapping[str, int] | None = None) -> PipelineModel:
     """Fit [numbers, one-hot, text vectors] -> ``features`` on ``df``.
 
     ``texts`` are hashed; ``vectors`` name columns that already hold vectors of
-    another encoder. The target takes no part, so the same model serves
+    another encoder, with their widths. The target takes no part, so the same model serves
     training and scoring.
     """
     stats = scale_stats(df, settings.numeric)
@@ -72,6 +72,8 @@ def fit_features(df: DataFrame, settings: Settings = DEFAULTS, texts: Sequence[s
         ]
     for t in texts:
         stages += text_stages(f"{t}__t", f"{t}__v", settings.embedding_dim)
+    vectors = vectors or {}
+    stages += [VectorSizeHint(inputCol=c, size=n, handleInvalid="optimistic") for c, n in vectors.items()]
     stages.append(VectorAssembler(
         inputCols=[*[f"{c}__z" for c in settings.numeric], *[f"{c}__o" for c in settings.categorical],
                    *[f"{t}__v" for t in texts], *vectors],

@@ -156,28 +156,28 @@ def sequence_columns(
     # One row per (hot key, slice); counting and sums combine on the map side.
     key = _sort_key(order)
     hot_cells = sliced.where(_HOT).groupBy(*part).agg(
-        F.expr("count(1)").alias("__n"),
-        *[F.expr(f"sum({name(src)})").alias(f"__s_{out}") for out, src in sums.items()],
-        *[F.expr(f"max_by(struct({name(src)} AS v), {key})").alias(f"__l_{out}") for out, src in lags.items()],
-        *[F.expr(f"min_by(struct({name(src)} AS v), {key})").alias(f"__f_{out}") for out, src in firsts.items()],
+        F.expr("count(1)").alias("__carry_n"),
+        *[F.expr(f"sum({name(src)})").alias(f"__carry_sum_{out}") for out, src in sums.items()],
+        *[F.expr(f"max_by(struct({name(src)} AS v), {key})").alias(f"__carry_lag_{out}") for out, src in lags.items()],
+        *[F.expr(f"min_by(struct({name(src)} AS v), {key})").alias(f"__carry_first_{out}") for out, src in firsts.items()],
     )
     along = (f"PARTITION BY {names(keys)} " if keys else "") + f"ORDER BY {_SLICE}"
     before = f"({along} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     carried = hot_cells.selectExpr(
-        *[f"{name(c)} AS `__c_{c}`" for c in part],
-        f"coalesce(sum(__n) OVER {before}, 0) AS __n",
-        *[f"coalesce(sum(`__s_{out}`) OVER {before}, 0) AS `__s_{out}`" for out in sums],
-        *[f"lag(`__l_{out}`) OVER ({along}) AS `__l_{out}`" for out in lags],
-        *[f"first_value(`__f_{out}`) OVER ({along}) AS `__f_{out}`" for out in firsts],
+        *[f"{name(c)} AS `__carry_key_{c}`" for c in part],
+        f"coalesce(sum(__carry_n) OVER {before}, 0) AS __carry_n",
+        *[f"coalesce(sum(`__carry_sum_{out}`) OVER {before}, 0) AS `__carry_sum_{out}`" for out in sums],
+        *[f"lag(`__carry_lag_{out}`) OVER ({along}) AS `__carry_lag_{out}`" for out in lags],
+        *[f"first_value(`__carry_first_{out}`) OVER ({along}) AS `__carry_first_{out}`" for out in firsts],
     )
-    joined = local.join(carried, F.expr(" AND ".join(f"{name(c)} = `__c_{c}`" for c in part)), "left")
-    fixed = {number: f"{name(number)} + coalesce(__n, 0)"}
+    joined = local.join(carried, F.expr(" AND ".join(f"{name(c)} = `__carry_key_{c}`" for c in part)), "left")
+    fixed = {number: f"{name(number)} + coalesce(__carry_n, 0)"}
     for out in lags:
-        fixed[out] = f"CASE WHEN {_HOT} AND {name(number)} = 1 THEN `__l_{out}`.v ELSE {name(out)} END"
+        fixed[out] = f"CASE WHEN {_HOT} AND {name(number)} = 1 THEN `__carry_lag_{out}`.v ELSE {name(out)} END"
     for out in sums:
-        fixed[out] = f"{name(out)} + coalesce(`__s_{out}`, 0)"
+        fixed[out] = f"{name(out)} + coalesce(`__carry_sum_{out}`, 0)"
     for out in firsts:
-        fixed[out] = f"CASE WHEN {_HOT} THEN `__f_{out}`.v ELSE {name(out)} END"
+        fixed[out] = f"CASE WHEN {_HOT} THEN `__carry_first_{out}`.v ELSE {name(out)} END"
     kept = [name(c) for c in df.columns if c not in added]
     return joined.selectExpr(*kept, *[f"{fixed[c]} AS {name(c)}" for c in added])
 
