@@ -21,10 +21,10 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = list(combinations_with_replacement(columns, 2))
     found, cells = [], []
     for i, (a, b) in enumerate(pairs):
-        x, y = f"cast({name(a)} AS double)", f"cast({name(b)} AS double)"
-        both = f"FILTER (WHERE {name(a)} IS NOT NULL AND {name(b)} IS NOT NULL)"
-        spread = f"stddev_pop({x}) {both} * stddev_pop({y}) {both}"
-        found.append(F.expr(f"round(try_divide(covar_pop({x}, {y}) {both}, {spread}), 4)").alias(f"r{i}"))
+        # The regr functions skip rows where either side is null.
+        pair = f"cast({name(a)} AS double), cast({name(b)} AS double)"
+        spread = f"sqrt(regr_sxx({pair}) * regr_syy({pair}))"
+        found.append(F.expr(f"round(try_divide(regr_sxy({pair}), {spread}), 4)").alias(f"r{i}"))
         cells += [f"struct({text(left)} AS col_a, {text(right)} AS col_b, r{i} AS r)"
                   for left, right in sorted({(a, b), (b, a)})]
     return df.agg(*found).selectExpr(f"inline(array({', '.join(cells)}))")

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from callwise.config import DEFAULTS
 from callwise.functions.sqltext import name, text
 
-BUCKET_DIGITS = 4
+# A border bucket should hold about this many rows; more digits make more and smaller buckets.
+ROWS_PER_BUCKET = 100_000
+MAX_DIGITS = 4
 MAX_LABELS = 10_000
 
 
@@ -49,46 +51,56 @@ def test_quotas(sizes: Mapping[str, int], test_size: Fraction = DEFAULTS.test_si
     return quotas
 
 
+def bucket_digits(rows: int) -> int:
+    digits = 0
+    while digits < MAX_DIGITS and rows > ROWS_PER_BUCKET * 16 ** digits:
+        digits += 1
+    return digits
+
+
+def _by_label(values: Mapping[str, str], column: str = "label") -> str:
+    """A literal map from label to an SQL value, looked up with ``column``."""
+    entries = ", ".join(f"{text(c)}, {v}" for c, v in values.items())
+    return f"try_element_at(map({entries}), {column})"
+
+
 def _marks_at(df: DataFrame, key: str, label: str, ranks: Mapping[str, Sequence[int]], seed: int,
               digits: int) -> dict[str, list[str]]:
     """The md5 of the row with each wanted rank of each class; '' for rank 0.
 
-    ``key`` must be unique. Both jobs read key and label only.
+    ``key`` must be unique. Both jobs read key and label only and return a few
+    rows per class.
     """
-    wanted = df.sparkSession.createDataFrame(
-        [(c, r) for c, found in ranks.items() for r in found if r > 0], "wanted_label string, wanted long")
     rows = df.where(f"{name(label)} IS NOT NULL").selectExpr(
-        f"cast({name(label)} AS string) AS label", f"{md5_mark(key, seed)} AS mark")
-    bucketed = rows.selectExpr("label", "mark", f"substring(mark, 1, {digits}) AS bucket")
-    counts = bucketed.groupBy("label", "bucket").agg(F.expr("count(1)").alias("n"))
-    cumulated = counts.selectExpr(
-        "label", "bucket", "n", "sum(n) OVER (PARTITION BY label ORDER BY bucket) - n AS before")
-    # A few wanted ranks per class.
-    borders = cumulated.join(F.broadcast(wanted), F.expr(
-        "label = wanted_label AND wanted > before AND wanted <= before + n")).selectExpr(
-        "label", "bucket", "wanted", "wanted - before AS owed").collect()
-    if not borders:
-        return {c: ["" for _ in found] for c, found in ranks.items()}
-    places = df.sparkSession.createDataFrame(
-        [(r["label"], r["bucket"]) for r in borders], "label string, bucket string").distinct()
-    inside = bucketed.join(F.broadcast(places), ["label", "bucket"], "left_semi").selectExpr(
-        "label", "bucket", "mark", "row_number() OVER (PARTITION BY label, bucket ORDER BY mark) AS rank")
-    owed = df.sparkSession.createDataFrame(
-        [tuple(r) for r in borders], "label string, bucket string, wanted long, owed long")
-    found = inside.join(F.broadcast(owed), ["label", "bucket"]).where("rank = owed").select(
-        "label", "wanted", "mark").collect()
-    marks = {(r["label"], r["wanted"]): r["mark"] for r in found}
-    return {c: [marks[c, r] if r > 0 else "" for r in found_ranks] for c, found_ranks in ranks.items()}
-
-
-def _lookup(values: Mapping[str, str], label: str) -> str:
-    entries = ", ".join(f"{text(c)}, {v}" for c, v in values.items())
-    return f"try_element_at(map({entries}), cast({name(label)} AS string))"
+        f"cast({name(label)} AS string) AS label", f"{md5_mark(key, seed)} AS mark"
+    ).selectExpr("label", "mark", f"substring(mark, 1, {digits}) AS bucket")
+    wanted = {c: f"array({', '.join(f'{r}L' for r in found)})" for c, found in ranks.items()}
+    borders = rows.groupBy("label", "bucket").agg(F.expr("count(1)").alias("n")).selectExpr(
+        "label", "bucket", "n", "sum(n) OVER (PARTITION BY label ORDER BY bucket) - n AS before"
+    ).selectExpr(
+        "label", "bucket", "before",
+        f"explode(filter({_by_label(wanted)}, r -> r > before AND r <= before + n)) AS wanted").collect()
+    marks = {}
+    if borders:
+        cells: dict[str, dict[str, list]] = {}
+        for r in borders:
+            cells.setdefault(r["label"], {}).setdefault(r["bucket"], []).append(r["wanted"] - r["before"])
+        owed = {c: "map(" + ", ".join(
+            f"{text(b)}, array({', '.join(f'{o}L' for o in found)})" for b, found in of.items()) + ")"
+            for c, of in cells.items()}
+        ranked = rows.withColumn("owed", F.expr(f"try_element_at({_by_label(owed)}, bucket)")).where(
+            "owed IS NOT NULL").selectExpr(
+            "label", "bucket", "mark", "owed",
+            "cast(row_number() OVER (PARTITION BY label, bucket ORDER BY mark) AS bigint) AS rank")
+        before = {(r["label"], r["bucket"]): r["before"] for r in borders}
+        for r in ranked.where("array_contains(owed, rank)").collect():
+            marks[r["label"], r["rank"] + before[r["label"], r["bucket"]]] = r["mark"]
+    return {c: [marks[c, r] if r > 0 else "" for r in found] for c, found in ranks.items()}
 
 
 def stratified_split(df: DataFrame, key: str, label: str,
                      test_size: Fraction = DEFAULTS.test_size, seed: int = DEFAULTS.seed,
-                     digits: int = BUCKET_DIGITS) -> DataFrame:
+                     digits: int | None = None) -> DataFrame:
     """Add ``split``: ``test`` or ``train``, or ``all`` on every row where a class
     has fewer than two rows and the table serves both ends."""
     sizes = {str(c): n for c, n in class_sizes(df, label).items()}
@@ -96,9 +108,11 @@ def stratified_split(df: DataFrame, key: str, label: str,
     if not sizes or min(sizes.values()) < 2:
         return labelled.withColumn("split", F.lit("all"))
     quotas = {c: [q] for c, q in test_quotas(sizes, test_size).items()}
-    cuts = {c: text(m[0]) for c, m in _marks_at(df, key, label, quotas, seed, digits).items()}
+    cuts = {c: text(m[0]) for c, m in _marks_at(
+        df, key, label, quotas, seed, bucket_digits(sum(sizes.values())) if digits is None else digits).items()}
+    found = f"cast({name(label)} AS string)"
     return labelled.withColumn("split", F.expr(
-        f"CASE WHEN {md5_mark(key, seed)} <= {_lookup(cuts, label)} THEN 'test' ELSE 'train' END"))
+        f"CASE WHEN {md5_mark(key, seed)} <= {_by_label(cuts, found)} THEN 'test' ELSE 'train' END"))
 
 
 def train_part(split: DataFrame) -> DataFrame:
@@ -110,7 +124,7 @@ def test_part(split: DataFrame) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = DEFAULTS.folds,
-                     seed: int = DEFAULTS.seed, digits: int = BUCKET_DIGITS) -> DataFrame:
+                     seed: int = DEFAULTS.seed, digits: int | None = None) -> DataFrame:
     """Add ``fold`` in 0..k-1: each class in md5 order, cut into k parts whose
     sizes differ by at most one."""
     sizes = {str(c): n for c, n in class_sizes(df, label).items()}
@@ -118,11 +132,12 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = DEFAULTS.fold
     if not sizes:
         return labelled.withColumn("fold", F.lit(0))
     ranks = {c: [i * n // k for i in range(1, k)] for c, n in sizes.items()}
-    marks = _marks_at(df, key, label, ranks, seed, digits)
+    marks = _marks_at(
+        df, key, label, ranks, seed, bucket_digits(sum(sizes.values())) if digits is None else digits)
     arrays = {c: "array(" + ", ".join(text(m) for m in found) + ")" for c, found in marks.items()}
-    mark = md5_mark(key, seed)
-    return labelled.withColumn("__mark", F.expr(mark)).withColumn("fold", F.expr(
-        f"size(filter({_lookup(arrays, label)}, m -> m < __mark))")).drop("__mark")
+    found = f"cast({name(label)} AS string)"
+    return labelled.withColumn("__mark", F.expr(md5_mark(key, seed))).withColumn("fold", F.expr(
+        f"size(filter({_by_label(arrays, found)}, m -> m < __mark))")).drop("__mark")
 
 
 def group_split(df: DataFrame, group: str, test_size: Fraction = DEFAULTS.test_size,

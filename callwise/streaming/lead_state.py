@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,24 +22,26 @@ INPUT_COLUMNS = ("lead_id", "interaction_id", "day", "next_step", "outcome")
 def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Number a lead's new calls and hand each the step, outcome and day of the one before."""
     # Only the narrow columns of one lead within one bounded batch.
-    calls = pd.concat(list(chunks)).sort_values(["day", "interaction_id"], kind="stable")
+    parts = list(chunks)
+    calls = parts[0] if len(parts) == 1 else pd.concat(parts)
+    ids, days = calls["interaction_id"].to_numpy(), calls["day"].to_numpy()
+    order = np.lexsort((ids, days))
+    ids, days = ids[order], days[order].astype("int32")
+    steps, outcomes = calls["next_step"].to_numpy()[order], calls["outcome"].to_numpy()[order]
     if state.exists:
         seen, first_day, last_day, step, outcome = state.get
     else:
-        seen, first_day = 0, int(calls["day"].iloc[0])
-        last_day, step, outcome = first_day, DEFAULTS.sentinel, DEFAULTS.sentinel
-    days = calls["day"].astype("int32")
+        seen, first_day, last_day = 0, int(days[0]), int(days[0])
+        step = outcome = DEFAULTS.sentinel
+    n = len(ids)
     yield pd.DataFrame({
-        "interaction_id": calls["interaction_id"],
-        "lead_id": key[0],
-        "call_number": range(seen + 1, seen + len(calls) + 1),
-        "prev_next_step": [step, *calls["next_step"].iloc[:-1]],
-        "prev_outcome": [outcome, *calls["outcome"].iloc[:-1]],
-        "days_since_last_call": days - [last_day, *days.iloc[:-1]],
-        "days_since_entry": days - first_day,
-    })
-    end = calls.iloc[-1]
-    state.update((seen + len(calls), first_day, int(end["day"]), end["next_step"], end["outcome"]))
+        "interaction_id": ids, "lead_id": np.repeat(key[0], n),
+        "call_number": np.arange(seen + 1, seen + n + 1),
+        "prev_next_step": np.concatenate(([step], steps[:-1])),
+        "prev_outcome": np.concatenate(([outcome], outcomes[:-1])),
+        "days_since_last_call": np.diff(days, prepend=np.int32(last_day)),
+        "days_since_entry": days - np.int32(first_day)})
+    state.update((seen + n, first_day, int(days[-1]), steps[-1], outcomes[-1]))
 
 
 def carry_lead_state(stream: DataFrame) -> DataFrame:
