@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callwise.functions.sqltext import name
+
 CACHE_SCHEMA = "text_hash string, encoder string, embedding array<float>"
 
 
@@ -27,11 +29,11 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def missing_texts(texts: DataFrame, text: str, cache: DataFrame, encoder: str) -> DataFrame:
     """The distinct texts that the cache does not hold yet.
 
-    Copies of a text collapse before the join, so a text that fills a third of
-    the table is one row of it.
+    Copies of a text collapse before the join (each task keeps one), so a text
+    that fills a third of the table is one row of it.
     """
-    distinct = with_hash(texts, text).groupBy("text_hash").agg(
-        F.coalesce(F.first(text, ignorenulls=True), F.lit("")).alias(text))
+    distinct = with_hash(
+        texts.selectExpr(f"coalesce({name(text)}, '') AS {name(text)}").distinct(), text)
     known = cache.where(F.col("encoder") == encoder).select("text_hash")
     return distinct.join(known, "text_hash", "left_anti")
 
