@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callwise.config import DEFAULTS
 from callwise.functions.sqltext import text
-from callwise.plans.sequence import ROWS_PER_SLICE, sequence_columns
+from callwise.plans.sequence import sequence_columns
 
 _FIELDS = ("lead_id", "call_number", "interaction_id", "prev_outcome", "prev_next_step",
            "next_step", "days_since_entry", "days_since_last_call")
@@ -50,20 +50,20 @@ def entry_before_last_call(df: DataFrame) -> DataFrame:
     return _report(df, _DAYS_ORDER)
 
 
-def _with_step_before(df: DataFrame, rows_per_slice: int) -> DataFrame:
+def _with_step_before(df: DataFrame, rows_per_slice: int | None) -> DataFrame:
     return sequence_columns(
         df.where("lead_id IS NOT NULL"), ["lead_id"], ["call_number", "interaction_id"],
         lags={"step_before": "next_step"}, rows_per_slice=rows_per_slice)
 
 
-def step_mismatch(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def step_mismatch(df: DataFrame, rows_per_slice: int | None = None) -> DataFrame:
     """Calls whose previous step is not the step of the call sorted before them."""
     narrow = df.select("lead_id", "call_number", "interaction_id", "next_step", "prev_next_step")
     return _report(_with_step_before(narrow, rows_per_slice), _STEP_MISMATCH)
 
 
 def violations(df: DataFrame, sentinel: str = DEFAULTS.sentinel,
-               rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+               rows_per_slice: int | None = None) -> DataFrame:
     """Every broken rule, one row each; a call can break several.
 
     All four rules run on one pass over the ordered calls. Calls without a lead
@@ -77,7 +77,7 @@ def violations(df: DataFrame, sentinel: str = DEFAULTS.sentinel,
 
 
 def coherence_report(df: DataFrame, sentinel: str = DEFAULTS.sentinel,
-                     rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                     rows_per_slice: int | None = None) -> DataFrame:
     """One row: broken rules, calls, and 1 - broken / calls (below 0 if many rules break)."""
     found = violations(df, sentinel, rows_per_slice).agg(F.count(F.lit(1)).alias("n_inconsistencies"))
     n_rows = df.agg(F.count(F.lit(1))).scalar()

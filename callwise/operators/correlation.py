@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from callwise.functions.chi_square import chi_square_p
 from callwise.functions.sqltext import name, text
-from callwise.plans.sequence import ROWS_PER_SLICE, values_below
+from callwise.plans.sequence import values_below
 
 
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,7 +31,7 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str,
-                   rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                   rows_per_slice: int | None = None) -> DataFrame:
     """Tie-corrected H of ``value`` across ``group``, with its p-value.
 
     Rows shrink to counts per (value, group) before anything is ranked. The

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwise.config import RUN_METRICS
+from callwise.plans.sequence import values_below
 
 
 def standard_metric(metrics: Column, name: str) -> Column:
@@ -48,18 +49,16 @@ def best_run(index: DataFrame, metric: str = "f1_weighted") -> DataFrame:
     return index.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), "timestamp", "run_id").limit(1)
 
 
-def rank_candidates(scores: DataFrame, candidate: str, score: str, rows_per_slice: int | None = None
-                    ) -> DataFrame:
+def rank_candidates(scores: DataFrame, candidate: str, score: str,
+                    rows_per_slice: int | None = None) -> DataFrame:
     """Minimum rank by score, best first; equal scores share a rank.
 
     Ranks come from the number of candidates above each distinct score, so a
     long list is not sorted in one task.
     """
-    from callwise.plans.sequence import ROWS_PER_SLICE, values_below
-
     down = -F.col(score)
     per_score = scores.where(F.col(score).isNotNull()).groupBy(down.alias("__s")).agg(
         F.count(F.lit(1)).alias("__n"))
-    above = values_below(per_score, "__s", "__n", "__above", rows_per_slice or ROWS_PER_SLICE)
+    above = values_below(per_score, "__s", "__n", "__above", rows_per_slice)
     ranked = scores.withColumn("__s0", down).join(above, F.col("__s0") == F.col("__s"))
     return ranked.select(candidate, score, (F.col("__above") + 1).cast("long").alias("rank_test_score"))

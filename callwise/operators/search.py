@@ -15,6 +15,7 @@ from callwise.config import DEFAULTS, PARAM_GRIDS
 from callwise.operators.models import (
     Fit, Fitted, cross_validate, evaluate, fit_boosted, fit_forest, mean_std,
 )
+from callwise.sources.calls import write_csv, write_json
 
 CANDIDATE_SCHEMA = (
     "rank_test_score int, mean_test_score double, std_test_score double, params string")
@@ -77,3 +78,10 @@ def tune_all(train: DataFrame, test: DataFrame, labels: Sequence[str], grids: di
                      round(m["accuracy"], 4), json.dumps(best)))
         tables[name] = table
     return train.sparkSession.createDataFrame(rows, TUNED_SCHEMA), tables
+
+
+def save_tuning(tuned: DataFrame, tables: dict[str, DataFrame], folder: str) -> None:
+    """Best parameters as JSON and each model's candidates as CSV."""
+    write_json(tuned, f"{folder}/best_params")
+    for name, table in tables.items():
+        write_csv(table, f"{folder}/{name}_cv_results")

@@ -115,7 +115,7 @@ def sequence_columns(
     sums: dict[str, str] | None = None,
     firsts: dict[str, str] | None = None,
     number: str = "position",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int | None = None,
 ) -> DataFrame:
     """Add ordered columns per group of ``keys``.
 
@@ -127,6 +127,7 @@ def sequence_columns(
     where they can be many.
     """
     lags, sums, firsts = lags or {}, sums or {}, firsts or {}
+    rows_per_slice = rows_per_slice or ROWS_PER_SLICE
     added = [number, *lags, *sums, *firsts]
 
     if keys:
@@ -183,7 +184,7 @@ def sequence_columns(
 
 
 def values_below(counted: DataFrame, value: str, weight: str, out: str,
-                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+                 rows_per_slice: int | None = None) -> DataFrame:
     """For a table with one row per ``value``: the sum of ``weight`` over lower values."""
     return sequence_columns(
         counted, [], [value], sums={out: weight}, number="__rank",

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callwise.operators import balance, coherence, correlation, duplicates, patterns, report
+from callwise.plans.storage import scratch_path
 from callwise.queries import adapters as A
 from callwise.queries.registry import query
+from callwise.sources import calls as files
 from callwise.sources.calls import read_table
 
 
@@ -217,12 +219,28 @@ UNION ALL SELECT 'temporal_coherence', n = 0, CAST(n > 0 AS INT), CAST(n AS DOUB
 UNION ALL SELECT 'artificial_patterns', s >= 0.1 AND n = 0, CAST(s < 0.1 AS INT) + CAST(n > 0 AS INT), s FROM ent, over"""
 
 
+KEY_VALUES = {
+    "class_distribution": "imbalance_ratio", "feature_correlations": "r_employees_revenue",
+    "duplicates": "near_duplicates", "temporal_coherence": "n_inconsistencies",
+    "artificial_patterns": "sector_entropy_std"}
+
+
+def _flat(table: DataFrame) -> DataFrame:
+    key = ", ".join(f"'{check}', '{value}'" for check, value in KEY_VALUES.items())
+    return table.selectExpr("check_name", "passed", "size(warnings) AS n_warnings",
+                            f"try_element_at(stats, element_at(map({key}), check_name)) AS key_value")
+
+
 @query("validation_report", VALIDATION_SQL, "calls call_texts")
 def validation_report(spark: SparkSession, d: str) -> DataFrame:
-    table = report.validation_report(A.call_texts(spark, d))
-    keys = {"class_distribution": "imbalance_ratio", "feature_correlations": "r_employees_revenue",
-            "duplicates": "near_duplicates", "temporal_coherence": "n_inconsistencies",
-            "artificial_patterns": "sector_entropy_std"}
-    key = F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])
-    return table.select("check_name", "passed", F.size("warnings").alias("n_warnings"),
-                        F.try_element_at("stats", F.element_at(key, F.col("check_name"))).alias("key_value"))
+    return _flat(report.validation_report(A.call_texts(spark, d)))
+
+
+@query("report_json", VALIDATION_SQL, "calls call_texts")
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    """The report written as JSON and read back."""
+    path = scratch_path(spark, "report")
+    files.write_json(report.validation_report(A.call_texts(spark, d)), path)
+    return _flat(spark.read.schema(
+        "check_name string, passed boolean, warnings array<string>, errors array<string>, "
+        "stats map<string,double>").json(path))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callwise.config import MISSING_TOKENS
-from callwise.operators import clean, report, runs
+from callwise.operators import clean, runs
 from callwise.operators.features import hashing_encoder
 from callwise.plans.storage import scratch_path
 from callwise.queries import adapters as A
@@ -51,19 +51,6 @@ def sink_append(spark: SparkSession, d: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.countDistinct("write").cast("int").alias("writes"))
 
 
-@query("report_json", """
-SELECT 'class_distribution' AS check_name, 1 AS n_lines UNION ALL SELECT 'feature_correlations', 1
-UNION ALL SELECT 'duplicates', 1 UNION ALL SELECT 'temporal_coherence', 1 UNION ALL SELECT 'artificial_patterns', 1
-""")
-def report_json(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch_path(spark, "report")
-    files.write_json(report.validation_report(A.call_texts(spark, d)), path)
-    back = spark.read.schema(
-        "check_name string, passed boolean, warnings array<string>, errors array<string>, "
-        "stats map<string,double>").json(path)
-    return back.groupBy("check_name").agg(F.count(F.lit(1)).cast("int").alias("n_lines"))
-
-
 @query("embed_cache_missing", """
 SELECT sha256(text) AS text_hash FROM documents GROUP BY text HAVING count(*) FILTER (WHERE lang = 'en') = 0""")
 def embed_cache_missing(spark: SparkSession, d: str) -> DataFrame:

@@ -49,8 +49,8 @@ def carry_lead_state(stream: DataFrame) -> DataFrame:
 
     Needs the columns ``INPUT_COLUMNS`` (``day`` counts days from a fixed date).
     Calls of a lead must arrive in order across batches; inside a batch they are
-    sorted. A lead's rows meet in one call of the function, so bound the batches
-    (``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` on the source).
+    sorted. A lead's rows of one batch meet in one call of the function, so the
+    source must bound its batches, as ``arriving_parquet`` does.
     """
     return stream.select(*[F.col(c) for c in INPUT_COLUMNS]).groupBy("lead_id").applyInPandasWithState(
         _advance, OUTPUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)

@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+BATCH_BYTES = 2 * 1024 ** 3
+
 
 def arriving_parquet(spark: SparkSession, path: str, schema: StructType,
-                     files_per_batch: int = 1000) -> DataFrame:
-    """New parquet files of a folder as a stream; the batch size is bounded."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+                     bytes_per_batch: int = BATCH_BYTES, files_per_batch: int | None = None) -> DataFrame:
+    """New parquet files of a folder as a stream of bounded batches (by size, or by files)."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        return reader.option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return reader.option("maxBytesPerTrigger", bytes_per_batch).parquet(path)
 
 
 def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out: str,

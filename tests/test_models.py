@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from callwise.config import FIRST_CALL, Settings
-from callwise.operators import features, models, search, split
+from callwise.operators import features, models, report, search, split
 
 SMALL = Settings(categorical=("lead_source",), numeric=("a", "b"), embedding_dim=16)
 LABELS = ("hot", "ice", "warm")
@@ -173,3 +173,17 @@ def test_search_refits_the_best(table):
     assert len(rows) == 3 and rows[0]["rank_test_score"] == 1
     assert rows[0]["mean_test_score"] == max(r["mean_test_score"] for r in rows)
     assert models.evaluate(fitted, table)["accuracy"] > 0.8 and best["n_estimators"] in (1, 5)
+
+
+def test_tuning_files(spark, table, tmp_path):
+    grids = {"gradient_boosting": {"n_estimators": [1], "max_depth": [1, 2]}, "random_forest": {"n_estimators": [1, 3]}}
+    tuned, tables = search.tune_all(table.where("fold <> 0"), table.where("fold = 0"), LABELS, grids, n_iter=2, k=3)
+    search.save_tuning(tuned, tables, str(tmp_path))
+    best = {r["model_name"]: r for r in spark.read.json(str(tmp_path / "best_params")).collect()}
+    assert set(best) == set(grids) and all(0 <= r["test_accuracy"] <= 1 for r in best.values())
+    assert spark.read.csv(str(tmp_path / "random_forest_cv_results"), header=True).count() == 2
+
+
+def test_sample_components(calls):
+    rows, explained = report.sample_components(calls, "current_transcript", "id", n=50)
+    assert rows.count() == 50 and len(explained) == 2 and 0 < sum(explained) <= 1
