@@ -68,8 +68,7 @@ def _marks_at(df: DataFrame, key: str, label: str, ranks: Mapping[str, Sequence[
               digits: int) -> dict[str, list[str]]:
     """The md5 of the row with each wanted rank of each class; '' for rank 0.
 
-    ``key`` must be unique. Both jobs read key and label only and return a few
-    rows per class.
+    Both jobs read key and label only and return a few rows per class.
     """
     rows = df.where(f"{name(label)} IS NOT NULL").selectExpr(
         f"cast({name(label)} AS string) AS label", f"{md5_mark(key, seed)} AS mark"
@@ -88,12 +87,16 @@ def _marks_at(df: DataFrame, key: str, label: str, ranks: Mapping[str, Sequence[
         owed = {c: "map(" + ", ".join(
             f"{text(b)}, array({', '.join(f'{o}L' for o in found)})" for b, found in of.items()) + ")"
             for c, of in cells.items()}
-        ranked = rows.withColumn("owed", F.expr(f"try_element_at({_by_label(owed)}, bucket)")).where(
-            "owed IS NOT NULL").selectExpr(
-            "label", "bucket", "mark", "owed",
-            "cast(row_number() OVER (PARTITION BY label, bucket ORDER BY mark) AS bigint) AS rank")
         before = {(r["label"], r["bucket"]): r["before"] for r in borders}
-        for r in ranked.where("array_contains(owed, rank)").collect():
+        # Rows that share a key are one row here, however many they are.
+        distinct = rows.where(f"map_contains_key({_by_label(owed)}, bucket)").groupBy(
+            "label", "bucket", "mark").agg(F.expr("count(1)").alias("n"))
+        upto = distinct.selectExpr(
+            "label", "bucket", "mark", "n", "sum(n) OVER (PARTITION BY label, bucket ORDER BY mark) AS upto")
+        found = upto.selectExpr(
+            "label", "bucket", "mark",
+            f"explode(filter(try_element_at({_by_label(owed)}, bucket), o -> o > upto - n AND o <= upto)) AS rank")
+        for r in found.collect():
             marks[r["label"], r["rank"] + before[r["label"], r["bucket"]]] = r["mark"]
     return {c: [marks[c, r] if r > 0 else "" for r in found] for c, found in ranks.items()}
 
@@ -102,7 +105,10 @@ def stratified_split(df: DataFrame, key: str, label: str,
                      test_size: Fraction = DEFAULTS.test_size, seed: int = DEFAULTS.seed,
                      digits: int | None = None) -> DataFrame:
     """Add ``split``: ``test`` or ``train``, or ``all`` on every row where a class
-    has fewer than two rows and the table serves both ends."""
+    has fewer than two rows and the table serves both ends.
+
+    Sizes are exact for a unique ``key``; rows of a class that share a key stay together.
+    """
     sizes = {str(c): n for c, n in class_sizes(df, label).items()}
     labelled = df.where(f"{name(label)} IS NOT NULL")
     if not sizes or min(sizes.values()) < 2:

@@ -61,6 +61,18 @@ def test_single_row_class_uses_all_rows_twice(spark):
     assert split.train_part(out).count() == split.test_part(out).count() == 3
 
 
+def test_copies_of_a_key_stay_together(spark):
+    rows = [(7, "x")] * 400 + [(i, "x") for i in range(100, 500)] + [(i, "y") for i in range(500, 900)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    for digits in (0, 2):
+        out = split.stratified_split(df, "id", "label", digits=digits)
+        assert out.count() == 1200
+        assert out.where("id = 7").select("split").distinct().count() == 1
+        assert out.where("label = 'y' AND split = 'test'").count() == 80
+        folds = split.stratified_folds(df, "id", "label", k=4, digits=digits)
+        assert folds.count() == 1200 and folds.where("id = 7").select("fold").distinct().count() == 1
+
+
 def test_quotas_by_largest_remainder():
     assert split.test_quotas({"a": 7, "b": 7, "c": 7}, Fraction(1, 5)) == {"a": 2, "b": 2, "c": 1}
     assert split.test_quotas({"a": 10, "b": 3}, Fraction(1, 5)) == {"a": 2, "b": 1}
