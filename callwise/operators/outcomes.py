@@ -66,6 +66,12 @@ def with_strategy_outcome(steps: DataFrame, outcomes: DataFrame, overrides: Data
     }).drop("__strategy", "__action", "__prob", "__lo", "__hi")
 
 
+def _mean(column: str):
+    """Mean to four decimals. Decimal sums are exact, so it does not depend on the
+    order in which partitions are added up."""
+    return F.expr(f"cast(round(coalesce(avg(cast({column} AS decimal(20, 10))), 0), 4) AS double)")
+
+
 def trajectory_summary(steps: DataFrame) -> DataFrame:
     """One row per lead and strategy.
 
@@ -75,7 +81,7 @@ def trajectory_summary(steps: DataFrame) -> DataFrame:
     last = F.max_by("status", F.col("step"))
     return steps.groupBy("lead_id", "strategy").agg(
         F.count(F.lit(1)).alias("total_steps"),
-        F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 4).alias("confidence_avg"),
+        _mean("confidence").alias("confidence_avg"),
         F.max("day").cast("long").alias("total_days"),
         F.coalesce(last, F.lit("max_steps_reached")).alias("final_status"))
 
@@ -90,7 +96,7 @@ def _rate(status: str):
 
 def _averages(steps: str, days: str):
     return [F.round(F.avg("total_steps"), 2).alias(steps), F.round(F.avg("total_days"), 1).alias(days),
-            F.round(F.avg("confidence_avg"), 4).alias("avg_confidence")]
+            _mean("confidence_avg").alias("avg_confidence")]
 
 
 def outcome_stats(summary: DataFrame) -> DataFrame:

@@ -174,6 +174,15 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
         f"coalesce(try_element_at(map({table}), prev_next_step), {prior}) AS proba")
 
 
+def exact_mean(column: str, digits: int, only: str = "") -> str:
+    """SQL for a mean rounded half-up without a float in between; four decimals in, no negatives."""
+    keep = f" FILTER (WHERE {only})" if only else ""
+    total = f"CAST(sum(CAST({column} AS DECIMAL(18, 4))){keep} * 10000 AS HUGEINT)"
+    n = f"count({column}){keep}"
+    unit = 10 ** (4 - digits)
+    return f"(2 * {total} + {n} * {unit}) // nullif(2 * {n} * {unit}, 0) / {10 ** digits}.0::DOUBLE"
+
+
 CTES = {
     "calls": """
 SELECT o_orderkey AS interaction_id, o_custkey AS lead_id, c_name AS contact_name,
@@ -256,8 +265,8 @@ SELECT * FROM (VALUES ('purchase', true, 1.0, 'converted', 0, 0, 'bought'),
 SELECT * FROM (VALUES ('aggressive', 'signup', 0.5, NULL, NULL), ('aggressive', 'view', NULL, 3, 10),
   ('conservative', 'signup', 0.15, NULL, NULL), ('conservative', 'view', NULL, 14, 30),
   ('conservative', 'click', 0.05, NULL, NULL)) AS t(strategy, action, prob, lo, hi)""",
-    "trajectories": """
-SELECT lead_id, strategy, count(*) AS total_steps, round(coalesce(avg(confidence), 0), 4) AS confidence_avg,
+    "trajectories": f"""
+SELECT lead_id, strategy, count(*) AS total_steps, coalesce({exact_mean("confidence", 4)}, 0) AS confidence_avg,
   CAST(max(day) AS BIGINT) AS total_days,
   coalesce(max(status) FILTER (WHERE step = n_steps), 'max_steps_reached') AS final_status
 FROM (SELECT *, count(*) OVER (PARTITION BY lead_id) AS n_steps FROM steps)

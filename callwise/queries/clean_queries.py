@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.config import FIRST_CALL
 from callwise.operators import clean, leads
 from callwise.queries import adapters as A
 from callwise.queries.registry import query
@@ -105,7 +104,8 @@ def journey_prior(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("lead_to_rows", """
-SELECT lead_id, company_sector, call_number, strftime(entry_date + CAST(day AS INTEGER), '%Y-%m-%d') AS call_date, day AS days_since_entry,
+SELECT lead_id, company_sector, call_number,
+  strftime(entry_date + CAST(day AS INTEGER), '%Y-%m-%d') AS call_date, day AS days_since_entry,
   CASE WHEN call_number = 1 THEN 0 ELSE day - lag(day) OVER w END AS days_since_last_call,
   coalesce(nullif(lag(outcome) OVER w, ''), 'PRIMERA_LLAMADA') AS prev_outcome,
   coalesce(nullif(lag(next_step) OVER w, ''), 'PRIMERA_LLAMADA') AS prev_next_step,

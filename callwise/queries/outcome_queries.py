@@ -26,7 +26,8 @@ def action_outcome_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("strategy_outcomes", """
-SELECT s.strategy, s.action, count(*) AS n_steps, round(sum(CAST(coalesce(prob, prob_terminal, 0) AS DOUBLE)), 4) AS sum_prob,
+SELECT s.strategy, s.action, count(*) AS n_steps,
+  round(sum(CAST(coalesce(prob, prob_terminal, 0) AS DOUBLE)), 4) AS sum_prob,
   CAST(sum(coalesce(lo, days_lo, 7)) AS BIGINT) AS sum_lo, CAST(sum(coalesce(hi, days_hi, 14)) AS BIGINT) AS sum_hi
 FROM steps s LEFT JOIN outcomes o ON o.action = s.action
   LEFT JOIN overrides v ON v.strategy = s.strategy AND v.action = s.action
@@ -51,9 +52,9 @@ def status_distribution(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.status_distribution(trajectory_summary(spark, d))
 
 
-@query("outcome_stats", """
+@query("outcome_stats", f"""
 SELECT count(*) AS n_leads, round(avg(total_steps), 2) AS avg_steps, round(avg(total_days), 1) AS avg_days,
-  round(avg(confidence_avg), 4) AS avg_confidence,
+  {A.exact_mean('confidence_avg', 4)} AS avg_confidence,
   round(avg(CASE WHEN final_status = 'converted' THEN 1.0 ELSE 0.0 END), 4) AS conversion_rate,
   round(avg(CASE WHEN final_status = 'lost' THEN 1.0 ELSE 0.0 END), 4) AS loss_rate FROM trajectories""",
        "steps trajectories")
@@ -61,14 +62,14 @@ def outcome_stats(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.outcome_stats(trajectory_summary(spark, d))
 
 
-@query("strategy_comparison", """
+@query("strategy_comparison", f"""
 SELECT strategy AS strategy_name, count(*) AS n_leads,
   round(avg(CASE WHEN final_status = 'converted' THEN 1.0 ELSE 0.0 END), 4) AS conversion_rate,
   round(avg(CASE WHEN final_status = 'lost' THEN 1.0 ELSE 0.0 END), 4) AS loss_rate,
   round(avg(CASE WHEN final_status = 'nurturing' THEN 1.0 ELSE 0.0 END), 4) AS nurturing_rate,
   round(avg(CASE WHEN final_status = 'max_steps_reached' THEN 1.0 ELSE 0.0 END), 4) AS max_steps_rate,
   round(avg(total_steps), 2) AS avg_steps_to_terminal, round(avg(total_days), 1) AS avg_total_days,
-  round(avg(confidence_avg), 4) AS avg_confidence
+  {A.exact_mean('confidence_avg', 4)} AS avg_confidence
 FROM trajectories GROUP BY strategy""", "steps trajectories")
 def strategy_comparison(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.strategy_comparison(trajectory_summary(spark, d))

@@ -66,7 +66,7 @@ def run_table(spark: SparkSession, d: str) -> DataFrame:
     events = read_table(spark, d, "events").select("user_id", "ts", "event_type", "value")
     # One row per (run, event type): the map of a run has a few entries per type.
     kinds = events.groupBy("user_id", "event_type").agg(
-        F.round(F.avg("value"), 3).alias("mean"), F.max("value").alias("top"), F.min("ts").alias("first"))
+        F.expr("cast(round(avg(cast(value AS decimal(20, 10))), 3) AS double)").alias("mean"), F.max("value").alias("top"), F.min("ts").alias("first"))
     even = F.col("user_id") % 2 == 0
     kv = lambda k, v: F.struct(k.alias("key"), v.cast("string").alias("value"))
     entries = F.when(even, F.array(kv(F.col("event_type"), F.col("mean")))).otherwise(F.array(
@@ -90,14 +90,18 @@ def run_table(spark: SparkSession, d: str) -> DataFrame:
 
 METRICS = ("click", "purchase", "signup", "view")
 
+
+def _mean_of(kind: str) -> str:
+    return A.exact_mean("value", 3, f"event_type = '{kind}'")
+
+
 RUN_SQL = """
 SELECT 'run-' || CAST(user_id AS VARCHAR) AS run_id, 'exp-' || CAST(user_id % 4 AS VARCHAR) AS experiment_name,
   strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS timestamp, 'm' || CAST(user_id % 3 AS VARCHAR) AS model_name,
 """ + ",\n".join(
     f"  CASE WHEN {'user_id % 5 = 0' if m == 'signup' else 'false'} THEN NULL"
-    f" WHEN user_id % 2 = 0 THEN round(avg(value) FILTER (WHERE event_type = '{m}'), 3)"
-    f" ELSE greatest(round(avg(value) FILTER (WHERE event_type = '{m}'), 3),"
-    f" max(value) FILTER (WHERE event_type = '{m}')) END AS {m}" for m in METRICS) + """,
+    f" WHEN user_id % 2 = 0 THEN {_mean_of(m)}"
+    f" ELSE greatest({_mean_of(m)}, max(value) FILTER (WHERE event_type = '{m}')) END AS {m}" for m in METRICS) + """,
   CAST(user_id % 100 AS DOUBLE) AS duration_seconds
 FROM events GROUP BY user_id"""
 
@@ -145,9 +149,10 @@ def runs_best(spark: SparkSession, d: str) -> DataFrame:
     return runs.best_run(_index(spark, d), "view").select("run_id", "model_name", "view")
 
 
-@query("rank_candidates", """
+@query("rank_candidates", f"""
 SELECT user_id, mean_score, rank() OVER (ORDER BY mean_score DESC) AS rank_test_score
-FROM (SELECT user_id, round(avg(value), 1) AS mean_score FROM events GROUP BY user_id)""")
+FROM (SELECT user_id, {A.exact_mean('value', 1)} AS mean_score FROM events GROUP BY user_id)""")
 def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
-    scores = read_table(spark, d, "events").groupBy("user_id").agg(F.round(F.avg("value"), 1).alias("mean_score"))
+    scores = read_table(spark, d, "events").groupBy("user_id").agg(
+        F.expr("cast(round(avg(cast(value AS decimal(20, 10))), 1) AS double)").alias("mean_score"))
     return runs.rank_candidates(scores, "user_id", "mean_score")

@@ -90,7 +90,8 @@ def test_batch_encoder_and_hash_encoder(calls):
 def test_components_are_centred(spark):
     rng = np.random.default_rng(0)
     data = rng.normal(size=(60, 4)) * [5, 2, 1, 0.1] + 100
-    df = spark.createDataFrame([(r.tolist(),) for r in data], "a array<double>").select(features.as_vector(F.col("a")).alias("v"))
+    raw = spark.createDataFrame([(r.tolist(),) for r in data], "a array<double>")
+    df = raw.select(features.as_vector(F.col("a")).alias("v"))
     rows, explained = features.principal_components(df, "v")
     centred = data - data.mean(axis=0)
     values = np.linalg.svd(centred, compute_uv=False) ** 2
