@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.llm import ann, chat, mixing, reshard, topk
+from callwise.llm import ann, chat, mixing, pieces, reshard, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,19 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.budgeted_windows(rows.unionByName(own)))
 
 
+#: Vocabulary file of a public tokenizer.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op9_n_best_pieces")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text encoded, with the scores of its four best paths, and decoded again from its ids."""
+    vocabulary = pieces.share_vocabulary(spark, PIECE_MODEL)
+    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
+    back = pieces.decode(encoded, vocabulary)
+    return pieces.piece_digest(back.withColumn("same", F.col("decoded").eqNullSafe(F.col("text"))), "same")
+
+
 @query("op10_exact_top_k", """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
