@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.llm import ann, chat, mixing, pieces, reshard, topk
+from callwise.llm import ann, chat, mixing, pieces, quality, reshard, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,14 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+@query("op4_neighbour_quality")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = spark.sparkContext.broadcast(quality.fit(docs, table(spark, sf, "labels")))
+    return quality.score(docs, model).select(
+        "doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query("op6_sainte_lague_mix")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
