@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.llm import ann, chat, mixing, pieces, quality, reshard, topk
+from callwise.llm import ann, chat, mixing, near_dup, pieces, quality, reshard, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +41,11 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
 
 
+@query("op3_order_minhash")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
+
+
 @query("op4_neighbour_quality")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
