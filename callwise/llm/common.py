@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from callwise.plans.storage import materialise
 
 #: Rows aimed at per ordered bucket; it decides how work is dealt, never a result.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 
 
 def same(left: str, right: str, columns: list[str]) -> Column:

@@ -111,4 +111,25 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     s = F.broadcast(per_source.select(F.col("source").alias("_s"), "source_size", "target", "quota"))
     out = both.join(s, F.col("source").eqNullSafe(F.col("_s")))
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("_f0_rounds") * F.col("size") + F.col("_f1") - F.col("_f0"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"), "_h")
+
+
+def apply_mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17,
+              seats: int = SEATS) -> DataFrame:
+    """The mixed rows themselves: whole copies of a document as often as taken, then its first words for the rest.
+
+    Documents of which nothing is taken go. Columns are those of the input; a given n_chars follows the text.
+    Equal rows count as one row that is taken as often as they together.
+    """
+    taken = mix(documents, weights, most, seed, seats).groupBy("doc_id", "_h").agg(
+        F.sum("taken").alias("_taken"), F.first("size").alias("_size")).where("_taken > 0")
+    rows = documents.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))))
+    hit = rows.alias("d").join(taken.alias("t"), same("d", "t", ["doc_id", "_h"])).select("d.*", "_taken", "_size")
+    hit = hit.dropDuplicates(["doc_id", "_h"])
+    copies = F.expr("transform(sequence(1, (_taken + _size - 1) div _size), i -> least(_size, _taken - (i - 1) * _size))")
+    each = hit.withColumn("_words", F.explode(copies))
+    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORDS})"), 1), F.lit(1), F.col("_words").cast("int")), "")
+    each = each.withColumn("text", F.when(F.col("_words") < F.col("_size"), first_words).otherwise(F.col("text")))
+    if "n_chars" in documents.columns:
+        each = each.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return each.select(*documents.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.llm import ann, chat, mixing, near_dup, pieces, quality, reshard, topk
+from callwise.llm import ann, chat, mixing, near_dup, pieces, pii, quality, reshard, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,13 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query("op5_char_tagger_pii")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    weights = spark.sparkContext.broadcast(pii.fit(docs))
+    return pii.digest(pii.find(docs, weights))
+
+
 @query("op6_sainte_lague_mix")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
