@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.llm import ann, chat, mixing, near_dup, pieces, pii, quality, reshard, topk
+from callwise.llm import ann, chat, mixing, near_dup, pieces, pii, quality, reshard, suffix_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,6 +66,11 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_suffix_array_dedup")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf, "documents")))
+
+
 #: A conversation whose texts hold control strings.
 CONTROL_CONVERSATION = -7
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
