@@ -36,7 +36,7 @@ def class_summary(df: DataFrame, target: str = "next_step") -> DataFrame:
         "max(n) AS max_count", "count_if(rare) AS n_rare",
         "round(max(n) / greatest(min(n), 1), 2) AS imbalance_ratio",
         "try_divide(count(1) * var_pop(n), avg(n)) AS stat", "count(1) - 1 AS chi2_df")
-    return row.withColumn("p", chi_square_p("stat", "chi2_df")).selectExpr(
+    return row.withColumn("p", F.expr(chi_square_p("stat", "chi2_df"))).selectExpr(
         "n_classes", "total_rows", "min_count", "max_count", "n_rare", "imbalance_ratio", "chi2_df",
         "round(p, 6) AS chi2_p", "round(stat, 3) AS chi2_stat")
 

@@ -21,8 +21,8 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = list(combinations_with_replacement(columns, 2))
     found, cells = [], []
     for i, (a, b) in enumerate(pairs):
-        # The regr functions skip rows where either side is null.
-        pair = f"cast({name(a)} AS double), cast({name(b)} AS double)"
+        # The regr functions skip rows where either side is null; NaN counts as null.
+        pair = ", ".join(f"nanvl(cast({name(c)} AS double), cast(NULL AS double))" for c in (a, b))
         spread = f"sqrt(regr_sxx({pair}) * regr_syy({pair}))"
         found.append(F.expr(f"round(try_divide(regr_sxy({pair}), {spread}), 4)").alias(f"r{i}"))
         cells += [f"struct({text(left)} AS col_a, {text(right)} AS col_b, r{i} AS r)"
@@ -36,11 +36,12 @@ def kruskal_wallis(df: DataFrame, value: str, group: str,
 
     Rows shrink to counts per (value, group) before anything is ranked. The
     average rank of a value is the number of lower rows plus (t + 1) / 2 for t
-    rows that share it, and the lower rows come from a sliced prefix sum.
+    rows that share it, and the lower rows come from a sliced prefix sum. Null and NaN
+    values are left out.
     """
-    counts = df.where(f"{name(value)} IS NOT NULL AND {name(group)} IS NOT NULL").selectExpr(
-        f"cast({name(value)} AS double) AS v", f"{name(group)} AS g"
-    ).groupBy("v", "g").agg(F.expr("count(1)").alias("n"))
+    counts = df.selectExpr(
+        f"nanvl(cast({name(value)} AS double), cast(NULL AS double)) AS v", f"{name(group)} AS g"
+    ).where("v IS NOT NULL AND g IS NOT NULL").groupBy("v", "g").agg(F.expr("count(1)").alias("n"))
     # At most one entry per class in each list.
     per_value = counts.groupBy("v").agg(
         F.expr("sum(n)").alias("t"), F.expr("collect_list(struct(g, n))").alias("parts"))
@@ -56,7 +57,7 @@ def kruskal_wallis(df: DataFrame, value: str, group: str,
     h = ("try_divide(try_divide(12D, total * (total + 1)) * spread - 3 * (total + 1), "
          "1 - try_divide(tie, total * total * total - total))")
     tested = totals.selectExpr("df", "cast(total AS bigint) AS n_rows", f"{h} AS h").withColumn(
-        "p_raw", chi_square_p("h", "df"))
+        "p_raw", F.expr(chi_square_p("h", "df")))
     return tested.selectExpr(
         "n_rows", "df", "round(h, 3) AS h_stat", "round(p_raw, 6) AS p_value",
         "coalesce(p_raw < 0.05, false) AS significant")

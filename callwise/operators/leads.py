@@ -14,6 +14,8 @@ from callwise.functions.sqltext import name, text, texts
 LARGE_COMPANY, SMALL_COMPANY = 500, 50
 
 DEFAULT_GAP = 7
+# Calls whose days are appended to one array.
+DAY_BLOCK = 256
 
 
 def lead_to_rows(records: DataFrame, calls: str = "calls", entry: str = "entry_date",
@@ -25,21 +27,27 @@ def lead_to_rows(records: DataFrame, calls: str = "calls", entry: str = "entry_d
     shuffle, and records that share a lead id stay apart.
     """
     gap = f"greatest(1, coalesce(c.days_until_next_call, {DEFAULT_GAP}))"
-    walked = (
-        f"aggregate({name(calls)}, struct(cast({name(offset)} AS int) AS day, cast(array() AS array<int>) AS days), "
-        f"(acc, c) -> struct(acc.day + {gap} AS day, array_append(acc.days, acc.day) AS days)).days")
     kept = [name(c) for c in records.columns if c not in (calls, entry, offset)]
-    rows = records.selectExpr(
-        *kept, f"{name(entry)} AS lead_entry_date", f"{name(calls)} AS all_calls", f"{walked} AS days"
-    ).selectExpr("*", "posexplode(all_calls) AS (pos, call)")
+    # Appending copies an array, so days are summed in blocks: first the blocks' starts, then the days inside each.
+    walk = lambda items, start, step: (
+        f"aggregate({items}, struct({start} AS day, cast(array() AS array<int>) AS days), "
+        f"(acc, c) -> struct(acc.day + {step} AS day, array_append(acc.days, acc.day) AS days)).days")
+    blocks = (f"transform(sequence(0, (size(all_calls) - 1) div {DAY_BLOCK}), "
+              f"b -> slice(all_calls, b * {DAY_BLOCK} + 1, {DAY_BLOCK}))")
+    lengths = f"transform(blocks, b -> aggregate(b, 0, (s, c) -> s + {gap}))"
+    rows = records.where(f"size({name(calls)}) > 0").selectExpr(
+        *kept, f"{name(entry)} AS lead_entry_date", f"{name(calls)} AS all_calls", f"cast({name(offset)} AS int) AS __first",
+    ).selectExpr("*", f"{blocks} AS blocks").selectExpr("*", f"{walk(lengths, '__first', 'c')} AS starts").selectExpr(
+        "*", f"flatten(zip_with(blocks, starts, (b, s) -> {walk('b', 's', gap)})) AS days")
     before = lambda field: (
-        f"coalesce(nullif(get(all_calls, pos - 1).{field}, ''), {text(sentinel)})")
-    return rows.selectExpr(
-        *kept, "lead_entry_date", "pos + 1 AS call_number",
-        "date_add(lead_entry_date, days[pos]) AS call_timestamp", "days[pos] AS days_since_entry",
-        "coalesce(days[pos] - get(days, pos - 1), 0) AS days_since_last_call",
-        f"{before('outcome')} AS prev_outcome", f"{before('next_step')} AS prev_next_step",
-        "call.transcript AS current_transcript", "call.outcome AS current_outcome", "call.next_step AS next_step")
+        f"coalesce(nullif(get(all_calls, i - 1).{field}, ''), {text(sentinel)})")
+    # All that a call takes from its record goes into the exploded struct; the arrays stay behind.
+    each = ("transform(all_calls, (c, i) -> struct(i + 1 AS call_number, days[i] AS day, coalesce(days[i] - get(days, i - 1), 0) AS since, "
+            f"{before('outcome')} AS prev_outcome, {before('next_step')} AS prev_next_step, c AS call))")
+    return rows.selectExpr(*kept, "lead_entry_date", f"explode({each}) AS r").selectExpr(
+        *kept, "lead_entry_date", "r.call_number", "date_add(lead_entry_date, r.day) AS call_timestamp",
+        "r.day AS days_since_entry", "r.since AS days_since_last_call", "r.prev_outcome", "r.prev_next_step",
+        "r.call.transcript AS current_transcript", "r.call.outcome AS current_outcome", "r.call.next_step AS next_step")
 
 
 def journey_prior(leads: DataFrame, employees: str = "company_num_employees",

@@ -10,6 +10,7 @@ from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from callwise.config import DEFAULTS, PARAM_GRIDS
 from callwise.operators.models import (
@@ -51,15 +52,22 @@ def random_search(fit: Fit, grid: dict[str, list], train: DataFrame, labels: Seq
                   n_iter: int = DEFAULTS.search_draws, k: int = DEFAULTS.folds,
                   metric: str = "f1_weighted", seed: int = DEFAULTS.seed
                   ) -> tuple[Fitted, dict, DataFrame]:
-    """(best model refitted on all rows, its parameters, candidates by rank)."""
+    """(best model refitted on all rows, its parameters, candidates by rank).
+
+    A candidate whose cross-validation failed (NaN) has the last rank; if all did, that is an error.
+    """
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     tried = []
     for params in draw_candidates(grid, n_iter, seed):
         mean, std = mean_std(cross_validate(partial(fit, **params), train, labels, k, metric))
         tried.append((mean, std, params))
     order = sorted(tried, key=lambda t: -t[0] if not math.isnan(t[0]) else math.inf)
+    if not order or math.isnan(order[0][0]):
+        train.unpersist()
+        raise ValueError("no candidate could be cross-validated")
     best = order[0][2]
-    rows = [(1 + sum(o[0] > t[0] for o in order), t[0], t[1], json.dumps(t[2])) for t in order]
+    worth = [-math.inf if math.isnan(t[0]) else t[0] for t in order]
+    rows = [(1 + sum(o > w for o in worth), t[0], t[1], json.dumps(t[2])) for w, t in zip(worth, order)]
     fitted = partial(fit, **best)(train, labels)
     train.unpersist()
     return fitted, best, train.sparkSession.createDataFrame(rows, CANDIDATE_SCHEMA).orderBy(
@@ -74,7 +82,8 @@ def tune_all(train: DataFrame, test: DataFrame, labels: Sequence[str], grids: di
     for name, fit in (("gradient_boosting", fit_boosted), ("random_forest", fit_forest)):
         fitted, best, table = random_search(fit, param_grid(name, grids), train, labels, n_iter, k, seed=seed)
         m = evaluate(fitted, test)
-        rows.append((name, table.first()["mean_test_score"], round(m["f1_weighted"], 4),
+        chosen = table.where((F.col("rank_test_score") == 1) & (F.col("params") == json.dumps(best)))
+        rows.append((name, chosen.first()["mean_test_score"], round(m["f1_weighted"], 4),
                      round(m["accuracy"], 4), json.dumps(best)))
         tables[name] = table
     return train.sparkSession.createDataFrame(rows, TUNED_SCHEMA), tables

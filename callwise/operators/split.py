@@ -4,7 +4,8 @@ Ranking every row of a class would need one task per class and a shuffle of the
 table. Instead the borders are found: rows are counted per class and bucket (the
 leading hex digits of a row's md5), which tells the bucket each border lies in,
 and only rows of those buckets are ranked. What remains are a few md5 values per
-class, and every row is placed by comparing with them, without a shuffle.
+class, and every row is placed by comparing with them, without a shuffle. A column
+with more values than ``LITERAL_LABELS`` gets the same borders from a table joined by label.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from callwise.functions.sqltext import name, text
 
 # A border bucket should hold about this many rows; more digits make more and smaller buckets.
 ROWS_PER_BUCKET = 100_000
-MAX_DIGITS = 4
-MAX_LABELS = 10_000
+# Up to so many classes the borders are literals of the plan; beyond, a joined table. Results are the same.
+LITERAL_LABELS = 1_000
 
 
 def md5_mark(key: str, seed: int) -> str:
@@ -29,12 +30,12 @@ def md5_mark(key: str, seed: int) -> str:
     return f"md5(cast(concat('{seed}-', cast({name(key)} AS string)) AS binary))"
 
 
-def class_sizes(df: DataFrame, label: str) -> dict[str, int]:
-    """Rows per class, nulls left out; an error if the column is no label."""
-    rows = df.where(f"{name(label)} IS NOT NULL").groupBy(label).count().limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"column {label} has more than {MAX_LABELS} values; is it a label?")
-    return {r[0]: r[1] for r in sorted(rows, key=lambda r: r[0])}
+def class_sizes(df: DataFrame, label: str) -> dict[str, int] | None:
+    """Rows per class, nulls left out; None if there are more than ``LITERAL_LABELS`` classes."""
+    rows = df.where(f"{name(label)} IS NOT NULL").groupBy(label).count().limit(LITERAL_LABELS + 1).collect()
+    if len(rows) > LITERAL_LABELS:
+        return None
+    return {str(r[0]): r[1] for r in sorted(rows, key=lambda r: r[0])}
 
 
 def test_quotas(sizes: Mapping[str, int], test_size: Fraction = DEFAULTS.test_size) -> dict[str, int]:
@@ -53,7 +54,7 @@ def test_quotas(sizes: Mapping[str, int], test_size: Fraction = DEFAULTS.test_si
 
 def bucket_digits(rows: int) -> int:
     digits = 0
-    while digits < MAX_DIGITS and rows > ROWS_PER_BUCKET * 16 ** digits:
+    while digits < 32 and rows > ROWS_PER_BUCKET * 16 ** digits:
         digits += 1
     return digits
 
@@ -104,46 +105,98 @@ def _marks_at(df: DataFrame, key: str, label: str, ranks: Mapping[str, Sequence[
 def stratified_split(df: DataFrame, key: str, label: str,
                      test_size: Fraction = DEFAULTS.test_size, seed: int = DEFAULTS.seed,
                      digits: int | None = None) -> DataFrame:
-    """Add ``split``: ``test`` or ``train``, or ``all`` on every row where a class
-    has fewer than two rows and the table serves both ends.
+    """Add ``split``: ``test`` or ``train``; null for rows without a label.
 
-    Sizes are exact for a unique ``key``; rows of a class that share a key stay together.
+    A class of one row trains; the other classes share the test rows. Sizes are exact for a
+    unique ``key``; rows of a class that share a key stay together.
     """
-    sizes = {str(c): n for c, n in class_sizes(df, label).items()}
-    labelled = df.where(f"{name(label)} IS NOT NULL")
-    if not sizes or min(sizes.values()) < 2:
-        return labelled.withColumn("split", F.lit("all"))
-    quotas = {c: [q] for c, q in test_quotas(sizes, test_size).items()}
+    sizes = class_sizes(df, label)
+    placed = "CASE WHEN {label} IS NULL THEN NULL WHEN {mark} <= {cut} THEN 'test' ELSE 'train' END"
+    at = {"label": name(label), "mark": md5_mark(key, seed)}
+    if sizes is None:
+        return _beside(df, label, _many_marks(df, key, label, _quota_table(df, label, test_size), seed, digits)).withColumn(
+            "split", F.expr(placed.format(cut="__marks[0]", **at))).drop("__marks")
+    usable = {c: n for c, n in sizes.items() if n > 1}
+    if not usable:
+        return df.withColumn("split", F.expr(f"CASE WHEN {name(label)} IS NOT NULL THEN 'train' END"))
+    quotas = {c: [q] for c, q in test_quotas(usable, test_size).items()}
     cuts = {c: text(m[0]) for c, m in _marks_at(
         df, key, label, quotas, seed, bucket_digits(sum(sizes.values())) if digits is None else digits).items()}
-    found = f"cast({name(label)} AS string)"
-    return labelled.withColumn("split", F.expr(
-        f"CASE WHEN {md5_mark(key, seed)} <= {_by_label(cuts, found)} THEN 'test' ELSE 'train' END"))
+    return df.withColumn("split", F.expr(placed.format(cut=_by_label(cuts, f"cast({name(label)} AS string)"), **at)))
 
 
 def train_part(split: DataFrame) -> DataFrame:
-    return split.where("split IN ('train', 'all')").drop("split")
+    return split.where("split = 'train'").drop("split")
 
 
 def test_part(split: DataFrame) -> DataFrame:
-    return split.where("split IN ('test', 'all')").drop("split")
+    return split.where("split = 'test'").drop("split")
+
+
+def _quota_table(df: DataFrame, label: str, test_size: Fraction) -> DataFrame:
+    """(label, rank): ``test_quotas`` as a table, one row per class of two rows or more."""
+    sizes = df.where(f"{name(label)} IS NOT NULL").groupBy(F.expr(f"cast({name(label)} AS string)").alias("label")).agg(
+        F.expr("cast(count(1) AS decimal(20, 0))").alias("n")).where("n > 1")
+    wanted = f"(total * {test_size.numerator} + {test_size.denominator - 1}) div {test_size.denominator}"
+    shared = sizes.selectExpr("label", "n", "cast(sum(n) OVER () AS decimal(20, 0)) AS total").selectExpr(
+        "label", "n", "total", f"cast({wanted} AS decimal(18, 0)) AS wanted").selectExpr(
+        "label", "wanted", "n * wanted div total AS base", "n * wanted % total AS rest")
+    return shared.selectExpr(
+        "label", "base + if(row_number() OVER (ORDER BY rest DESC, label) <= wanted - sum(base) OVER (), 1, 0) AS rank")
+
+
+def _many_marks(df: DataFrame, key: str, label: str, ranks: DataFrame, seed: int, digits: int | None) -> DataFrame:
+    """(label, marks): ``_marks_at`` as a table, for any number of classes; ranks has a row per wanted (label, rank)."""
+    if digits is None:
+        digits = bucket_digits(df.count())
+    rows = df.where(f"{name(label)} IS NOT NULL").selectExpr(
+        f"cast({name(label)} AS string) AS label", f"{md5_mark(key, seed)} AS mark"
+    ).selectExpr("label", "mark", f"substring(mark, 1, {digits}) AS bucket")
+    counted = rows.groupBy("label", "bucket").agg(F.expr("count(1)").alias("n")).selectExpr(
+        "label", "bucket", "n", "sum(n) OVER (PARTITION BY label ORDER BY bucket) - n AS before")
+    owed = counted.join(ranks, "label").where("rank > before AND rank <= before + n").selectExpr(
+        "label", "bucket", "rank", "rank - before AS owed")
+    upto = rows.join(owed.select("label", "bucket").distinct(), ["label", "bucket"]).groupBy("label", "bucket", "mark").agg(
+        F.expr("count(1)").alias("n")).selectExpr(
+        "label", "bucket", "mark", "n", "sum(n) OVER (PARTITION BY label, bucket ORDER BY mark) AS upto")
+    found = upto.join(owed, ["label", "bucket"]).where("owed > upto - n AND owed <= upto").select("label", "rank", "mark")
+    return ranks.join(found, ["label", "rank"], "left").groupBy("label").agg(
+        F.expr("transform(sort_array(collect_list(struct(rank, coalesce(mark, '') AS mark))), m -> m.mark)").alias("__marks"))
+
+
+def _beside(df: DataFrame, label: str, marks: DataFrame) -> DataFrame:
+    """``df`` with the marks of its label, null where there are none."""
+    found = marks.withColumnRenamed("label", "__label")
+    return df.join(found, F.expr(f"cast({name(label)} AS string) = __label"), "left").drop("__label")
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = DEFAULTS.folds,
                      seed: int = DEFAULTS.seed, digits: int | None = None) -> DataFrame:
     """Add ``fold`` in 0..k-1: each class in md5 order, cut into k parts whose
-    sizes differ by at most one."""
-    sizes = {str(c): n for c, n in class_sizes(df, label).items()}
-    labelled = df.where(f"{name(label)} IS NOT NULL")
+    sizes differ by at most one. Rows without a label have a null fold."""
+    sizes = class_sizes(df, label)
+    placed = "CASE WHEN {label} IS NOT NULL THEN size(filter({marks}, m -> m < __mark)) END"
+    marked = df.withColumn("__mark", F.expr(md5_mark(key, seed)))
+    if sizes is None:
+        counts = df.where(f"{name(label)} IS NOT NULL").groupBy(F.expr(f"cast({name(label)} AS string)").alias("label")).agg(
+            F.expr("count(1)").alias("n"))
+        cuts = counts.selectExpr("label", f"explode(transform(sequence(1, {k - 1}), i -> cast(i * n div {k} AS decimal(20, 0)))) AS rank") \
+            if k > 1 else counts.selectExpr("label", "cast(0 AS decimal(20, 0)) AS rank")
+        # Classes with fewer rows than folds share ranks; each counts once per fold.
+        ranks = cuts.groupBy("label", "rank").agg(F.expr("count(1)").alias("times"))
+        marks = _many_marks(df, key, label, ranks.select("label", "rank"), seed, digits)
+        repeats = ranks.groupBy("label").agg(F.expr("transform(sort_array(collect_list(struct(rank, times))), r -> r.times)").alias("__times"))
+        weight = "aggregate(zip_with(__marks, __times, (m, t) -> if(m < __mark, t, 0L)), 0L, (s, t) -> s + t)"
+        return _beside(marked, label, marks.join(repeats, "label")).withColumn("fold", F.expr(
+            f"CASE WHEN {name(label)} IS NOT NULL THEN cast({weight if k > 1 else '0'} AS int) END")).drop("__marks", "__times", "__mark")
     if not sizes:
-        return labelled.withColumn("fold", F.lit(0))
+        return df.withColumn("fold", F.lit(None).cast("int"))
     ranks = {c: [i * n // k for i in range(1, k)] for c, n in sizes.items()}
     marks = _marks_at(
         df, key, label, ranks, seed, bucket_digits(sum(sizes.values())) if digits is None else digits)
     arrays = {c: "array(" + ", ".join(text(m) for m in found) + ")" for c, found in marks.items()}
-    found = f"cast({name(label)} AS string)"
-    return labelled.withColumn("__mark", F.expr(md5_mark(key, seed))).withColumn("fold", F.expr(
-        f"size(filter({_by_label(arrays, found)}, m -> m < __mark))")).drop("__mark")
+    return marked.withColumn("fold", F.expr(placed.format(
+        label=name(label), marks=_by_label(arrays, f"cast({name(label)} AS string)")))).drop("__mark")
 
 
 def group_split(df: DataFrame, group: str, test_size: Fraction = DEFAULTS.test_size,

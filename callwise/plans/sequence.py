@@ -19,26 +19,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callwise.functions.sqltext import name, names, text
+from callwise.plans.storage import materialise
 
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 4096
-MAX_HOT_KEYS = 20_000
 SAMPLE_PER_SLICE = 30
 
 _SLICE = "__slice"
 _HOT = "__hot"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> list:
-    """The keys with more than ``rows_per_slice`` rows and their row counts.
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_slice: int) -> DataFrame:
+    """The keys with more than ``rows_per_slice`` rows and their row counts; null is a key.
 
-    Counting combines on the map side, so a hot key costs one partial row per
-    task. The ``MAX_HOT_KEYS`` largest come back, which bounds the driver's share:
-    any key left out holds less than 1 / MAX_HOT_KEYS of the table.
+    Counting combines on the map side, so a hot key costs one partial row per task.
     """
-    set_ = " AND ".join(f"{name(k)} IS NOT NULL" for k in keys)
-    counts = df.where(set_).groupBy(*keys).agg(F.expr("count(1)").alias("n"))
-    return counts.where(f"n > {rows_per_slice}").orderBy(F.desc("n")).limit(MAX_HOT_KEYS).collect()
+    return df.groupBy(*keys).agg(F.expr("count(1)").alias("n")).where(f"n > {rows_per_slice}")
 
 
 def cut_points(df: DataFrame, order: Sequence[str], rows: int, slices: int) -> list[tuple]:
@@ -123,8 +119,7 @@ def sequence_columns(
     ``number`` counts rows from 1; ``lags`` take the column of the row before;
     ``sums`` add up the rows before (0 for the first); ``firsts`` take the column
     of the group's first row. Without keys the whole table is one group.
-    Rows with a null key stay apart in the plain window, so filter them first
-    where they can be many.
+    A null key is a group like any other.
     """
     lags, sums, firsts = lags or {}, sums or {}, firsts or {}
     rows_per_slice = rows_per_slice or ROWS_PER_SLICE
@@ -132,14 +127,12 @@ def sequence_columns(
 
     if keys:
         hot = hot_keys(df, keys, rows_per_slice)
-        if not hot:
+        rows = hot.agg(F.sum("n")).first()[0]
+        if not rows:
             return _windowed(df, keys, order, lags, sums, firsts, number)
-        rows = sum(r["n"] for r in hot)
-        types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-        # at most MAX_HOT_KEYS rows
-        marks = df.sparkSession.createDataFrame(
-            [tuple(r[k] for k in keys) + (True,) for r in hot], f"{types}, {_HOT} boolean")
-        marked = df.join(F.broadcast(marks), list(keys), "left")
+        marks = materialise(hot.selectExpr(*[f"{name(k)} AS `__hot_key_{k}`" for k in keys], f"true AS {_HOT}"), "hot-keys")
+        same = F.expr(" AND ".join(f"{name(k)} <=> `__hot_key_{k}`" for k in keys))
+        marked = df.join(marks, same, "left").drop(*[f"__hot_key_{k}" for k in keys])
         hot_rows = marked.where(_HOT)
     else:
         rows = df.count()
@@ -171,7 +164,7 @@ def sequence_columns(
         *[f"lag(`__carry_lag_{out}`) OVER ({along}) AS `__carry_lag_{out}`" for out in lags],
         *[f"first_value(`__carry_first_{out}`) OVER ({along}) AS `__carry_first_{out}`" for out in firsts],
     )
-    joined = local.join(carried, F.expr(" AND ".join(f"{name(c)} = `__carry_key_{c}`" for c in part)), "left")
+    joined = local.join(carried, F.expr(" AND ".join(f"{name(c)} <=> `__carry_key_{c}`" for c in part)), "left")
     fixed = {number: f"{name(number)} + coalesce(__carry_n, 0)"}
     for out in lags:
         fixed[out] = f"CASE WHEN {_HOT} AND {name(number)} = 1 THEN `__carry_lag_{out}`.v ELSE {name(out)} END"

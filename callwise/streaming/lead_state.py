@@ -27,7 +27,8 @@ def _advance(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> I
     ids, days = calls["interaction_id"].to_numpy(), calls["day"].to_numpy()
     order = np.lexsort((ids, days))
     ids, days = ids[order], days[order].astype("int32")
-    steps, outcomes = calls["next_step"].to_numpy()[order], calls["outcome"].to_numpy()[order]
+    steps, outcomes = (
+        calls[c].astype(object).where(calls[c].notna(), DEFAULTS.sentinel).to_numpy()[order] for c in ("next_step", "outcome"))
     if state.exists:
         seen, first_day, last_day, step, outcome = state.get
     else:

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from callwise.config import FIRST_CALL
-from callwise.functions.chi_square import chi_square_tail
+from callwise.functions.chi_square import chi_square_p
 from callwise.operators import balance, coherence, correlation, duplicates, patterns, report
 
 PUBLISHED = {"a": 295, "b": 253, "c": 197, "d": 149, "e": 146, "f": 32}
@@ -32,11 +32,34 @@ def test_rare_is_judged_after_rounding(spark):
     assert out["b"]["pct"] == 5.0 and out["b"]["rare"] is False
 
 
-def test_chi_square_tail_known_values():
-    assert chi_square_tail(16.556, 5) == pytest.approx(0.005423, abs=2e-6)
-    assert chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05, abs=1e-9)
-    assert chi_square_tail(9.487729036781154, 4) == pytest.approx(0.05, abs=1e-9)
-    assert chi_square_tail(0, 3) == 1.0
+def plain_tail(stat, df):
+    """The finite sum for whole degrees of freedom, term by term in logarithms."""
+    half = stat / 2
+    if df % 2 == 0:
+        return sum(math.exp(j * math.log(half) - half - math.lgamma(j + 1)) for j in range(df // 2))
+    return math.erfc(math.sqrt(half)) + sum(
+        math.exp((j - 0.5) * math.log(half) - half - math.lgamma(j + 0.5)) for j in range(1, (df - 1) // 2 + 1))
+
+
+def test_chi_square_tail_known_values(spark):
+    cases = [(16.556, 5), (3.841458820694124, 1), (9.487729036781154, 4), (2000.0, 1000), (2000.0, 2000), (1500.0, 1400), (0.01, 3), (700.0, 2),
+             (100_500.0, 100_000), (5.0, 1001), (60.0, 61)]
+    df = spark.createDataFrame([*cases, (0.0, 3), (4.0, 0), (None, 3)], "s double, d int")
+    got = {(r["s"], r["d"]): r["p"] for r in df.selectExpr("s", "d", f"{chi_square_p('s', 'd')} AS p").collect()}
+    for s, d in cases:
+        assert got[s, d] == pytest.approx(plain_tail(s, d), abs=1e-8), (s, d)
+    assert got[16.556, 5] == pytest.approx(0.005423, abs=2e-6)
+    assert (got[0.0, 3], got[4.0, 0], got[None, 3]) == (1.0, 1.0, None)
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.0, "a"), (2.0, 2.0, "a"), (3.0, 3.0, "b"), (4.0, 4.0, "b"), (nan, 9.0, "b"), (None, 1.0, "a")],
+                               "x double, y double, g string")
+    r = correlation.kruskal_wallis(df, "x", "g").first()
+    assert (r["n_rows"], r["h_stat"]) == (4, 2.4)
+    assert {c["r"] for c in correlation.pearson_matrix(df, ["x"]).collect()} == {1.0}
+    assert {(c["col_a"], c["col_b"]): c["r"] for c in correlation.pearson_matrix(df, ["x", "y"]).collect()}["x", "y"] == 1.0
 
 
 def test_pearson_is_pairwise_and_null_for_constants(spark):

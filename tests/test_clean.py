@@ -121,3 +121,18 @@ def test_leads_with_class_keeps_whole_leads(spark):
                                "lead_id int, next_step string")
     out = leads.leads_with_class(df, "a").collect()
     assert sorted(tuple(r) for r in out) == [(1, "a"), (1, "b"), (3, "a"), (3, "a")]
+
+
+def test_a_long_record_is_walked_in_order(spark):
+    rows = spark.range(1).selectExpr(
+        "'x' AS lead_id", "date'2024-01-01' AS entry_date", "5 AS first_offset",
+        "transform(sequence(1, 60000), i -> named_struct('transcript', 't', 'outcome', cast(i AS string), 'next_step', 'n', "
+        "'days_until_next_call', cast(i % 3 AS int))) AS calls")
+    out = leads.lead_to_rows(rows).selectExpr("call_number AS n", "days_since_entry AS day", "days_since_last_call AS since", "prev_outcome AS p")
+    got = sorted(map(tuple, out.collect()))
+    day, want = 5, []
+    for i in range(1, 60001):
+        gap = max(1, (i - 1) % 3)
+        want.append((i, day if i == 1 else day + gap, 0 if i == 1 else gap, "PRIMERA_LLAMADA" if i == 1 else str(i - 1)))
+        day = want[-1][1]
+    assert got == want

@@ -188,3 +188,20 @@ def test_tuning_files(spark, table, tmp_path):
 def test_sample_components(calls):
     rows, explained = report.sample_components(calls, "current_transcript", "id", n=50)
     assert rows.count() == 50 and len(explained) == 2 and 0 < sum(explained) <= 1
+
+
+def test_a_failed_candidate_is_never_first(spark, monkeypatch):
+    from callwise.operators import search
+
+    scores = {1: float("nan"), 2: 0.4, 3: 0.6, 4: 0.4}
+    monkeypatch.setattr(search, "cross_validate", lambda fit, *a: fit.keywords["p"])
+    monkeypatch.setattr(search, "mean_std", lambda p: (scores[p], 0.0))
+    data = spark.range(1)
+    fit = lambda *a, p: p
+    model, best, table = search.random_search(fit, {"p": [1, 2, 3, 4]}, data, ["x"], n_iter=4)
+    ranks = {r["params"]: r["rank_test_score"] for r in table.collect()}
+    assert best == {"p": 3} and model == 3
+    assert ranks == {'{"p": 3}': 1, '{"p": 2}': 2, '{"p": 4}': 2, '{"p": 1}': 4}
+    scores.update({2: float("nan"), 3: float("nan"), 4: float("nan")})
+    with pytest.raises(ValueError):
+        search.random_search(fit, {"p": [1, 2]}, data, ["x"], n_iter=2)

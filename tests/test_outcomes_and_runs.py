@@ -122,3 +122,19 @@ def test_embedding_cache_encodes_each_text_once(spark, tmp_path):
     full = embedding_cache.update_cache(df, "t", path, "h", hashing_encoder(8))
     assert full.count() == 3 == full.select("text_hash").distinct().count()
     assert embedding_cache.update_cache(df, "t", path, "h", hashing_encoder(8)).count() == 3
+
+
+def test_nan_is_never_the_best(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 0.5), ("b", nan), ("c", None), ("d", 0.7), ("e", 0.7)], "c string, s double")
+    for per_slice in (None, 2):
+        got = {r["c"]: r["rank_test_score"] for r in runs.rank_candidates(df, "c", "s", per_slice).collect()}
+        assert got == {"d": 1, "e": 1, "a": 3, "b": 4, "c": 4}
+    index = df.selectExpr("c AS run_id", "s AS f1_weighted", "'t' AS timestamp")
+    assert runs.best_run(index).first()["run_id"] == "d"
+    assert runs.best_run(index.where("run_id IN ('b', 'c')")).count() == 0
+    from pyspark.sql import functions as F
+
+    metrics = spark.sql("SELECT map('x_f1', 'NaN', 'y_f1', '0.5', 'z_f1', 'no') AS m, map('x_f1', 'NaN') AS n")
+    row = metrics.select(runs.standard_metric(F.col("m"), "f1").alias("m"), runs.standard_metric(F.col("n"), "f1").alias("n")).first()
+    assert row["m"] == 0.5 and row["n"] is None

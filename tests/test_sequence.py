@@ -48,7 +48,7 @@ def test_sliced_groups_equal_plain_order(spark, rows, rows_per_slice):
 def test_hot_lead_is_cut_into_small_groups(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     hot = hot_keys(df, ["lead"], 20)
-    assert [r["lead"] for r in hot] == ["hot"]
+    assert [r["lead"] for r in hot.collect()] == ["hot"]
     only = df.where("lead = 'hot'")
     cuts = cut_points(only, ["num", "id"], 300, 15)
     sizes = [r["count"] for r in only.withColumn("s", slice_of(df, ["num", "id"], cuts)).groupBy("s").count().collect()]
@@ -89,3 +89,16 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert sequence_columns(empty, ["lead"], ["num", "id"]).count() == 0
     assert sequence_columns(empty, [], ["num", "id"]).count() == 0
+
+
+def test_a_hot_null_key_is_sliced_like_any_other(spark, monkeypatch):
+    monkeypatch.setattr(sequence, "ROWS_PER_SLICE", 8)
+    rows = [(None, i, f"s{i}") for i in range(200)] + [("a", i, f"t{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "lead string, num int, step string").repartition(3)
+    out = sequence_columns(df, ["lead"], ["num"], lags={"before": "step"}, firsts={"first": "step"})
+    assert sequence._SLICE in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["lead"], r["num"]): (r["position"], r["before"], r["first"]) for r in out.collect()}
+    assert len(got) == 203
+    for i in range(200):
+        assert got[None, i] == (i + 1, f"s{i - 1}" if i else None, "s0")
+    assert got["a", 2] == (3, "t1", "t0")

@@ -54,11 +54,32 @@ def test_folds_with_more_folds_than_rows(spark):
     assert split.stratified_folds(df, "id", "label", k=5).count() == 3
 
 
-def test_single_row_class_uses_all_rows_twice(spark):
-    df = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, None)], "id long, label string")
-    out = split.stratified_split(df, "id", "label")
-    assert [r["split"] for r in out.collect()] == ["all"] * 3
-    assert split.train_part(out).count() == split.test_part(out).count() == 3
+def test_single_row_class_trains_and_the_rest_is_split(spark):
+    rows = [(i, "a") for i in range(20)] + [(99, "z"), (100, None), (101, None)]
+    out = split.stratified_split(spark.createDataFrame(rows, "id long, label string"), "id", "label")
+    got = {r["id"]: r["split"] for r in out.collect()}
+    assert len(got) == 23 and got[99] == "train" and got[100] is None and got[101] is None
+    assert sum(v == "test" for v in got.values()) == 4 and split.train_part(out).count() == 17
+
+
+def test_unlabelled_rows_have_no_fold(spark):
+    df = spark.createDataFrame([(i, "x" if i < 6 else None) for i in range(10)], "id long, label string")
+    got = {r["id"]: r["fold"] for r in split.stratified_folds(df, "id", "label", k=3).collect()}
+    assert [got[i] for i in range(6, 10)] == [None] * 4 and Counter(got[i] for i in range(6)) == {0: 2, 1: 2, 2: 2}
+    empty = split.stratified_folds(df.where("label IS NULL"), "id", "label", k=3)
+    assert [r["fold"] for r in empty.collect()] == [None] * 4
+    assert [r["split"] for r in split.stratified_split(df.where("id > 6"), "id", "label").collect()] == [None] * 3
+
+
+def test_joined_borders_equal_literal_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "b", "c'd", None])) for i in range(300)] + [(900, "one"), (901, "two"), (902, "two")]
+    df = spark.createDataFrame(rows, "id long, label string")
+    want = (sorted(split.stratified_split(df, "id", "label").collect(), key=str), sorted(split.stratified_folds(df, "id", "label", k=4).collect(), key=str))
+    monkeypatch.setattr(split, "LITERAL_LABELS", 1)
+    got = split.stratified_split(df, "id", "label", digits=1), split.stratified_folds(df, "id", "label", k=4, digits=1)
+    assert sorted(got[0].collect(), key=str) == want[0] and sorted(got[1].collect(), key=str) == want[1]
+    assert got[0].columns == ["id", "label", "split"] and got[1].columns == ["id", "label", "fold"]
 
 
 def test_copies_of_a_key_stay_together(spark):
