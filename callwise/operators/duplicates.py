@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DUPLICATE_KEY = ("company_name", "contact_name", "call_number")
+# What the audit calls texts that start alike.
 PREFIX_CHARS = 200
 
 
@@ -20,8 +21,8 @@ def exact_duplicates(df: DataFrame, keys: Sequence[str] = DUPLICATE_KEY) -> Data
 
 
 def near_duplicates(df: DataFrame, text: str = "current_transcript",
-                    prefix: int | None = PREFIX_CHARS, skip_empty: bool = False) -> DataFrame:
-    """Rows whose text starts like an earlier one; ``prefix=None`` compares whole texts.
+                    prefix: int | None = None, skip_empty: bool = False) -> DataFrame:
+    """Rows whose text equals an earlier one, or starts like it if ``prefix`` characters are compared.
 
     Null counts as the empty text, so empty texts are copies of each other
     unless ``skip_empty`` is set.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import math
 import time
 from collections.abc import Callable, Sequence
@@ -27,6 +28,8 @@ from callwise.operators.evaluation import eval_summary
 
 MAX_TREE_DEPTH = 30
 
+log = logging.getLogger(__name__)
+
 _LOADERS = {c.__name__: c for c in (
     GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel)}
 
@@ -78,8 +81,8 @@ def fit_logistic(df: DataFrame, labels: Sequence[str], c: float = 1.0, max_iter:
 
 def fit_forest(df: DataFrame, labels: Sequence[str], n_estimators: int = 100,
                max_depth: int | None = None, min_samples_leaf: int = 1,
-               max_features: str | None = "sqrt", seed: int = DEFAULTS.seed, **_unused) -> Fitted:
-    """Random forest. ``min_samples_split`` has no counterpart in Spark and is not used."""
+               max_features: str | None = "sqrt", seed: int = DEFAULTS.seed) -> Fitted:
+    """Random forest. Spark has no minimum number of rows to split a node."""
     forest = RandomForestClassifier(
         numTrees=n_estimators, maxDepth=MAX_TREE_DEPTH if max_depth is None else max_depth,
         minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=max_features or "all", seed=seed)
@@ -128,18 +131,18 @@ def cross_validate(fit: Fit, data: DataFrame, labels: Sequence[str], k: int = DE
     """The metric on each of the ``k`` folds of column ``fold``.
 
     All folds filter one persisted table rather than keep a copy of the training
-    rows per fold. A failed fold makes the scores NaN and the caller goes on.
+    rows per fold. A failed fold is logged and scores NaN; the other folds keep their scores.
     """
     def one(i: int) -> float:
-        fitted = fit(data.where(F.col("fold") != i), labels)
-        return evaluate(fitted, data.where(F.col("fold") == i))[metric]
-
-    try:
-        with ThreadPool(min(parallelism, k)) as pool:
-            return pool.map(inheritable_thread_target(data.sparkSession)(one), range(k))
-    except Exception as error:  # noqa: BLE001
-        print(f"cross-validation failed: {error}")
-        return [math.nan] * k
+        try:
+            fitted = fit(data.where(F.col("fold") != i), labels)
+            return evaluate(fitted, data.where(F.col("fold") == i))[metric]
+        except Exception:  # noqa: BLE001
+            log.exception("fold %d failed", i)
+            return math.nan
+
+    with ThreadPool(min(parallelism, k)) as pool:
+        return pool.map(inheritable_thread_target(data.sparkSession)(one), range(k))
 
 
 def mean_std(scores: Sequence[float]) -> tuple[float, float]:

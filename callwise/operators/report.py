@@ -56,7 +56,7 @@ def feature_correlations(df: DataFrame, settings: Settings = DEFAULTS) -> DataFr
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    near = duplicates.near_duplicates(df).select(F.struct("near_duplicates", "distinct_texts")).scalar()
+    near = duplicates.near_duplicates(df, prefix=duplicates.PREFIX_CHARS).select(F.struct("near_duplicates", "distinct_texts")).scalar()
     return _check(
         duplicates.exact_duplicates(df).withColumn("near", near), "duplicates",
         {"exact duplicate calls": "exact_duplicates > 0", "texts that start alike": "near.near_duplicates > 0"},

@@ -18,6 +18,9 @@ from callwise.operators.models import (
 )
 from callwise.sources.calls import write_csv, write_json
 
+# Axes of the grids that Spark's models lack; two draws that differ there only would be the same fit.
+NO_COUNTERPART = ("min_samples_split",)
+
 CANDIDATE_SCHEMA = (
     "rank_test_score int, mean_test_score double, std_test_score double, params string")
 
@@ -30,7 +33,7 @@ def param_grid(name: str, grids: dict | None = None) -> dict[str, list]:
     grids = PARAM_GRIDS if grids is None else grids
     if name not in grids:
         raise KeyError(f"no grid for {name!r}; available: {list(grids)}")
-    return {k: list(v) for k, v in grids[name].items()}
+    return {k: list(v) for k, v in grids[name].items() if k not in NO_COUNTERPART}
 
 
 def draw_candidates(grid: dict[str, list], n: int, seed: int) -> list[dict]:

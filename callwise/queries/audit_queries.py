@@ -105,7 +105,7 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 SELECT CAST(sum(n - 1) AS BIGINT) AS near_duplicates, count(*) AS distinct_texts, CAST(sum(n) AS BIGINT) AS total_rows
 FROM (SELECT count(*) AS n FROM documents GROUP BY md5(substring(coalesce(text, ''), 1, 200)))""")
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.near_duplicates(read_table(spark, d, "documents"), "text")
+    return duplicates.near_duplicates(read_table(spark, d, "documents"), "text", prefix=duplicates.PREFIX_CHARS)
 
 
 @query("whole_text_duplicates", """

@@ -61,6 +61,18 @@ def embed_cache_missing(spark: SparkSession, d: str) -> DataFrame:
     return embedding_cache.missing_texts(docs, "text", cache, "hash-64").select("text_hash")
 
 
+@query("embed_cache_hit", """
+SELECT doc_id, sha256(text) AS text_hash, 64 AS width, CAST(0 AS BIGINT) AS encoded_again FROM documents""")
+def embed_cache_hit(spark: SparkSession, d: str) -> DataFrame:
+    """Every document gets its vector from the cache; a second run finds nothing left to encode."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "cache")
+    first = embedding_cache.cached_embeddings(docs, "text", path, "hash-64", hashing_encoder(64))
+    again = embedding_cache.missing_texts(docs, "text", embedding_cache.read_cache(spark, path), "hash-64").count()
+    return embedding_cache.with_hash(first, "text").select(
+        "doc_id", "text_hash", F.size("embedding").alias("width"), F.lit(again).cast("long").alias("encoded_again"))
+
+
 def run_table(spark: SparkSession, d: str) -> DataFrame:
     """Events as run records: one run per user, metrics by event type."""
     events = read_table(spark, d, "events").select("user_id", "ts", "event_type", "value")

@@ -22,22 +22,25 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS
 DATES = ("lead_entry_date", "call_timestamp")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
+             multi_line: bool = True) -> DataFrame:
     """CSV with a header; cells may be quoted and span lines.
 
-    Such a file is read by one task, so keep a large table in many files.
+    A file whose cells span lines is read by one task, so keep a large table in many files;
+    files without such cells are split among tasks with ``multi_line=False``.
     """
     return spark.read.schema(schema).csv(
-        path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+        path, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True, quote='"', escape='"', encoding="UTF-8")
 
 
-def load_calls(spark: SparkSession, path: str, settings: Settings = DEFAULTS) -> DataFrame:
+def load_calls(spark: SparkSession, path: str, settings: Settings = DEFAULTS,
+               multi_line: bool = True) -> DataFrame:
     """A raw CSV call table as clean, typed rows."""
-    clean = clean_calls(read_csv(spark, path), settings)
+    clean = clean_calls(read_csv(spark, path, multi_line=multi_line), settings)
     dates = {c: F.col(c).try_cast("date") for c in DATES}
     return clean.withColumns({**dates, "call_number": F.col("call_number").cast("int")})
 

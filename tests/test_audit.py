@@ -104,9 +104,9 @@ def test_duplicates(spark):
             (None, "n", 1, ""), ("c", "m", 1, "á" * 200 + "1"), ("c", "m", 2, "á" * 200 + "2")]
     df = spark.createDataFrame(rows, "company_name string, contact_name string, call_number int, current_transcript string")
     assert tuple(duplicates.exact_duplicates(df).first()) == (2, 6)
-    assert tuple(duplicates.near_duplicates(df).first()) == (3, 3, 6)
-    assert tuple(duplicates.near_duplicates(df, skip_empty=True).first()) == (2, 2, 4)
-    assert tuple(duplicates.near_duplicates(df, prefix=None).first()) == (1, 5, 6)
+    assert tuple(duplicates.near_duplicates(df, prefix=200).first()) == (3, 3, 6)
+    assert tuple(duplicates.near_duplicates(df, prefix=200, skip_empty=True).first()) == (2, 2, 4)
+    assert tuple(duplicates.near_duplicates(df).first()) == (1, 5, 6)
     assert tuple(duplicates.near_duplicates(df.limit(0)).first()) == (0, 0, 0)
 
 
