@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from callwise.llm import anchors, chat, pieces, suffix_array, suffix_dedup
 from callwise.llm.queries import PIECE_MODEL
@@ -214,4 +213,3 @@ def test_kept_units_do_not_change_results(vocabulary, monkeypatch):
     for i in range(3):
         assert apart[2 * i][0].tolist() == ids[starts[i]:starts[i + 1]].tolist() == apart[2 * i + 1][0].tolist()
         assert apart[2 * i][3][0] == more[i]
-    assert F is not None
