@@ -54,6 +54,30 @@ def with_order(df: DataFrame, group: list[str], hash_col: str, ties: list[str],
     return joined.select(*out)
 
 
+def lowest(df: DataFrame, hash_col: str, most: int, rows: int) -> DataFrame:
+    """The ``most`` rows with the lowest hashes, of about ``rows`` rows with different hashes.
+
+    A share of the hash range is taken first, somewhat more than enough, so that tasks send no more than what is kept.
+    """
+    grains = 1 << 30
+    share = min(grains, math.ceil(grains * (most + 5 * math.sqrt(most) + 10) / max(1, rows)))
+    place = F.shiftrightunsigned(hash_col, 34)
+    return df.where(place < share).orderBy(place, hash_col).limit(most)
+
+
+#: Spark's setting that drops the shuffle files of a query when it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    return materialise(df, name)
+    """``df`` written to the shared folder and read back; the shuffle files behind it go, as nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES, None)
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        return materialise(df, name)
+    finally:
+        if before is None:
+            conf.unset(_FREE_SHUFFLES)
+        else:
+            conf.set(_FREE_SHUFFLES, before)

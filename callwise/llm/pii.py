@@ -17,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callwise.llm.common import lowest, written
 from callwise.llm.tagger import Tagger, char_classes
 
 KINDS = ("email", "ip", "card", "phone")
@@ -142,18 +143,19 @@ def fit(docs: DataFrame, text: str = "text", windows: tuple[int, int] = FIT_WIND
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["x", "y"])
 
     made = docs.select(text).where(F.col(text).rlike("[0-9@]")).mapInArrow(label, "x binary, y binary")
-    bare = bytes(WINDOW)
-    made = made.withColumn("full", F.col("y") != F.lit(bare)).withColumn("h", F.xxhash64("x", "y"))
-    # One pass: the lowest hashes of each sort, all within a bound that does not grow with the data.
-    ranges = []
+    # Each different window once; then those with the lowest hashes of each sort: what comes to the driver is bounded by
+    # ``windows``, however many tasks there are.
+    made = written(made.distinct().withColumn("full", F.col("y") != F.lit(bytes(WINDOW))), "pii-windows")
+    n = {r["full"]: r["count"] for r in made.groupBy("full").count().collect()}
+    drawn = []
     for full, most in ((True, windows[0]), (False, windows[1])):
-        part = made.where(F.col("full") == full).select("h", "x", "y").orderBy("h", "x", "y").limit(most)
-        ranges += part.collect()
+        part = made.where(F.col("full") == full).withColumn("h", F.xxhash64("x", "y"))
+        drawn += lowest(part, "h", most, n.get(full, 0)).select("x", "y").collect()
     rng = np.random.default_rng(seed)
     x, y = other_forms(rng, 1_500)
-    if ranges:
-        x = np.concatenate([x, np.stack([np.frombuffer(r["x"], np.uint8) for r in ranges])])
-        y = np.concatenate([y, np.stack([np.frombuffer(r["y"], np.int8) for r in ranges])])
+    if drawn:
+        x = np.concatenate([x, np.stack([np.frombuffer(r["x"], np.uint8) for r in drawn])])
+        y = np.concatenate([y, np.stack([np.frombuffer(r["y"], np.int8) for r in drawn])])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # in a task, where numpy keeps to its cores
         for _ in batches:

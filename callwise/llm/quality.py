@@ -16,6 +16,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callwise.llm.common import lowest, written
+
 #: Labelled rows to fit on at most, taken in hash order; the only bound on what is read.
 FIT_ROWS = 6_000
 BINS = 2_048
@@ -95,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = (labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
              .groupBy(key).agg(F.round(F.avg(label)).cast("int").alias("_y")))
     there = docs.select(key).distinct()
-    chosen = known.join(there, key).orderBy(F.xxhash64(key), key).limit(rows)
+    usable = written(known.join(there, key).withColumn("_h", F.xxhash64(key)), "quality-labels")
+    chosen = lowest(usable, "_h", rows, usable.count()).drop("_h")
     sample = docs.select(key, text).join(F.broadcast(chosen), key).dropDuplicates([key])
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
