@@ -188,11 +188,15 @@ def hot_covers(snippets: DataFrame, length: int) -> DataFrame:
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES,
                    hot: int = HOT_SNIPPETS) -> DataFrame:
     """(_k, _x, lo, hi): byte runs of documents that are covered by a ``length``-byte string that also starts earlier."""
+    # Anchors that occur once go first; what is left is a small part of the rows, written once.
     rows = anchor_rows(docs, key, text, length)
-    firsts = written(rows.groupBy("a", "s").agg(F.min(F.struct("_k", "_x", "q")).alias("first"), F.max("shape").alias("shape"),
-                                                F.count(F.lit(1)).alias("n")), "sa-firsts")
-    several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("a")
-    snippets = written(snippets_of(docs, firsts.join(several, "a"), key, text, length), "sa-snippets")
+    repeated = written(rows.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), (F.min("s") != F.max("s")).alias("several"))
+                       .where("_n > 1").select("a", "several"), "sa-anchors")
+    rows = written(rows.join(repeated, "a"), "sa-rows")
+    firsts = rows.groupBy("a", "s").agg(F.min(F.struct("_k", "_x", "q")).alias("first"), F.max("shape").alias("shape"),
+                                        F.count(F.lit(1)).alias("n"), F.first("several").alias("several"))
+    firsts = written(firsts, "sa-firsts")
+    snippets = written(snippets_of(docs, firsts.where("several"), key, text, length), "sa-snippets")
     sides = snippets.select("a", "s", F.explode(F.array("kl", "kr")).alias("side"), F.lit(1)).where("side is not null")
     agreed = sides.groupBy("side").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("side")
     wanted = sides.join(agreed, "side").select("a", "s").distinct()
@@ -203,7 +207,7 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if crowded.limit(1).count():
         covers = covers.union(hot_covers(wanted.join(crowded, "a"), length))
     covers = written(covers, "sa-covers")
-    known = firsts.join(covers, ["a", "s"], "left").where("n > 1 or cover is not null").withColumnRenamed("shape", "_shape")
+    known = firsts.join(covers, ["a", "s"], "left").where("n > 1 or cover is not null")
     known = written(known.select("a", "s", "first", "cover"), "sa-known")
     hit = rows.join(known, ["a", "s"])
     start, size = F.col("q") - F.expr("shape div 1024"), F.col("shape") % 1024
