@@ -24,6 +24,10 @@ SIMILARITY = 0.8
 SKETCHES = 32
 #: k-mers in a sketch.
 TAKEN = 2
+#: A round of leaders that brings a smaller share of the links is the last one.
+GAIN = 0.001
+#: Minimum hashes of the bag of words.
+BAG_HASHES = 64
 #: Cells of the equality bands held at once by the alignment of one pair.
 BAND_CELLS = 8_000_000
 
@@ -100,6 +104,18 @@ def sketches(words: np.ndarray, n: int = SKETCHES, seed: int = 7) -> np.ndarray:
     return out.view(np.int64)
 
 
+def bag_signature(words: np.ndarray, n: int = BAG_HASHES, seed: int = 9) -> np.ndarray:
+    """One byte of each minimum hash of the words, labelled by occurrence; a cheap bound on the overlap of two bags."""
+    if not len(words):
+        return np.zeros(0, np.int8)
+    labelled = _mix(words + occurrence_labels(words) * np.uint64(0xD6E8FEB86659FD93))
+    salt = np.random.default_rng(seed).integers(1, 1 << 63, (2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, 8):
+        out[at:at + 8] = _mix(labelled[None, :] * salt[0, at:at + 8, None] + salt[1, at:at + 8, None]).min(axis=1)
+    return (_mix(out) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+
+
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     """The word edit distance if it is at most ``most``, else None."""
     n, m = len(a), len(b)
@@ -152,30 +168,71 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return int(row[m - n + most]) if row[m - n + most] <= most else None
 
 
+def alignment_cost(a: np.ndarray, b: np.ndarray) -> int:
+    """The cost of one alignment, hence no less than the edit distance: words that both texts have once, in the
+    same order, stand below each other; what lies between two of them is compared word by word."""
+    both, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = inverse[:len(a)], inverse[len(a):]
+    once = (np.bincount(a, minlength=len(both)) == 1) & (np.bincount(b, minlength=len(both)) == 1)
+    place = np.zeros(len(both), np.int64)
+    place[b] = np.arange(len(b))
+    i = np.flatnonzero(once[a])
+    j = place[a[i]]
+    in_order = (j >= np.maximum.accumulate(j)) & (j <= np.minimum.accumulate(j[::-1])[::-1]) if len(j) else np.zeros(0, bool)
+    i, j = np.concatenate([[-1], i[in_order], [len(a)]]), np.concatenate([[-1], j[in_order], [len(b)]])
+    di, dj = np.diff(i), np.diff(j)
+    at = np.arange(len(a))
+    gap = np.searchsorted(i, at, "right") - 1  # the last anchor at or before each word of a
+    off = at - i[gap]
+    compared = (off >= 1) & (off <= (np.minimum(di, dj) - 1)[gap])
+    unlike = a[compared] != b[(j[gap] + off)[compared]]
+    return int(unlike.sum() + np.abs(di - dj).sum())
+
+
 def edit_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether some alignment within the band costs little enough; the plain one is tried before the best one."""
     longest = max(len(a), len(b))
-    return edit_distance_within(a, b, int((1 - similarity) * longest + 1e-9)) is not None
+    most = int((1 - similarity) * longest + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    return alignment_cost(a, b) <= most or edit_distance_within(a, b, most) is not None
 
 
 def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _x, node, words, sketches): ``node`` is a digest of the words (of the text, if it has none)."""
+    """(key, _x, node, words, marks, bag): ``node`` is a digest of the words (of the text, if it has none)."""
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, marks = [], [], []
+            nodes, counts, marks, bags = [], [], [], []
             for t in batch.column(2).to_pylist():
                 words = word_hashes(t or "")
                 raw = words.tobytes() if len(words) else b"-" + (t or "").encode("utf-8", "surrogatepass")
                 nodes.append(hashlib.blake2b(raw, digest_size=16).digest())
                 counts.append(len(words))
                 marks.append(sketches(words))
+                bags.append(bag_signature(words))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()),
-                 pa.array(marks, pa.list_(pa.int64()))], names=["_k", "_x", "node", "words", "marks"])
+                 pa.array(marks, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int8()))], names=["_k", "_x", "node", "words", "marks", "bag"])
+
+    return slim.mapInArrow(run, f"_k {kind}, _x long, node binary, words int, marks array<long>, bag array<tinyint>")
+
 
-    return slim.mapInArrow(run, f"_k {kind}, _x long, node binary, words int, marks array<long>")
+def least_agreement(similarity: float) -> int:
+    """Bag hashes that agree for all but about one in 5,000 pairs of just that similarity: they share s / (2 - s) of
+    their joint bag at least."""
+    share = similarity / (2 - similarity)
+    return max(0, int(BAG_HASHES * share - 3.6 * (BAG_HASHES * share * (1 - share)) ** 0.5))
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose bags of words may overlap enough; texts of the others need not be fetched."""
+    bags = nodes.select("node", "bag")
+    both = pairs.join(bags.withColumnsRenamed({"node": "b", "bag": "bag_b"}), "b").join(bags.withColumnsRenamed({"node": "a", "bag": "bag_a"}), "a")
+    agree = F.aggregate(F.zip_with("bag_a", "bag_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    return both.where(agree >= least_agreement(similarity)).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -204,14 +261,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     Two texts are linked if 1 - edit distance / longer length >= ``similarity``, in words without case and punctuation, and
     they share one of SKETCHES sketches; classes are the connected components. Equal word sequences are one node. A
-    bucket compares its leader with its other members, never all pairs; buckets that still hold several classes
-    get another leader in the next round, until a whole round finds no new link. Texts without words, null texts
+    bucket compares leaders with its other members, never all pairs, first by signatures of their word bags, then by their
+    texts; buckets that still hold several classes get another leader in the next round, other ones in each of the
+    SKETCHES tables, until a whole round brings less than GAIN of all links. Texts without words, null texts
     among them (as empty), are classed with equal texts only. Rows with a null key are documents; equal rows share
     a class; an empty table gives an empty result. Other columns are not looked at.
     """
     rows = written(describe(docs, key, text), "dup-rows")
     nodes = written(rows.groupBy("node").agg(F.min(F.struct("_k", "_x")).alias("rep"), F.first("marks").alias("marks"),
-                                             F.first("words").alias("words")), "dup-nodes")
+                                             F.first("bag").alias("bag"), F.first("words").alias("words")), "dup-nodes")
     marks = nodes.select("node", "words", F.explode("marks").alias("bucket"))
     shared = marks.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
     members = written(marks.join(shared, "bucket"), "dup-buckets")
@@ -219,27 +277,41 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     source = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).alias("text"))
     texts = written(source.alias("s").join(wanted.alias("w"), same("s", "w", ["_k", "_x"])).select("node", "text")
                     .dropDuplicates(["node"]), "dup-texts")
-    labels = None
-    tested = links = None
-    turn = 0
+    labels = tested = links = None
+    turn = total = 0
     while True:
         now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn(
             "label", F.coalesce("label", "node"))
-        order = F.struct("node", "words", "label") if turn == 0 else F.struct(
-            F.xxhash64("bucket", "node", F.lit(turn)).alias("h"), "node", "words", "label")
-        led = now.join(now.groupBy("bucket").agg(F.min(order).alias("l")), "bucket")
+        # The least node leads at first, then another member of each bucket in every round.
+        drawn = F.xxhash64("bucket", "node", F.lit(turn)) if turn else F.lit(0)
+        leaders = now.groupBy("bucket").agg(F.min(F.struct(drawn.alias("h"), "node", "words", "label")).alias("l"))
+        led = now.join(leaders, "bucket")
         near = F.least("words", "l.words") >= F.greatest("words", "l.words") * F.lit(similarity)
         pairs = led.where((F.col("label") != F.col("l.label")) & near).select(
             F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "dup-pairs")
-        found = written(verified(pairs, texts, similarity), "dup-links")
-        if not found.limit(1).count():
+        found = written(verified(alike(pairs, nodes, similarity), texts, similarity), "dup-links")
+        new = found.count()
+        if new == 0:
             break
+        total += new
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        labels = components(links)
+        if labels is None:
+            labels = components(found)
+        else:  # only classes are joined now
+            for end in ("a", "b"):
+                found = found.join(labels.select(F.col("node").alias(end), F.col("label").alias("_l")), end, "left").withColumn(
+                    end, F.coalesce("_l", end)).select("a", "b")
+            joined = components(found)
+            up = joined.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+            fresh = joined.join(labels.select("node"), "node", "left_anti")
+            labels = written(labels.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label")).union(
+                fresh.select("node", "label")), "dup-labels")
+        if new < GAIN * total:
+            break
         turn += 1
     if links is None:
         degree = rows.select("node").where("false").withColumn("n_links", F.lit(0).cast("long"))
