@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: Sainte-Laguë seats for equal-token blocks, then seeded block selection.
+"""Mixing sources to target weights: Sainte-Laguë seats for equal-token blocks, then documents in seeded order.
 
 Only DataFrame expressions. Documents shrink to (id, source, words, hash) once; texts are read in no other step.
 """
@@ -50,24 +50,16 @@ def sainte_lague(targets: DataFrame, seats: int) -> DataFrame:
     return won.groupBy("source").agg(F.count(F.lit(1)).alias("quota"))
 
 
-def block_selection(quotas: DataFrame, block: int, most: int, seed: int) -> DataFrame:
-    """(source, source_size, quota) to a row per block of a source's stream: words to take from it in the last, partial round.
+def rounds_and_rest(quotas: DataFrame, block: int, most: int) -> DataFrame:
+    """Adds to (source, source_size, quota): ``_rounds``, the times that the whole source is taken, and ``_rest``, the
+    words that the last, partial round takes from documents in seeded order.
 
-    A quota of q blocks is q * block words: whole rounds over the source first, then blocks in seeded order
-    until the rest is used up. Columns: source, rounds, _block, _take, _taken_before (in stream order).
+    A quota of q blocks is q * block words, ``most`` times the source at most.
     """
     goal = F.least(F.col("quota") * F.lit(block), F.col("source_size") * F.lit(most))
-    t = (quotas.where("source_size > 0").withColumn("_goal", goal)
-         .withColumn("rounds", F.expr("_goal div source_size"))
-         .withColumn("_rest", F.col("_goal") - F.col("rounds") * F.col("source_size"))
-         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(source_size - 1) div {block}"))))
-         .withColumn("_len", F.least(F.lit(block), F.col("source_size") - F.col("_block") * F.lit(block))))
-    seeded = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "_block"), "_block")
-    used = F.coalesce(F.sum("_len").over(seeded.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("_take", F.greatest(F.lit(0), F.least(F.col("_len"), F.col("_rest") - used)))
-    stream = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return t.select("source", "rounds", "_block", "_take",
-                    F.coalesce(F.sum("_take").over(stream), F.lit(0)).alias("_taken_before"))
+    return (quotas.withColumn("_goal", goal)
+            .withColumn("_rounds", F.expr("if(source_size > 0, _goal div source_size, 0)"))
+            .withColumn("_rest", F.col("_goal") - F.col("_rounds") * F.col("source_size")).drop("_goal"))
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17,
@@ -75,8 +67,9 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     """Words to take from every document so that sources meet their target weights.
 
     Input columns used: doc_id, text, source. Output, a row per input row: doc_id, source, size, source_size,
-    target, quota (blocks), taken, and the sizes of rounds. ``taken`` counts repeats and never exceeds ``most``
-    times ``size``; a document on the border of a block is taken in part. Null texts have size 0 and take 0; null
+    target, quota (blocks), taken. ``taken`` counts repeats and never exceeds ``most``
+    times ``size``; the last round takes whole documents in seeded order until the quota is met, so that one document
+    of a source at most is taken in part. Null texts have size 0 and take 0; null
     is a source of its own, last in order; an empty table gives an empty result; equal rows take what their places
     in the seeded stream give, the same in every run.
     """
@@ -91,26 +84,12 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     quotas = sainte_lague(targets, round(head["words"] / block))
     per_source = targets.alias("t").join(quotas.alias("q"), same("t", "q", ["source"]), "left").select(
         "t.source", "source_size", "target", F.coalesce("quota", F.lit(0)).cast("long").alias("quota"))
-    # One row per seat and source at most, whatever the size of the data: these may be broadcast.
-    blocks = written(block_selection(per_source, block, most, seed), "mix-blocks")
+    per_source = written(rounds_and_rest(per_source, block, most), "mix-quotas")
     placed = with_order(slim, ["source"], "_h", ["doc_id", "size"], "size", rows=head["n"])
-    first = placed.withColumn("_end", F.col("_before") + F.greatest(F.col("size") - 1, F.lit(0)))
-    first = first.withColumn("_b0", F.expr(f"_before div {block}")).withColumn("_b1", F.expr(f"_end div {block}"))
-
-    def looked_up(df: DataFrame, at: str, position: str, name: str) -> DataFrame:
-        """Words that the partial round takes from the stream before ``position``, which lies in block ``at``."""
-        b = F.broadcast(blocks.select(F.col("source").alias("_s"), F.col("_block").alias("_at"), F.col("rounds").alias(f"{name}_rounds"),
-                                      "_take", "_taken_before"))
-        hit = df.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col(at) == F.col("_at")), "left")
-        offset = F.col(position) - F.col(at) * F.lit(block)
-        value = F.coalesce(F.col("_taken_before") + F.least(offset, F.col("_take")), F.lit(0))
-        return hit.withColumn(name, value).drop("_s", "_at", "_take", "_taken_before")
-
-    low = looked_up(first, "_b0", "_before", "_f0")
-    both = looked_up(low.withColumn("_stop", F.col("_before") + F.col("size")), "_b1", "_stop", "_f1")
-    s = F.broadcast(per_source.select(F.col("source").alias("_s"), "source_size", "target", "quota"))
-    out = both.join(s, F.col("source").eqNullSafe(F.col("_s")))
-    taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("_f0_rounds") * F.col("size") + F.col("_f1") - F.col("_f0"))
+    s = F.broadcast(per_source.withColumnRenamed("source", "_s"))
+    out = placed.join(s, F.col("source").eqNullSafe(F.col("_s")))
+    partial = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
+    taken = F.col("_rounds") * F.col("size") + partial
     return out.select("doc_id", "source", "size", "source_size", "target", "quota", taken.cast("long").alias("taken"), "_h")
 
 

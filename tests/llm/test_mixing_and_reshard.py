@@ -82,6 +82,16 @@ def test_mixed_rows_hold_the_words_taken(spark, rows):
     assert {k: v for k, v in want.items() if v} == dict(got)
 
 
+@pytest.mark.parametrize("seats", [None, 50])
+def test_texts_stay_whole_but_for_one_a_source(spark, rows, seats):
+    docs, cut = corpus(spark, [(i, t, s) for i, (_, t, s) in enumerate(rows)]), defaultdict(set)
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in mixing.apply_mix(docs, **({"seats": seats} if seats else {})).collect():
+        if r["text"] != whole[r["doc_id"]]:
+            cut[r["source"]].add(r["doc_id"])
+    assert all(len(ids) == 1 for ids in cut.values())
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(corpus(spark, [])).collect() == []
     assert [r["taken"] for r in mixing.mix(corpus(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]
