@@ -5,13 +5,13 @@ Only DataFrame expressions. Documents shrink to (id, source, words, hash) once;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwise.llm.common import same, with_order, written
 
-#: Seats at most, about; with more the quotas are finer. A fixed resolution, so the seat table never grows with the data.
-SEATS = 65_536
+#: Words of a block, hence of a seat. Fixed, so that quotas are as fine for a corpus of any size; seats grow with the data.
+BLOCK = 1
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -40,34 +40,50 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
 
 def sainte_lague(targets: DataFrame, seats: int) -> DataFrame:
-    """(source, target) to (source, quota): ``seats`` seats go to the highest quotients target / (2k + 1); ties to the earlier source."""
+    """(source, target) to (source, quota): ``seats`` seats go to the highest quotients target / (2k + 1); ties to the earlier source.
+
+    Rounding the targets over a common divisor gives the seats of all quotients above a level. The divisor for which the
+    targets make half a source each fewer than ``seats`` gives no seat too many, the one for half a source each more gives
+    enough; about two quotients a source lie between them, and only those are ordered, however many seats there are.
+    """
     everywhere = Window.partitionBy()
-    asked = F.ceil(F.col("target") / F.sum("target").over(everywhere) * F.lit(seats)).cast("int") + 2
-    quotients = (targets.where("target > 0").withColumn("_asked", asked)
-                 .withColumn("_k", F.explode(F.sequence(F.lit(0), "_asked")))
-                 .select("source", (F.col("target") / (2 * F.col("_k") + 1)).alias("_q")))
-    won = quotients.orderBy(F.col("_q").desc(), F.col("source").asc_nulls_last()).limit(seats)
-    return won.groupBy("source").agg(F.count(F.lit(1)).alias("quota"))
+    t = (targets.where("target > 0").withColumn("_share", F.col("target") / F.sum("target").over(everywhere))
+         .withColumn("_slack", F.count(F.lit(1)).over(everywhere) / 2 + 1))
+
+    def rounded(total: Column) -> Column:
+        return F.floor(F.col("_share") * F.greatest(total, F.lit(0)) + 0.5).cast("long")
+
+    t = t.select("source", "target", rounded(F.lit(seats) - F.col("_slack")).alias("_sure"),
+                 rounded(F.lit(seats) + F.col("_slack")).alias("_most"))
+    t = t.withColumn("_left", F.lit(seats) - F.sum("_sure").over(everywhere))
+    border = (t.where("_most > _sure").withColumn("_k", F.explode(F.sequence("_sure", F.col("_most") - 1)))
+              .select("source", "_left", (F.col("target") / (2 * F.col("_k") + 1)).alias("_q")))
+    by_quotient = Window.orderBy(F.col("_q").desc(), F.col("source").asc_nulls_last())
+    won = border.withColumn("_place", F.row_number().over(by_quotient)).where("_place <= _left").select("source", F.lit(1).cast("long").alias("_n"))
+    all_won = t.select("source", F.col("_sure").alias("_n")).union(won)
+    return all_won.groupBy("source").agg(F.sum("_n").alias("quota")).where("quota > 0")
 
 
 def rounds_and_rest(quotas: DataFrame, block: int, most: int) -> DataFrame:
     """Adds to (source, source_size, quota): ``_rounds``, the times that the whole source is taken, and ``_rest``, the
     words that the last, partial round takes from documents in seeded order.
 
-    A quota of q blocks is q * block words, ``most`` times the source at most.
+    A quota of q blocks is q * block words, ``most`` times the source at most. A source whose target is too small for a
+    seat takes its target.
     """
-    goal = F.least(F.col("quota") * F.lit(block), F.col("source_size") * F.lit(most))
+    words = F.when(F.col("quota") > 0, F.col("quota") * F.lit(block)).otherwise(F.ceil("target"))
+    goal = F.least(words, F.col("source_size") * F.lit(most))
     return (quotas.withColumn("_goal", goal)
             .withColumn("_rounds", F.expr("if(source_size > 0, _goal div source_size, 0)"))
             .withColumn("_rest", F.col("_goal") - F.col("_rounds") * F.col("source_size")).drop("_goal"))
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17,
-        seats: int = SEATS) -> DataFrame:
+        seats: int | None = None) -> DataFrame:
     """Words to take from every document so that sources meet their target weights.
 
     Input columns used: doc_id, text, source. Output, a row per input row: doc_id, source, size, source_size,
-    target, quota (blocks), taken. ``taken`` counts repeats and never exceeds ``most``
+    target, quota (blocks of BLOCK words, or ``seats`` blocks), taken. ``taken`` counts repeats and never exceeds ``most``
     times ``size``; the last round takes whole documents in seeded order until the quota is met, so that one document
     of a source at most is taken in part. Null texts have size 0 and take 0; null
     is a source of its own, last in order; an empty table gives an empty result; equal rows take what their places
@@ -78,7 +94,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
         F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit(""))).alias("_h"))
     slim = written(slim, "mix-sizes")
     head = slim.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    block = max(1, head["words"] // seats)
+    block = max(1, head["words"] // seats) if seats else BLOCK
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sizes, weights, most), "mix-targets")
     quotas = sainte_lague(targets, round(head["words"] / block))
@@ -94,7 +110,7 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
 
 
 def apply_mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 17,
-              seats: int = SEATS) -> DataFrame:
+              seats: int | None = None) -> DataFrame:
     """The mixed rows themselves: whole copies of a document as often as taken, then its first words for the rest.
 
     Documents of which nothing is taken go. Columns are those of the input; a given n_chars follows the text.

@@ -66,6 +66,29 @@ def test_seats_go_to_the_highest_quotients(spark):
     assert got == dict(seats)
 
 
+def test_seats_of_any_number_go_to_the_highest_quotients(spark):
+    rng = random.Random(5)
+    for n, seats in ((1, 1), (6, 2), (6, 40), (30, 7), (30, 500)):
+        share = {f"s{i:02}": rng.choice([0.01, 1.0, 1.0, 40.0]) * rng.random() for i in range(n)}
+        want = defaultdict(int)
+        for _ in range(seats):
+            want[max(sorted(share), key=lambda s: share[s] / (2 * want[s] + 1))] += 1
+        t = spark.createDataFrame(list(share.items()), "source string, target double")
+        assert {r["source"]: r["quota"] for r in mixing.sainte_lague(t, seats).collect()} == {s: k for s, k in want.items() if k}
+    t = spark.createDataFrame([("a", 3e9), ("b", 2e9 - 35.0), ("c", 35.0)], "source string, target double")
+    assert {r["source"]: r["quota"] for r in mixing.sainte_lague(t, 5_000_000_000).collect()} == {"a": 3_000_000_000, "b": 1_999_999_965, "c": 35}
+
+
+def test_small_sources_get_their_target_beside_large_ones(spark):
+    rows = [(i, "w " * 100_000, "large") for i in range(40)] + [(100 + i, "just five words of it", f"small{i}") for i in range(4)]
+    for docs in (corpus(spark, rows), corpus(spark, rows[:1] + rows[40:])):
+        taken = defaultdict(int)
+        for r in mixing.mix(docs).collect():
+            taken[r["source"]] += r["taken"]
+        assert all(taken[f"small{i}"] == 15 for i in range(4))
+    assert all(r["taken"] > 0 for r in mixing.mix(corpus(spark, rows), seats=50).collect() if r["source"] != "large")
+
+
 def test_coarse_blocks_keep_every_bound(spark, rows):
     for r in mixing.mix(corpus(spark, rows), seats=50).collect():
         assert 0 <= r["taken"] <= 3 * r["size"]
