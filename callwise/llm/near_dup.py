@@ -24,8 +24,13 @@ SIMILARITY = 0.8
 SKETCHES = 32
 #: k-mers in a sketch.
 TAKEN = 2
-#: A round of leaders that brings a smaller share of the links is the last one.
-GAIN = 0.001
+#: After a round of leaders that brings a smaller share of the links, all pairs still open are compared. It decides how
+#: work is dealt, never a class.
+LEADERS_GAIN = 0.001
+#: Members of a bucket that a task compares with as many others.
+GRID_MEMBERS = 4_096
+#: Shares of the open pairs tested by the end of each round; pairs whose classes have been joined by then are not tested.
+OPEN_SHARES = (1 / 64, 1 / 8, 1.0)
 #: Minimum hashes of the bag of words.
 BAG_HASHES = 64
 #: Cells of the equality bands held at once by the alignment of one pair.
@@ -255,16 +260,96 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInArrow(run, "a binary, b binary")
 
 
+def open_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all pairs of members of a bucket that are of different classes, of fitting lengths, and alike as bags of words.
+
+    A bucket is cut into blocks of about GRID_MEMBERS by the hash of the node; each pair of blocks is compared inside one
+    task, so that no row is made for a pair that is not alike.
+    """
+    now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi")
+    here = now.join(mixed.select("bucket", F.ceil(F.col("_m") / GRID_MEMBERS).cast("int").alias("_blocks")), "bucket")
+    here = here.join(nodes.select("node", "bag"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = here.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        "bucket", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "node", "label", "words", "bag")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "words")
+    least = least_agreement(similarity)
+
+    def compared(group: pa.Table) -> pa.RecordBatch:
+        """The group's rows stand in the order of their lengths, so those that fit a row stand close to it."""
+        node, words, own = group["node"].combine_chunks(), group["words"].to_numpy(), group["own"].to_numpy()
+        label = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)[1]
+        bags = np.ascontiguousarray(group["bag"].combine_chunks().flatten().to_numpy().reshape(len(words), BAG_HASHES).T)
+        across = group["i"][0].as_py() != group["j"][0].as_py()
+        stop = np.searchsorted(words * similarity, words + 1e-6, "right")
+        first, second = [], []
+        for at in range(0, len(words), 256):
+            to = min(at + 256, len(words))
+            end = int(stop[to - 1])
+            fits = np.arange(at, end)[None, :] < stop[at:to, None]
+            fits &= np.arange(at, end)[None, :] > np.arange(at, to)[:, None]
+            fits &= label[None, at:end] != label[at:to, None]
+            if across:
+                fits &= own[None, at:end] != own[at:to, None]
+            if not fits.any():
+                continue
+            agree = np.zeros(fits.shape, np.uint8)
+            for h in bags:
+                agree += h[None, at:end] == h[at:to, None]
+            x, y = np.nonzero(fits & (agree >= least))
+            first.append(x + at)
+            second.append(y + at)
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (first, second))
+        return pa.RecordBatch.from_arrays([node.take(pa.array(x)), node.take(pa.array(y))], names=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            part = part if rest is None else pa.concat_tables([rest, part])
+            keys = np.stack([part[c].to_numpy() for c in ("bucket", "i", "j")])
+            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            starts = [0, *edges.tolist()]
+            for start, stop in zip(starts, starts[1:]):
+                yield compared(part.slice(start, stop - start))
+            rest = part.slice(starts[-1])
+        if rest is not None and len(rest):
+            yield compared(rest)
+
+    found = dealt.mapInArrow(run, "x binary, y binary")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def between_classes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the classes of both ends, la and lb."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias("_l")), end, "left").withColumn(
+            f"l{end}", F.coalesce("_l", end)).drop("_l")
+    return pairs
+
+
+def joined_classes(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The labels after the links of ``found``; only classes are joined."""
+    if labels is None:
+        return components(found)
+    joined = components(between_classes(found, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    up = joined.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+    fresh = joined.join(labels.select("node"), "node", "left_anti")
+    return written(labels.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label")).union(
+        fresh.select("node", "label")), "dup-labels")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row per input row: key, class_id (least key of its class), class_size (rows), n_links (verified links of its
     text), _x (hash of its text).
 
     Two texts are linked if 1 - edit distance / longer length >= ``similarity``, in words without case and punctuation, and
     they share one of SKETCHES sketches; classes are the connected components. Equal word sequences are one node. A
-    bucket compares leaders with its other members, never all pairs, first by signatures of their word bags, then by their
-    texts; buckets that still hold several classes get another leader in the next round, other ones in each of the
-    SKETCHES tables, until a whole round brings less than GAIN of all links. Texts without words, null texts
-    among them (as empty), are classed with equal texts only. Rows with a null key are documents; equal rows share
+    bucket compares leaders with its other members, by signatures of their word bags and then by their texts; buckets
+    that still hold several classes get another leader in the next round, other ones in each of the SKETCHES tables, while
+    rounds bring many links. Then all pairs of a bucket that are still of different classes and not tested are compared in
+    the same way, so that no link between two classes is left. Texts without words, null texts among them (as empty), are
+    classed with equal texts only. Rows with a null key are documents; equal rows share
     a class; an empty table gives an empty result. Other columns are not looked at.
     """
     rows = written(describe(docs, key, text), "dup-rows")
@@ -294,25 +379,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         pairs = written(pairs, "dup-pairs")
         found = written(verified(alike(pairs, nodes, similarity), texts, similarity), "dup-links")
         new = found.count()
+        tested = pairs if tested is None else tested.union(pairs)
         if new == 0:
             break
         total += new
-        tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
-        if labels is None:
-            labels = components(found)
-        else:  # only classes are joined now
-            for end in ("a", "b"):
-                found = found.join(labels.select(F.col("node").alias(end), F.col("label").alias("_l")), end, "left").withColumn(
-                    end, F.coalesce("_l", end)).select("a", "b")
-            joined = components(found)
-            up = joined.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-            fresh = joined.join(labels.select("node"), "node", "left_anti")
-            labels = written(labels.join(up, "label", "left").select("node", F.coalesce("_up", "label").alias("label")).union(
-                fresh.select("node", "label")), "dup-labels")
-        if new < GAIN * total:
+        labels = joined_classes(labels, found)
+        if new < LEADERS_GAIN * total:
             break
         turn += 1
+    classes = rows.select("node", F.col("node").alias("label")).where("false") if labels is None else labels
+    left = written(open_pairs(members, nodes, classes, similarity).join(tested, ["a", "b"], "left_anti"), "dup-open")
+    place, done = F.shiftrightunsigned(F.xxhash64("a", "b"), 33) / F.lit(float(1 << 31)), 0.0
+    for share in OPEN_SHARES:
+        pairs = left.where((place >= done) & (place < share))
+        if labels is not None:
+            pairs = between_classes(pairs, labels).where("la != lb").select("a", "b")
+        found = written(verified(pairs, texts, similarity), "dup-links")
+        done = share
+        if found.limit(1).count():
+            links = found if links is None else links.union(found)
+            labels = joined_classes(labels, found)
     if links is None:
         degree = rows.select("node").where("false").withColumn("n_links", F.lit(0).cast("long"))
         labels = rows.select("node", F.col("node").alias("label")).where("false")

@@ -105,6 +105,18 @@ def test_classes_equal_brute_force(spark, rows):
     assert len(kept) == len({(r["class_id"], r["class_size"]) for r in got if r["class_id"] is not None}) + len({r["class_size"] for r in got if r["class_id"] is None})
 
 
+def test_no_pair_of_a_crowded_bucket_stays_open(spark, monkeypatch):
+    """All texts share one bucket, whose first leaders are of other classes than the copies."""
+    monkeypatch.setattr(near_dup, "sketches", lambda words: np.zeros(min(1, len(words)), np.int64))
+    rng = random.Random(8)
+    for members in (near_dup.GRID_MEMBERS, 16):
+        monkeypatch.setattr(near_dup, "GRID_MEMBERS", members)
+        rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randint(40, 60)))) for i in range(60)]
+        rows += [(100 + i, " ".join(edited(rng, t.split(), 0.05))) for i, t in rows[:25]]
+        got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_dup.near_duplicates(corpus(spark, rows)).collect()}
+        assert got == {i: (i % 100, 2 if i % 100 < 25 else 1) for i, _ in rows}
+
+
 def test_nothing_and_repeated_rows(spark):
     assert near_dup.near_duplicates(corpus(spark, [])).collect() == []
     same = near_dup.near_duplicates(corpus(spark, [(1, "a b c"), (1, "a b c"), (2, None), (3, "")])).collect()
