@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.llm import ann, chat, mixing, near_dup, pieces, pii, quality, reshard, suffix_dedup, topk
+from callwise.llm import (
+    alignment, ann, chat, mixing, near_dup, pieces, pii, quality, reshard, simhash, suffix_dedup, target_sample, topk,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +111,46 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_simhash_variants")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(range(strlen(w)), lambda i: CAST(
+    (instr('0123456789ABCDEF', substr(x, CAST(2 * i + 1 AS INT), 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, CAST(2 * i + 2 AS INT), 1)) - 1 AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc[CAST(xor(c & 255, b) + 1 AS INT)]))"""
+
+
+@query("op12_target_resample", f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+v AS (SELECT w, xor(4294967295, {_CRC}) % 10000 AS bucket FROM (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM d UNION SELECT w FROM b)), crc),
+s AS (SELECT bucket, count(*) AS s FROM d JOIN v USING (w) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (w) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000)
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket)),
+f AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM d JOIN v USING (w) JOIN g USING (bucket) GROUP BY 1),
+h AS (SELECT doc_id, CAST(list_reduce(list_transform(range(8), lambda i: CAST(instr('0123456789abcdef',
+    substr(sha256('2024:' || doc_id), CAST(i + 1 AS INT), 1)) - 1 AS BIGINT)), lambda a, y: a * 16 + y) AS DOUBLE) AS h FROM documents),
+r AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h LEFT JOIN f USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, rank FROM r
+LEFT JOIN (SELECT * FROM o WHERE rank <= (SELECT 10 * count(*) // 100 FROM o)) USING (doc_id)""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return target_sample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+#: The other tokenizer file of the alignment.
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+@query("op13_lockstep_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf, "documents"), BYTE_MODEL, PIECE_MODEL)
