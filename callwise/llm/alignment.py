@@ -12,6 +12,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,9 @@ from callwise.llm.common import written
 LANE = 256
 #: Bytes of text that are encoded and aligned at once.
 BATCH_BYTES = 1 << 21
-#: Characters of a text that are encoded at once, about; a longer text is cut at spaces between letters, where both encoders cut too.
-LONG_TEXT = 1 << 22
+#: Different units, and characters of them, that a task keeps with their tokens before it starts afresh.
+KEPT_UNITS = 300_000
+KEPT_CHARACTERS = 1 << 24
 #: Pairs of ids whose counts executors hold at once (16 bytes each); beyond that they are looked up in several passes.
 HELD_PAIRS = 2_000_000
 
@@ -77,44 +79,42 @@ class Pieces:
 
 
 class Lists:
-    """Token ids of a batch, one list after the other, with the byte at which each token ends in the batch's bytes."""
+    """Token ids of a batch, one text after the other, with the byte at which each token ends in the batch's bytes."""
 
-    def __init__(self, lists: list[list[int]], lengths: np.ndarray, offsets: np.ndarray) -> None:
-        self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.start = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.ids = np.fromiter((i for x in lists for i in x), np.int64, self.start[-1])
-        within = np.cumsum(lengths[self.ids])
-        before = np.concatenate([[0], within])[self.start[:-1]]
-        self.end = within + np.repeat(offsets - before, self.sizes)
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray) -> None:
+        self.ids, self.sizes = ids, sizes
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.end = np.cumsum(lengths[ids])
 
 
-def lockstep(a: Lists, b: Lists, lane: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens of A, tokens of B) that overlap, link by link, and the tokens of A whose end is also one of B's.
+def lockstep(a: Lists, b: Lists, lane: int = LANE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token of A, token of B) of each overlap, and of each place where both end, in the order of A within either pair.
 
     Tokens are numbered through the batch. Both sides of every text must spell the same bytes.
     """
     many = -(-a.sizes // lane)
     text = np.repeat(np.arange(len(many)), many)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    pa_ = a.start[text] + nth * lane
-    stop = np.minimum(pa_ + lane, a.start[text + 1])
+    at_a = a.start[text] + nth * lane
+    stop = np.minimum(at_a + lane, a.start[text + 1])
     # A lane starts at the token of B that holds the first byte of its first token of A.
-    begin = np.where(pa_ > 0, a.end[np.maximum(pa_ - 1, 0)], 0)
-    pb = np.searchsorted(b.end, begin, "right")
-    links_a, links_b, cuts = [], [], []
-    while len(pa_):
-        links_a.append(pa_)
-        links_b.append(pb)
-        end_a, end_b = a.end[pa_], b.end[pb]
+    begin = np.where(at_a > 0, a.end[np.maximum(at_a - 1, 0)], 0)
+    at_b = np.searchsorted(b.end, begin, "right")
+    links_a, links_b, cuts_a, cuts_b = [], [], [], []
+    while len(at_a):
+        links_a.append(at_a)
+        links_b.append(at_b)
+        end_a, end_b = a.end[at_a], b.end[at_b]
         both = end_a == end_b
-        cuts.append(pa_[both])
-        pb = pb + (end_b <= end_a)
-        pa_ = pa_ + (end_a <= end_b)
-        left = pa_ < stop
+        cuts_a.append(at_a[both])
+        cuts_b.append(at_b[both])
+        at_b = at_b + (end_b <= end_a)
+        at_a = at_a + (end_a <= end_b)
+        left = at_a < stop
         if not left.all():
-            pa_, pb, stop = pa_[left], pb[left], stop[left]
+            at_a, at_b, stop = at_a[left], at_b[left], stop[left]
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(v) if v else none for v in (links_a, links_b, cuts))
+    return tuple(np.concatenate(v) if v else none for v in (links_a, links_b, cuts_a, cuts_b))
 
 
 class Speller:
@@ -123,89 +123,97 @@ class Speller:
     def __init__(self, most: int) -> None:
         self.inner, self.bar, self.semi = (np.array([f"{i}{c}" for i in range(most)], object) for c in ",|;")
 
-    def write(self, a: Lists, b: Lists, cuts: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    def write(self, a: Lists, b: Lists, cut_a: np.ndarray, cut_b: np.ndarray) -> tuple[np.ndarray, list[str]]:
         """Groups of each text, and their digests."""
-        cuts = np.sort(cuts)
-        cut_b = np.searchsorted(b.end, a.end[cuts])  # the token of B that ends there
+        last_a, last_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
+        last_a[cut_a] = last_b[cut_b] = 1
+        cut_a, cut_b = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        groups = np.cumsum(last_a)
         words = np.empty(len(a.ids) + len(b.ids), object)
-        group_a = np.searchsorted(cuts, np.arange(len(a.ids)))
-        group_b = np.searchsorted(cut_b, np.arange(len(b.ids)))
-        last_a, last_b = np.zeros(len(a.ids), bool), np.zeros(len(b.ids), bool)
-        last_a[cuts] = last_b[cut_b] = True
-        before_b = np.concatenate([[0], cut_b + 1])  # tokens of B before each group
-        words[np.arange(len(a.ids)) + before_b[group_a]] = np.where(last_a, self.bar[a.ids], self.inner[a.ids])
-        words[np.arange(len(b.ids)) + (cuts + 1)[group_b]] = np.where(last_b, self.semi[b.ids], self.inner[b.ids])
-        starts = a.start + b.start
-        digests = ["" if i == j else hashlib.sha256("".join(words[i:j].tolist())[:-1].encode()).hexdigest()
-                   for i, j in zip(starts.tolist(), starts[1:].tolist())]
-        return np.diff(np.searchsorted(cuts, a.start)), digests
-
-
-_BETWEEN_WORDS = re.compile("(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-
-
-def word_parts(text: str, most: int) -> list[str]:
-    """The text cut at single spaces between ASCII letters or digits, into parts of about ``most`` characters, without those spaces."""
-    out, start = [], 0
-    while len(text) - start > most:
-        at = _BETWEEN_WORDS.search(text, start + most)
-        if at is None:
-            break
-        out.append(text[start:at.start()])
-        start = at.end()
-    return [*out, text[start:]]
+        # A token stands after the earlier ones of its side and after the groups that the other side has ended before it.
+        words[np.arange(len(a.ids)) + np.concatenate([[0], cut_b + 1])[groups - last_a]] = np.where(
+            last_a, self.bar[a.ids], self.inner[a.ids])
+        words[np.arange(len(b.ids)) + (cut_a + 1)[np.cumsum(last_b) - last_b]] = np.where(last_b, self.semi[b.ids], self.inner[b.ids])
+        starts = (a.start + b.start).tolist()
+        digests = ["" if i == j else hashlib.sha256("".join(words[i:j].tolist())[:-1].encode()).hexdigest() for i, j in zip(starts, starts[1:])]
+        return np.diff(np.concatenate([[0], groups])[a.start]), digests
+
+
+#: A text is cut into units at single spaces between characters that surely are no spaces: both encoders cut there before any merge.
+_BETWEEN_WORDS = re.compile("(?<=[!-~À-ɏЀ-ӿ]) (?=[!-~À-ɏЀ-ӿ])")
 
 
 class Aligner:
-    """Encodes and aligns batches of texts."""
+    """Encodes and aligns batches of texts. The tokens of a unit are found once and kept, as texts repeat their words."""
 
     def __init__(self, a_file: bytes, b_file: bytes) -> None:
-        self.a, self.b = ByteLevel(a_file), Pieces(b_file)
-        self.lengths = [np.array(list(map(len, x.spelt)), np.int64) for x in (self.a, self.b)]
-        self.width = len(self.b.spelt)
-        self.speller = Speller(max(len(self.a.spelt), self.width))
-
-    def tokens(self, texts: list[bytes | None]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both sides and the bytes of each text; no ids for a text that either side spells otherwise."""
-        plain = []
+        self.sides = ByteLevel(a_file), Pieces(b_file)
+        self.lengths = [np.array(list(map(len, x.spelt)), np.int64) for x in self.sides]
+        self.width = len(self.sides[1].spelt)
+        self.speller = Speller(max(len(x.spelt) for x in self.sides))
+        self.by_words = all(x.by_words for x in self.sides)
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.kept = 0
+        self.flat = [np.zeros(0, np.int64) for _ in self.sides]
+        self.start = [np.zeros(1, np.int64) for _ in self.sides]
+        self.good = np.zeros(0, bool)
+
+    def learn(self, units: list[str]) -> None:
+        """Adds units; one that either side spells otherwise is kept as bad."""
+        found = [side.encode([" " + u for u in units] if i == 0 else units) for i, side in enumerate(self.sides)]
+        wanted = [(" " + u).encode() for u in units]
+        good = np.array([all(b"".join(map(side.spelt.__getitem__, ids[i])) == want for side, ids in zip(self.sides, found))
+                         for i, want in enumerate(wanted)], bool)
+        self.good = np.concatenate([self.good, good])
+        for i, lists in enumerate(found):
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.flat[i] = np.concatenate([self.flat[i], np.fromiter(chain.from_iterable(lists), np.int64, sizes.sum())])
+            self.start[i] = np.concatenate([self.start[i], self.start[i][-1] + np.cumsum(sizes)])
+        self.slots.update(zip(units, range(len(self.slots), len(self.slots) + len(units))))
+        self.kept += sum(map(len, units))
+
+    def tokens(self, texts: list[bytes | None]) -> tuple[Lists, Lists]:
+        """The tokens of both sides; none for a text that either side spells otherwise."""
+        cut = []
         for t in texts:
             try:
-                plain.append((t or b"").decode())
+                plain = (t or b"").decode()
             except UnicodeDecodeError:
-                plain.append("")
-        by_words = self.a.by_words and self.b.by_words
-        parts = [(i, p) for i, t in enumerate(plain) if t for p in (word_parts(t, LONG_TEXT) if by_words else [t])]
-        ids_a: list[list[int]] = [[] for _ in texts]
-        ids_b: list[list[int]] = [[] for _ in texts]
-        size = np.zeros(len(texts), np.int64)
-        for (i, _), x, y in zip(parts, self.a.encode([" " + p for _, p in parts]), self.b.encode([p for _, p in parts])):
-            ids_a[i] += x
-            ids_b[i] += y
-        for i in {i for i, _ in parts}:
-            want = b" " + texts[i]
-            if b"".join(map(self.a.spelt.__getitem__, ids_a[i])) == want == b"".join(map(self.b.spelt.__getitem__, ids_b[i])):
-                size[i] = len(want)
-            else:
-                ids_a[i], ids_b[i] = [], []
-        return ids_a, ids_b, size
-
-    def lockstep(self, texts: list[bytes | None]) -> tuple[Lists, Lists, np.ndarray, np.ndarray, np.ndarray]:
-        ids_a, ids_b, size = self.tokens(texts)
-        a, b = (Lists(ids, n, np.cumsum(size) - size) for ids, n in zip((ids_a, ids_b), self.lengths))
-        return a, b, *lockstep(a, b)
+                plain = ""
+            cut.append([] if not plain else _BETWEEN_WORDS.split(plain) if self.by_words else [plain])
+        if len(self.slots) > KEPT_UNITS or self.kept > KEPT_CHARACTERS:
+            self.forget()
+        new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.slots]
+        if new:
+            self.learn(new)
+        many = np.fromiter(map(len, cut), np.int64, len(cut))
+        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(cut)), np.int64, many.sum())
+        text = np.repeat(np.arange(len(cut)), many)
+        bad = np.bincount(text, ~self.good[slots], len(cut)) > 0
+        slots, text = slots[~bad[text]], text[~bad[text]]
+        out = []
+        for flat, start, lengths in zip(self.flat, self.start, self.lengths):
+            sizes = start[slots + 1] - start[slots]
+            stops = np.cumsum(sizes)
+            place = np.arange(stops[-1] if len(stops) else 0) + np.repeat(start[slots] - (stops - sizes), sizes)
+            out.append(Lists(flat[place], np.bincount(text, sizes, len(cut)).astype(np.int64), lengths))
+        return tuple(out)
 
     def align(self, texts: list[bytes | None]) -> dict:
-        a, b, link_a, link_b, cuts = self.lockstep(texts)
-        text = np.searchsorted(a.start, link_a, "right") - 1
-        groups, digests = self.speller.write(a, b, cuts)
-        # The different id pairs of each text and how often it holds them linked.
-        pair = a.ids[link_a] * self.width + b.ids[link_b]
-        order = np.lexsort((pair, text))
-        pair, text = pair[order], text[order]
-        first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])])) if len(pair) else np.zeros(0, np.int64)
-        times = np.diff(np.append(first, len(pair)))
+        a, b = self.tokens(texts)
+        link_a, link_b, cut_a, cut_b = lockstep(a, b)
+        text = np.repeat(np.arange(len(texts)), a.sizes)[link_a]
+        groups, digests = self.speller.write(a, b, cut_a, cut_b)
+        # The different id pairs of each text and how often it holds them linked, sorted as one number.
+        most = len(self.sides[0].spelt) * self.width
+        held = np.sort(text * most + a.ids[link_a] * self.width + b.ids[link_b])
+        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(held)))
         return {"n_a": a.sizes, "n_b": b.sizes, "n_groups": groups, "n_links": np.bincount(text, minlength=len(texts)), "digest": digests,
-                "pairs": pair[first], "times": times.astype(np.int32), "start": np.searchsorted(text[first], np.arange(len(texts) + 1))}
+                "pairs": held[first] % most, "times": times.astype(np.int32), "start": np.searchsorted(held[first] // most, np.arange(len(texts) + 1))}
 
 
 def share_files(spark: SparkSession, a_path: str, b_path: str) -> Broadcast:
@@ -258,7 +266,8 @@ def links(docs: DataFrame, files: Broadcast, key: str = "doc_id", text: str = "t
         aligner = Aligner(*files.value)
         for batch in batches:
             for i, j in _batches(batch.column(1)):
-                a, b, x, y, cuts = aligner.lockstep(batch.column(1).slice(i, j - i).to_pylist())
+                a, b = aligner.tokens(batch.column(1).slice(i, j - i).to_pylist())
+                x, y, cuts, _ = lockstep(a, b)
                 order = np.lexsort((y, x))
                 x, y, cuts = x[order], y[order], np.sort(cuts)
                 at_link, at_cut = (np.searchsorted(v, a.start).astype(np.int32) for v in (x, cuts))

@@ -97,21 +97,29 @@ def test_lanes_do_not_matter(lane):
         side = alignment.Lists.__new__(alignment.Lists)
         side.sizes, side.start, side.ids, side.end = np.array([0, len(ends), 0]), np.array([0, 0, len(ends), len(ends)]), ends, ends
         lists.append(side)
-    x, y, cuts = alignment.lockstep(*lists, lane)
+    x, y, cuts, cuts_b = alignment.lockstep(*lists, lane)
     begin = [np.concatenate([[0], s.end[:-1]]) for s in lists]
     want = {(i, j) for i in range(len(lists[0].end)) for j in range(len(lists[1].end))
             if begin[0][i] < lists[1].end[j] and begin[1][j] < lists[0].end[i]}
     assert len(x) == len(want) and set(zip(x.tolist(), y.tolist())) == want
+    assert (lists[0].end[cuts] == lists[1].end[cuts_b]).all()
     assert sorted(lists[0].end[cuts]) == sorted(set(lists[0].end) & set(lists[1].end)) and len(sizes) == 600
 
 
-def test_long_texts_are_cut_between_words(spark, sides, monkeypatch):
-    text = " ".join(f"word{i} it's, über {i}; and  two" for i in range(400))
-    a, b = alignment.Aligner(*(open(p, "rb").read() for p in (BYTE_MODEL, PIECE_MODEL))), text.encode()
-    whole = a.tokens([b])
-    monkeypatch.setattr(alignment, "LONG_TEXT", 50)
-    assert len(alignment.word_parts(text, 50)) > 100
-    assert a.tokens([b])[:2] == whole[:2] and len(whole[0][0]) > 1000
+def test_units_give_the_tokens_of_whole_texts(sides, monkeypatch):
+    """Random texts of words, marks, spaces and other scripts, with a cache that is dropped again and again."""
+    monkeypatch.setattr(alignment, "KEPT_UNITS", 40)
+    rng = np.random.default_rng(2)
+    parts = ["the", "Word", "9", "it's", "x1y2", " ", "  ", "\n", "\t", ".", ",", "'s", "-", "é", "ß", "漢", "\u00a0", "\u3000", "🙂", "_", "##", "a", "'", "ab", " ", " 's", "ж", "\x85", "\x1c", "\u2009", "×"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 80))) for _ in range(400)]
+    texts += [" ".join(rng.choice(parts[:5], 40_000))]
+    aligner = alignment.Aligner(*(open(p, "rb").read() for p in (BYTE_MODEL, PIECE_MODEL)))
+    for at in range(0, len(texts), 50):
+        some = texts[at:at + 50]
+        got = aligner.tokens([t.encode() for t in some])
+        for side, lists, space in zip(sides, got, (" ", "")):
+            for i, want in enumerate(side.encode([space + t for t in some])):
+                assert lists.ids[lists.start[i]:lists.start[i + 1]].tolist() == want
 
 
 def test_empty_table_and_invalid_utf8(spark):
