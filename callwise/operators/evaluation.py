@@ -33,18 +33,18 @@ def _squared_error(labels: Sequence[str]) -> list[str]:
     return [f"sum(pow(proba[{i}] - cast(y_true = {text(x)} AS double), 2))" for i, x in enumerate(labels)]
 
 
-def label_cells(scored: DataFrame, labels: Sequence[str], k: int = 3) -> DataFrame:
-    """Per (true, predicted): rows, top-k hits and summed squared error of each class."""
-    rows = scored.selectExpr("y_true", "proba", f"{P.predicted_label(labels)} AS y_pred",
+def label_cells(scored: DataFrame, labels: Sequence[str], k: int = 3, by: Sequence[str] = ()) -> DataFrame:
+    """Per (true, predicted), and group if columns ``by`` are given: rows, top-k hits and summed squared error of each class."""
+    rows = scored.selectExpr(*by, "y_true", "proba", f"{P.predicted_label(labels)} AS y_pred",
                              f"cast({P.in_top_k(labels, k)} AS bigint) AS hit")
-    return rows.groupBy("y_true", "y_pred").agg(
+    return rows.groupBy(*by, "y_true", "y_pred").agg(
         F.expr("count(1)").alias("n"), F.expr("sum(hit)").alias("hits"),
         *[F.expr(e).alias(f"sq{i}") for i, e in enumerate(_squared_error(labels))])
 
 
-def _label_totals(scored: DataFrame, labels: Sequence[str], k: int) -> DataFrame:
-    """Per class of the full list: support, predicted, true positives, hits, squared errors."""
-    cells = label_cells(scored, labels, k)
+def _label_totals(scored: DataFrame, labels: Sequence[str], k: int, by: Sequence[str] = ()) -> DataFrame:
+    """Per class: support, predicted, true positives, hits, squared errors; all of the list unless in groups."""
+    cells = label_cells(scored, labels, k, by)
     sq = [f"sq{i}" for i in range(len(labels))]
 
     def part(label: str, support: str, predicted: str, tp: str, hits: str, errors: Sequence[str]) -> str:
@@ -55,10 +55,11 @@ def _label_totals(scored: DataFrame, labels: Sequence[str], k: int) -> DataFrame
     none = ["0D"] * len(labels)
     parts = [part("y_true", "n", "0", "if(y_true = y_pred, n, 0)", "hits", sq),
              part("y_pred", "0", "n", "0", "0", none)]
-    listed = [part(text(x), "0", "0", "0", "0", none) for x in labels]
-    seen = cells.selectExpr(f"inline(array({', '.join(parts)}))")
-    empty = scored.sparkSession.range(1).selectExpr(f"inline(array({', '.join(listed)}))")
-    return seen.unionByName(empty).groupBy("label").agg(
+    rows = cells.selectExpr(*by, f"inline(array({', '.join(parts)}))")
+    if not by:
+        listed = [part(text(x), "0", "0", "0", "0", none) for x in labels]
+        rows = rows.unionByName(scored.sparkSession.range(1).selectExpr(f"inline(array({', '.join(listed)}))"))
+    return rows.groupBy(*by, "label").agg(
         *[F.expr(f"sum({c})").alias(c) for c in ("support", "predicted", "tp", "hits", *sq)])
 
 
@@ -90,8 +91,8 @@ def per_class_metrics(scored: DataFrame, labels: Sequence[str]) -> DataFrame:
         "label", *[f"round({c}, 4) AS {c}" for c in SCORES], "support")
 
 
-def eval_summary(scored: DataFrame, labels: Sequence[str], k: int = 3, digits: int = 4) -> DataFrame:
-    """One row with all headline metrics."""
+def eval_summary(scored: DataFrame, labels: Sequence[str], k: int = 3, digits: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """One row with all headline metrics; one per group of the columns ``by``, if given."""
     total_error = " + ".join(f"sum(sq{i})" for i in range(len(labels)))
     values = {
         "accuracy": _ACCURACY,
@@ -101,7 +102,7 @@ def eval_summary(scored: DataFrame, labels: Sequence[str], k: int = 3, digits: i
         f"top{k}_accuracy": "coalesce(try_divide(sum(hits), sum(support)), 0D)",
         "brier_score_avg": f"coalesce(try_divide({total_error}, sum(support) * {len(labels)}), 0D)",
     }
-    return _with_scores(_label_totals(scored, labels, k)).agg(
+    return _with_scores(_label_totals(scored, labels, k, by)).groupBy(*by).agg(
         F.expr("sum(support)").alias("n_rows"),
         *[F.expr(f"round({v}, {digits})").alias(n) for n, v in values.items()])
 

@@ -7,16 +7,13 @@ import logging
 import math
 import time
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, OneVsRest,
-    RandomForestClassificationModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,23 +21,19 @@ from pyspark.sql import functions as F
 from callwise.config import DEFAULTS
 from callwise.functions import probabilities as P
 from callwise.functions.sqltext import name
+from callwise.operators import trees
 from callwise.operators.evaluation import eval_summary
 
-MAX_TREE_DEPTH = 30
-
 log = logging.getLogger(__name__)
 
-_LOADERS = {c.__name__: c for c in (
-    GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel)}
-
 
 @dataclass(frozen=True)
 class Fitted:
-    """A fitted classifier: one multiclass model, or one binary model per class."""
+    """A fitted classifier: a model of Spark's, an ensemble of trees, or a majority class."""
 
     name: str
     labels: tuple[str, ...]
-    models: tuple
+    model: LogisticRegressionModel | trees.Ensemble | None = None
     majority: int | None = None
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -48,17 +41,11 @@ class Fitted:
         if self.majority is not None:
             sure = ", ".join("1D" if i == self.majority else "0D" for i in range(len(self.labels)))
             return df.withColumn("proba", F.expr(f"array({sure})"))
-        out = df
-        for i, model in enumerate(self.models):
-            # Only the probability is computed; the two other outputs are switched off.
-            quiet = model.copy().setProbabilityCol(f"__v{i}").setRawPredictionCol("").setPredictionCol("")
-            out = quiet.transform(out)
-        out = out.withColumns({f"__p{i}": vector_to_array(f"__v{i}") for i in range(len(self.models))})
-        if len(self.models) == 1:
-            return out.select(*df.columns, F.col("__p0").alias("proba"))
-        scores = ", ".join(f"__p{i}[1]" for i in range(len(self.models)))
-        return out.withColumn("__s", F.expr(f"array({scores})")).withColumn(
-            "proba", F.expr(P.normalised("__s"))).select(*df.columns, "proba")
+        if isinstance(self.model, trees.Ensemble):
+            return self.model.score(df)
+        # Only the probability is computed; the two other outputs are switched off.
+        quiet = self.model.copy().setProbabilityCol("__v").setRawPredictionCol("").setPredictionCol("")
+        return quiet.transform(df).withColumn("proba", vector_to_array("__v")).select(*df.columns, "proba")
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add label, confidence and probability map; input columns stay."""
@@ -69,36 +56,49 @@ class Fitted:
 
 def fit_majority(df: DataFrame, labels: Sequence[str]) -> Fitted:
     row = df.groupBy("label").count().orderBy(F.desc("count"), "label").first()
-    return Fitted("dummy_most_frequent", tuple(labels), (), majority=int(row["label"]))
+    return Fitted("dummy_most_frequent", tuple(labels), majority=int(row["label"]))
 
 
 def fit_logistic(df: DataFrame, labels: Sequence[str], c: float = 1.0, max_iter: int = 1000) -> Fitted:
     """L2-penalised multinomial regression; ``c`` is the inverse penalty on the summed loss."""
     lr = LogisticRegression(family="multinomial", maxIter=max_iter, regParam=1.0 / (c * df.count()),
                             elasticNetParam=0.0, standardization=False)
-    return Fitted("logistic_regression", tuple(labels), (lr.fit(df),))
+    return Fitted("logistic_regression", tuple(labels), lr.fit(df))
+
+
+def _fit_trees(df: DataFrame, labels: Sequence[str], spec: trees.Spec, name: str) -> Fitted:
+    nodes = trees.fit(trees.bin_table(df, len(labels)), [spec])
+    return Fitted(name, tuple(labels), trees.Ensemble(spec.kind, len(labels), nodes))
+
+
+def forest_spec(n_estimators: int = 100, max_depth: int | None = None, min_samples_leaf: int = 1, min_samples_split: int = 2,
+                max_features: str | None = "sqrt", seed: int = DEFAULTS.seed) -> trees.Spec:
+    return trees.Spec("forest", n_estimators, max_depth, seed, min_samples_leaf=min_samples_leaf,
+                      min_samples_split=min_samples_split, max_features=max_features)
+
+
+def fit_forest(df: DataFrame, labels: Sequence[str], **params) -> Fitted:
+    """Random forest on bootstrapped rows; parameters are those of ``forest_spec``."""
+    return _fit_trees(df, labels, forest_spec(**params), "random_forest")
 
 
-def fit_forest(df: DataFrame, labels: Sequence[str], n_estimators: int = 100,
-               max_depth: int | None = None, min_samples_leaf: int = 1,
-               max_features: str | None = "sqrt", seed: int = DEFAULTS.seed) -> Fitted:
-    """Random forest. Spark has no minimum number of rows to split a node."""
-    forest = RandomForestClassifier(
-        numTrees=n_estimators, maxDepth=MAX_TREE_DEPTH if max_depth is None else max_depth,
-        minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=max_features or "all", seed=seed)
-    return Fitted("random_forest", tuple(labels), (forest.fit(df),))
+def boosted_spec(n_estimators: int = 300, max_depth: int = 6, learning_rate: float = 0.1, subsample: float = 0.8,
+                 colsample_bytree: float = 0.8, min_child_weight: float = 3, seed: int = DEFAULTS.seed) -> trees.Spec:
+    return trees.Spec("boost", n_estimators, max_depth, seed, learning_rate=learning_rate, subsample=subsample,
+                      colsample_bytree=colsample_bytree, min_child_weight=min_child_weight)
 
 
-def fit_boosted(df: DataFrame, labels: Sequence[str], n_estimators: int = 300, max_depth: int = 6,
-                learning_rate: float = 0.1, subsample: float = 0.8, colsample_bytree: float = 0.8,
-                min_child_weight: int = 3, seed: int = DEFAULTS.seed, parallelism: int = 4,
-                name: str = "gradient_boosting") -> Fitted:
-    """One boosted binary model per class; probabilities are normalised when scoring."""
-    gbt = GBTClassifier(
-        maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample,
-        featureSubsetStrategy=str(float(colsample_bytree)), minInstancesPerNode=min_child_weight, seed=seed)
-    fitted = OneVsRest(classifier=gbt, parallelism=parallelism).fit(df)
-    return Fitted(name, tuple(labels), tuple(fitted.models))
+def fit_boosted(df: DataFrame, labels: Sequence[str], name: str = "gradient_boosting", **params) -> Fitted:
+    """Boosted trees on the softmax loss, a tree per class and round; parameters are those of ``boosted_spec``."""
+    return _fit_trees(df, labels, boosted_spec(**params), name)
+
+
+def spec_of(fit: Callable) -> trees.Spec | None:
+    """What a fit function with its bound parameters grows; None if it grows no trees."""
+    given = dict(fit.keywords) if isinstance(fit, partial) else {}
+    given.pop("name", None)
+    make = {fit_forest: forest_spec, fit_boosted: boosted_spec}.get(fit.func if isinstance(fit, partial) else fit)
+    return make(**given) if make else None
 
 
 Fit = Callable[[DataFrame, Sequence[str]], Fitted]
@@ -126,13 +126,31 @@ def evaluate(fitted: Fitted, df: DataFrame, k: int = 3) -> dict:
     return eval_summary(scored, fitted.labels, k, digits=12).first().asDict()
 
 
+def fold_scores(fits: Sequence[Fit], data: DataFrame, labels: Sequence[str], k: int = DEFAULTS.folds,
+                metric: str = "f1_weighted") -> list[list[float]]:
+    """The metric of every tree ensemble on every fold; the table is binned once and all ensembles share its passes.
+
+    Cuts come from the features of all folds; labels of a fold are never seen by the ensembles that leave
+    it out. A fold without rows scores 0.
+    """
+    table = trees.bin_table(data, len(labels))
+    specs = [replace(spec_of(f), fold=i) for f in fits for i in range(k)]
+    code = P.label_array(labels)
+    scored = trees.held_out(table, specs).selectExpr("model", f"element_at({code}, label + 1) AS y_true", "proba")
+    found = {r["model"]: r[metric] for r in eval_summary(scored, labels, digits=12, by=["model"]).collect()}
+    return [[found.get(f * k + i, 0.0) for i in range(k)] for f in range(len(fits))]
+
+
 def cross_validate(fit: Fit, data: DataFrame, labels: Sequence[str], k: int = DEFAULTS.folds,
                    metric: str = "f1_weighted", parallelism: int = 4) -> list[float]:
     """The metric on each of the ``k`` folds of column ``fold``.
 
-    All folds filter one persisted table rather than keep a copy of the training
+    Tree ensembles share one binned table. For other models all folds filter one persisted table rather than keep a copy of the training
     rows per fold. A failed fold is logged and scores NaN; the other folds keep their scores.
     """
+    if spec_of(fit):
+        return fold_scores([fit], data, labels, k, metric)[0]
+
     def one(i: int) -> float:
         try:
             fitted = fit(data.where(F.col("fold") != i), labels)
@@ -186,33 +204,38 @@ def compare_models(train: DataFrame, test: DataFrame, labels: Sequence[str],
 
 
 def feature_importance(fitted: Fitted, names: Sequence[str], spark: SparkSession, top: int = 30) -> DataFrame:
-    """The ``top`` features by importance (mean over the per-class models)."""
-    total: dict[int, float] = {}
-    for model in fitted.models:
-        weights = model.featureImportances
-        for i, w in zip(weights.indices, weights.values):
-            total[int(i)] = total.get(int(i), 0.0) + float(w) / len(fitted.models)
-    rows = [(n, total.get(i, 0.0), n.startswith("emb_")) for i, n in enumerate(names)]
-    return spark.createDataFrame(rows, "feature string, importance double, is_embedding boolean").orderBy(
+    """The ``top`` features of an ensemble by importance; features that no split uses have 0."""
+    rows = spark.createDataFrame([(i, n, n.startswith("emb_")) for i, n in enumerate(names)], "i int, feature string, is_embedding boolean")
+    worth = fitted.model.importance().withColumnRenamed("feature", "_i")
+    return rows.join(worth, F.col("i") == F.col("_i"), "left").select(
+        "feature", F.coalesce("importance", F.lit(0.0)).alias("importance"), "is_embedding").orderBy(
         F.desc("importance"), "feature").limit(top)
 
 
 def save(fitted: Fitted, path: str, spark: SparkSession, features: PipelineModel | None = None,
          info: dict | None = None) -> None:
     """Feature pipeline, model and labels under one folder."""
-    for i, model in enumerate(fitted.models):
-        model.write().overwrite().save(f"{path}/model-{i}")
+    kind = None
+    if isinstance(fitted.model, trees.Ensemble):
+        kind = fitted.model.kind
+        fitted.model.nodes.write.mode("overwrite").parquet(f"{path}/model")
+    elif fitted.model is not None:
+        kind = "logistic"
+        fitted.model.write().overwrite().save(f"{path}/model")
     if features is not None:
         features.write().overwrite().save(f"{path}/features")
-    meta = {"name": fitted.name, "labels": list(fitted.labels), "majority": fitted.majority,
-            "classes": [type(m).__name__ for m in fitted.models], "features": features is not None,
-            "info": info or {}}
+    meta = {"name": fitted.name, "labels": list(fitted.labels), "majority": fitted.majority, "kind": kind,
+            "features": features is not None, "info": info or {}}
     spark.createDataFrame([(json.dumps(meta, ensure_ascii=False),)], "value string").coalesce(1).write.mode(
         "overwrite").text(f"{path}/metadata")
 
 
 def load(path: str, spark: SparkSession) -> tuple[Fitted, PipelineModel | None, dict]:
     meta = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
-    models = tuple(_LOADERS[c].load(f"{path}/model-{i}") for i, c in enumerate(meta["classes"]))
+    labels, model = tuple(meta["labels"]), None
+    if meta["kind"] == "logistic":
+        model = LogisticRegressionModel.load(f"{path}/model")
+    elif meta["kind"]:
+        model = trees.Ensemble(meta["kind"], len(labels), spark.read.schema(trees.NODE_SCHEMA).parquet(f"{path}/model"))
     features = PipelineModel.load(f"{path}/features") if meta["features"] else None
-    return Fitted(meta["name"], tuple(meta["labels"]), models, meta["majority"]), features, meta["info"]
+    return Fitted(meta["name"], labels, model, meta["majority"]), features, meta["info"]

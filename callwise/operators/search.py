@@ -14,13 +14,10 @@ from pyspark.sql import functions as F
 
 from callwise.config import DEFAULTS, PARAM_GRIDS
 from callwise.operators.models import (
-    Fit, Fitted, cross_validate, evaluate, fit_boosted, fit_forest, mean_std,
+    Fit, Fitted, cross_validate, evaluate, fit_boosted, fit_forest, fold_scores, mean_std, spec_of,
 )
 from callwise.sources.calls import write_csv, write_json
 
-# Axes of the grids that Spark's models lack; two draws that differ there only would be the same fit.
-NO_COUNTERPART = ("min_samples_split",)
-
 CANDIDATE_SCHEMA = (
     "rank_test_score int, mean_test_score double, std_test_score double, params string")
 
@@ -33,7 +30,7 @@ def param_grid(name: str, grids: dict | None = None) -> dict[str, list]:
     grids = PARAM_GRIDS if grids is None else grids
     if name not in grids:
         raise KeyError(f"no grid for {name!r}; available: {list(grids)}")
-    return {k: list(v) for k, v in grids[name].items() if k not in NO_COUNTERPART}
+    return {k: list(v) for k, v in grids[name].items()}
 
 
 def draw_candidates(grid: dict[str, list], n: int, seed: int) -> list[dict]:
@@ -57,13 +54,17 @@ def random_search(fit: Fit, grid: dict[str, list], train: DataFrame, labels: Seq
                   ) -> tuple[Fitted, dict, DataFrame]:
     """(best model refitted on all rows, its parameters, candidates by rank).
 
+    Tree ensembles of all candidates and folds share the passes over one binned table; other models are fitted one by one.
     A candidate whose cross-validation failed (NaN) has the last rank; if all did, that is an error.
     """
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    tried = []
-    for params in draw_candidates(grid, n_iter, seed):
-        mean, std = mean_std(cross_validate(partial(fit, **params), train, labels, k, metric))
-        tried.append((mean, std, params))
+    drawn = draw_candidates(grid, n_iter, seed)
+    fits = [partial(fit, **params) for params in drawn]
+    if all(map(spec_of, fits)):
+        scores = fold_scores(fits, train, labels, k, metric)
+    else:
+        scores = [cross_validate(f, train, labels, k, metric) for f in fits]
+    tried = [(*mean_std(s), params) for s, params in zip(scores, drawn)]
     order = sorted(tried, key=lambda t: -t[0] if not math.isnan(t[0]) else math.inf)
     if not order or math.isnan(order[0][0]):
         train.unpersist()

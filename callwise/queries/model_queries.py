@@ -19,16 +19,8 @@ DOCS = Settings(
     labels=A.LANGUAGES, categorical=("lead_source",), numeric=("company_num_employees", "days_since_entry"))
 DIGITS = tuple(str(i) for i in range(10))
 
-# Small boosters, and small forests where many are fitted: a boosted model is fitted tree by tree, each a chain of jobs,
-# and 300 rounds for each class and fold would take hours on any cluster. Full parameters are the defaults.
-FOREST = {"n_estimators": 20, "max_depth": 8}
-BOOSTER = {"n_estimators": 5, "max_depth": 3, "min_child_weight": 1}
-LIGHT = {"n_estimators": 3, "max_depth": 3, "min_child_weight": 5}
-GRIDS = {
-    "gradient_boosting": {"n_estimators": [2, 4], "max_depth": [2, 3], "learning_rate": [0.1, 0.2]},
-    "random_forest": {"n_estimators": [5, 10], "max_depth": [4, 8], "min_samples_leaf": [1, 4],
-                      "max_features": ["sqrt", None]},
-}
+# Labelled rows that searches fit on, for each of 20 candidates and 5 folds; grids, draws and folds are full.
+SEARCH_ROWS = 1_000
 
 
 def doc_table(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +37,7 @@ def doc_features(spark: SparkSession, d: str) -> tuple:
     return pipeline, coded.select("interaction_id", "next_step", "features", "label", "split")
 
 
-def doc_train_test(spark: SparkSession, d: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
+def doc_train_test(spark: SparkSession, d: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
     _, coded = doc_features(spark, d)
     train = split.stratified_folds(split.train_part(coded), "interaction_id", "next_step", k=k)
     return train, split.test_part(coded)
@@ -176,7 +168,7 @@ def model_random_forest(spark: SparkSession, d: str) -> DataFrame:
 @query("model_gbt")
 def model_gbt(spark: SparkSession, d: str) -> DataFrame:
     rows = vectors(spark, d)
-    return _scored(models.fit_boosted(rows, DIGITS, **BOOSTER), rows)
+    return _scored(models.fit_boosted(rows, DIGITS), rows)
 
 
 @query("cv_scores")
@@ -193,8 +185,7 @@ def cv_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def _comparison(spark: SparkSession, d: str) -> DataFrame:
     train, test = doc_train_test(spark, d)
-    return models.compare_models(train, test, A.LANGUAGES, models.model_set(
-        booster=BOOSTER, forest=FOREST, second_booster=LIGHT), k=3)
+    return models.compare_models(train, test, A.LANGUAGES)
 
 
 @query("model_comparison")
@@ -208,18 +199,23 @@ def model_ranking(spark: SparkSession, d: str) -> DataFrame:
     return table.select("model_name", "f1_weighted", "accuracy", "top3_accuracy")
 
 
+def _search_rows(train: DataFrame) -> DataFrame:
+    """At most SEARCH_ROWS labelled rows, by the hash of their key."""
+    return train.orderBy(F.xxhash64("interaction_id")).limit(SEARCH_ROWS)
+
+
 @query("random_search")
 def random_search(spark: SparkSession, d: str) -> DataFrame:
     train, _ = doc_train_test(spark, d)
     _, _, table = search.random_search(
-        models.fit_forest, GRIDS["random_forest"], train, A.LANGUAGES, n_iter=4, k=3)
+        models.fit_forest, search.param_grid("random_forest"), _search_rows(train), A.LANGUAGES)
     return table
 
 
 @query("tune_all")
 def tune_all(spark: SparkSession, d: str) -> DataFrame:
-    train, test = doc_train_test(spark, d, k=2)
-    table, _ = search.tune_all(train, test, A.LANGUAGES, GRIDS, n_iter=2, k=2)
+    train, test = doc_train_test(spark, d)
+    table, _ = search.tune_all(_search_rows(train), test, A.LANGUAGES)
     return table
 
 
@@ -244,7 +240,7 @@ def score_calls(spark: SparkSession, d: str) -> DataFrame:
 def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Pipeline and boosted models reloaded from disk score every document as before."""
     pipeline, coded = doc_features(spark, d)
-    fitted = models.fit_boosted(split.train_part(coded), A.LANGUAGES, **{**BOOSTER, "n_estimators": 2})
+    fitted = models.fit_boosted(split.train_part(coded), A.LANGUAGES)
     path = scratch_path(spark, "model")
     models.save(fitted, path, spark, pipeline, {"seed": 42})
     again, pipeline_again, _ = models.load(path, spark)
