@@ -50,9 +50,36 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, by
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(_k, _x, _t): key, a checksum of the text as an int, text."""
+    """(_k, _x, _t): key, a checksum of the text as an int, its bytes."""
     checksum = (F.crc32(F.coalesce(text, F.lit(""))) - F.lit(1 << 31)).cast("int")
-    return docs.select(F.col(key).alias("_k"), checksum.alias("_x"), F.col(text).alias("_t"))
+    return docs.select(F.col(key).alias("_k"), checksum.alias("_x"), F.col(text).cast("binary").alias("_t"))
+
+
+def _runs(texts: list[bytes | None], length: int, powers: Powers) -> Iterator[tuple[np.ndarray, ...]]:
+    """(text number, anchor hash, snippet hash, anchor, shape) of the snippets, some texts at a time."""
+    for group in _pieces([t or b"" for t in texts], length):
+        data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
+        bounds = np.cumsum([len(p) for _, _, p in group])
+        owner, a, s, q, first, last = anchored_runs(data, bounds, length, powers)
+        base = (np.concatenate([[0], bounds[:-1]]) - np.array([at for _, at, _ in group]))[owner]
+        doc = np.array([i for i, _, _ in group])[owner]
+        yield doc, a.view(np.int64), s.view(np.int64), (q - base).astype(np.int32), ((q - first) * 1024 + (last + length - first)).astype(np.int32)
+
+
+def anchor_pairs(docs: DataFrame, text: str, length: int) -> DataFrame:
+    """(a, lo, hi): the anchors of some texts with the least and the greatest of their snippets' hashes, and ``n``, how many they have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            for _, a, s, _, _ in _runs(batch.column(0).to_pylist(), length, powers):
+                order = np.argsort(a, kind="stable")
+                a, s = a[order], s[order]
+                first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, np.int64)
+                lo, hi = (f.reduceat(s, first) if len(a) else s for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(lo), pa.array(hi), pa.array(np.diff(np.append(first, len(a))))],
+                                                 names=["a", "lo", "hi", "n"])
+
+    return docs.select(F.col(text).cast("binary").alias("_t")).mapInArrow(run, "a long, lo long, hi long, n long")
 
 
 def anchor_rows(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
@@ -62,17 +89,9 @@ def anchor_rows(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            for group in _pieces(texts, length):
-                data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
-                bounds = np.cumsum([len(p) for _, _, p in group])
-                owner, a, s, q, first, last = anchored_runs(data, bounds, length, powers)
-                base = (np.concatenate([[0], bounds[:-1]]) - np.array([at for _, at, _ in group]))[owner]
-                doc = np.array([i for i, _, _ in group])[owner]
-                shape = (q - first) * 1024 + (last + length - first)
+            for doc, *columns in _runs(batch.column(2).to_pylist(), length, powers):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(a.view(np.int64)),
-                     pa.array(s.view(np.int64)), pa.array((q - base).astype(np.int32)), pa.array(shape.astype(np.int32))],
+                    [batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), *map(pa.array, columns)],
                     names=["_k", "_x", "a", "s", "q", "shape"])
 
     slim = _keyed(docs, key, text)
@@ -97,21 +116,24 @@ def snippets_of(docs: DataFrame, places: DataFrame, key: str, text: str, length:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                rows: list[list] = [[] for _ in range(8)]
-                for k, x, t, places in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3)):
-                    body, k, x = t.as_py().encode("utf-8", "surrogatepass"), k.as_py(), x.as_py()
-                    for p in places.as_py():
-                        left, size = divmod(p["shape"], 1024)
-                        start = p["q"] - left
-                        piece = body[start:start + size]
-                        data = PrefixHash(np.frombuffer(piece, np.uint8), powers)
-                        sides = [(left - half, left + GRAM), (left, left + GRAM + half)]
-                        keys = [int(data(np.array([lo]), np.array([hi])).view(np.int64)[0]) if lo >= 0 and hi <= size else None for lo, hi in sides]
-                        for column, v in zip(rows, (p["a"], p["s"], k, x, p["q"], piece, *keys)):
-                            column.append(v)
-                kinds = (pa.int64(), pa.int64(), batch.column(0).type, pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, kd) for c, kd in zip(rows, kinds)],
-                                                 names=["a", "s", "_k", "_x", "q", "body", "kl", "kr"])
+                places = batch.column(3)
+                a, s, q, shape = (f.to_numpy() for f in places.flatten().flatten())
+                many = places.value_lengths().to_numpy()
+                left, size = shape // 1024, shape % 1024
+                start, kl, kr = q - left, np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+                bodies, stops = [], np.cumsum(many)
+                for t, i, j in zip(batch.column(2).to_pylist(), stops - many, stops):
+                    # Hashes do not depend on where bytes stand, so one pass over the text serves all its snippets.
+                    body = PrefixHash(np.frombuffer(t, np.uint8), powers)
+                    at = q[i:j].astype(np.int64)
+                    kl[i:j] = body(np.maximum(at - half, 0), at + GRAM).view(np.int64)
+                    kr[i:j] = body(at, np.minimum(at + GRAM + half, len(t))).view(np.int64)
+                    bodies += [t[x:x + n] for x, n in zip(start[i:j].tolist(), size[i:j].tolist())]
+                of_text = pa.array(np.repeat(np.arange(batch.num_rows), many))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a), pa.array(s), batch.column(0).take(of_text), batch.column(1).take(of_text), pa.array(q), pa.array(bodies, pa.binary()),
+                     pa.array(kl, mask=left < half), pa.array(kr, mask=left + GRAM + half > size)],
+                    names=["a", "s", "_k", "_x", "q", "body", "kl", "kr"])
 
     made = both.mapInArrow(run, f"a long, s long, _k {kind}, _x int, q int, body binary, kl long, kr long")
     return made.dropDuplicates(["a", "s"]).select("a", "s", F.struct("_k", "_x", "q").alias("first"), "body", "kl", "kr")
@@ -189,10 +211,9 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                    hot: int = HOT_SNIPPETS) -> DataFrame:
     """(_k, _x, lo, hi): byte runs of documents that are covered by a ``length``-byte string that also starts earlier."""
     # Anchors that occur once go first; what is left is a small part of the rows, written once.
-    rows = anchor_rows(docs, key, text, length)
-    repeated = written(rows.groupBy("a").agg(F.count(F.lit(1)).alias("_n"), (F.min("s") != F.max("s")).alias("several"))
+    repeated = written(anchor_pairs(docs, text, length).groupBy("a").agg(F.sum("n").alias("_n"), (F.min("lo") != F.max("hi")).alias("several"))
                        .where("_n > 1").select("a", "several"), "sa-anchors")
-    rows = written(rows.join(repeated, "a"), "sa-rows")
+    rows = written(anchor_rows(docs, key, text, length).join(repeated, "a"), "sa-rows")
     firsts = rows.groupBy("a", "s").agg(F.min(F.struct("_k", "_x", "q")).alias("first"), F.max("shape").alias("shape"),
                                         F.count(F.lit(1)).alias("n"), F.first("several").alias("several"))
     firsts = written(firsts, "sa-firsts")
@@ -239,7 +260,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 batch = whole.slice(at, 500)
                 sizes, removed, kept = [], [], []
                 for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    body, merged = (t or "").encode("utf-8", "surrogatepass"), []
+                    body, merged = t or b"", []
                     for r in sorted(runs or [], key=lambda r: (r["lo"], r["hi"])):
                         if merged and r["lo"] <= merged[-1]["hi"]:
                             merged[-1]["hi"] = max(merged[-1]["hi"], r["hi"])
