@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callwise.llm.common import written
+from callwise.llm.common import by_bytes, written
 
 #: Tokens of A in a lane.
 LANE = 256
@@ -221,19 +221,6 @@ def share_files(spark: SparkSession, a_path: str, b_path: str) -> Broadcast:
     return spark.sparkContext.broadcast(tuple(open(p, "rb").read() for p in (a_path, b_path)))
 
 
-def _batches(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` bytes; a longer text stands alone."""
-    start = held = 0
-    for i in range(len(texts)):
-        n = len(texts[i].as_buffer() or b"") if texts[i].is_valid else 0
-        if held and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def aligned(docs: DataFrame, files: Broadcast, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per input row: key, n_a, n_b, n_groups, n_links, groups_sha256, pairs (A id * width of B + B id, each once, ascending), times."""
     kind = docs.schema[key].dataType.simpleString()
@@ -243,7 +230,7 @@ def aligned(docs: DataFrame, files: Broadcast, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*files.value)
         for batch in batches:
-            for i, j in _batches(batch.column(1)):
+            for i, j in by_bytes(batch.column(1), BATCH_BYTES):
                 d = aligner.align(batch.column(1).slice(i, j - i).to_pylist())
                 start = pa.array(d["start"].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -265,7 +252,7 @@ def links(docs: DataFrame, files: Broadcast, key: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(*files.value)
         for batch in batches:
-            for i, j in _batches(batch.column(1)):
+            for i, j in by_bytes(batch.column(1), BATCH_BYTES):
                 a, b = aligner.tokens(batch.column(1).slice(i, j - i).to_pylist())
                 x, y, cuts, _ = lockstep(a, b)
                 order = np.lexsort((y, x))

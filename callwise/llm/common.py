@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +69,19 @@ def lowest(df: DataFrame, hash_col: str, most: int, rows: int) -> DataFrame:
     return df.where(place < share).orderBy(place, hash_col).limit(most)
 
 
+def by_bytes(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about ``most`` bytes of text; a longer text stands alone."""
+    if not len(texts):
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + most, "right")))
+        yield start, stop
+        start = stop
+
+
 #: Spark's setting that drops the shuffle files of a query when it ends.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -19,12 +19,17 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callwise.llm.common import by_bytes
+
 SPACE = "▁"
 #: Stands in texts for a SPACE sign of the text itself, which only bytes can spell. No valid text holds it.
 OWN_SPACE = "\udc81"
 UNITS = re.compile(r" +[^ ]*")
-#: Units kept with their paths by a task before it starts afresh.
-KEPT_UNITS = 300_000
+#: Units, and characters of them, kept with their paths by a task before it starts afresh.
+KEPT_UNITS = 200_000
+KEPT_CHARACTERS = 1 << 22
+#: Bytes of text encoded at once.
+BATCH_BYTES = 1 << 20
 #: Below the least score of a piece; the price of spelling one byte.
 BYTE_PENALTY = 10.0
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -229,6 +234,7 @@ class Encoder:
         self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.score, self.delta = np.zeros(0), np.zeros(0)
         self.ranked: dict[str, list] = {}
+        self.kept = 0
 
     def learn(self, units: set[str]) -> None:
         fresh = list(units.difference(self.slots))
@@ -236,6 +242,7 @@ class Encoder:
             return
         paths, score, delta = self.lattice.best([u.replace(" ", SPACE) for u in fresh])
         self.slots.update(zip(fresh, range(len(self.score), len(self.score) + len(fresh))))
+        self.kept += sum(map(len, fresh))
         sizes = np.fromiter(map(len, paths), np.int64, len(paths))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, *paths])
@@ -280,7 +287,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list, list]:
         """All ids one after the other, where each text's ids start, scores and alternatives (null for null texts)."""
         cut = [[] if t is None else split_units(t) for t in texts]
-        if len(self.slots) > KEPT_UNITS:
+        if len(self.slots) > KEPT_UNITS or self.kept > KEPT_CHARACTERS:
             self.clear()
         self.learn(set().union(*cut))
         ends = np.cumsum([0] + [len(u) for u in cut])
@@ -304,31 +311,35 @@ def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     return spark.sparkContext.broadcast(read_vocabulary(path))
 
 
-def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", n_best: int = 4) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", n_best: int = 4, decoded: str | None = None) -> DataFrame:
     """Adds ``ids``, ``score`` and ``alternatives`` (the second to n-th best paths as edits of ``ids``, best first).
 
     Of paths with equal scores the one with longer last pieces wins, unit by unit. The empty text is the dummy space alone; a null text
     gives nulls; characters without a piece are spelt in bytes, so every text comes back whole. Equal texts get equal
-    rows. Columns of the input with one of the three names are replaced.
+    rows. Invalid UTF-8 becomes U+FFFD. Columns of the input with one of the three names are replaced. ``decoded`` names a column for the text that the ids spell,
+    decoded where they are found.
     """
-    keep = docs.select(*[c for c in docs.columns if c.lower() not in ("ids", "score", "alternatives")])
+    added = ["ids", "score", "alternatives"] + ([decoded] if decoded else [])
+    keep = docs.select(*[c for c in docs.columns if c.lower() not in [a.lower() for a in added]])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema) + ", " + ENCODED
+    schema += f", `{decoded}` string" if decoded else ""
     edits = pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))]))
     kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", edits)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value, n_best)
+        encoder, spell = Encoder(vocabulary.value, n_best), speller(vocabulary.value)
         for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 1000):
-                batch = whole.slice(at, 1000)
+            for i, j in by_bytes(whole.column(whole.schema.get_field_index(text)), BATCH_BYTES):
+                batch = whole.slice(i, j - i)
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
                 flat, starts, scores, more = encoder.encode(texts)
-                ids = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat),
-                                               mask=pa.array([t is None for t in texts]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(scores, pa.float64()), pa.array(more, kind)],
-                                                 names=[*batch.schema.names, "ids", "score", "alternatives"])
+                columns = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat), mask=pa.array([t is None for t in texts])),
+                           pa.array(scores, pa.float64()), pa.array(more, kind)]
+                if decoded:
+                    columns.append(pa.array([None if t is None else spell(flat[a:b].tolist()) for t, a, b in zip(texts, starts, starts[1:])], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added])
 
-    return keep.mapInArrow(run, schema)
+    return keep.withColumn(text, F.make_valid_utf8(text)).mapInArrow(run, schema)
 
 
 def speller(vocabulary: dict) -> Callable[[list[int]], str]:
@@ -345,10 +356,12 @@ def decode(docs: DataFrame, vocabulary: Broadcast, ids: str = "ids", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = speller(vocabulary.value)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids))
-            texts = [None if x is None else spell(x) for x in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), 200):
+                batch = whole.slice(at, 200)
+                column = batch.column(batch.schema.get_field_index(ids))
+                texts = [None if x is None else spell(x) for x in column.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, schema)
 

@@ -94,8 +94,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     """Every whole text encoded, with the scores of its four best paths, and decoded again from its ids."""
     vocabulary = pieces.share_vocabulary(spark, PIECE_MODEL)
-    encoded = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary)
-    back = pieces.decode(encoded, vocabulary)
+    back = pieces.encode(table(spark, sf, "documents").select("doc_id", "text"), vocabulary, decoded="decoded")
     return pieces.piece_digest(back.withColumn("same", F.col("decoded").eqNullSafe(F.col("text"))), "same")
 
 

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callwise.llm import anchors, chat, pieces, suffix_array, suffix_dedup
 from callwise.llm.queries import PIECE_MODEL
@@ -194,6 +195,8 @@ def test_every_text_comes_back(spark, vocabulary):
     shared = pieces.share_vocabulary(spark, PIECE_MODEL)
     coded = pieces.encode(docs, shared)
     rows = pieces.decode(coded, shared).collect()
+    here = pieces.encode(docs.withColumn("ids", F.lit(3)), shared, decoded="decoded")
+    assert sorted(map(str, here.select(*coded.columns, "decoded").collect())) == sorted(map(str, pieces.decode(coded, shared).collect()))
     assert all(r["decoded"] == r["text"] for r in rows) and len(rows) == len(texts)
     assert all((r["ids"] is None) == (r["text"] is None) for r in rows)
     spell = pieces.speller(vocabulary)
