@@ -1,8 +1,10 @@
 """Near-duplicate documents by order MinHash, verified by banded alignment.
 
-A text becomes its lower-case words. Its five-word k-mers are labelled by occurrence; every sketch takes the k-mers
-with the least labelled hashes and keeps them in text order, so that it agrees for texts with a small edit distance.
-Texts that share a sketch are candidates; a word alignment within the band that the threshold allows decides.
+A text becomes its lower-case words. Its k-mers are labelled by occurrence; every sketch takes the k-mers with the least
+labelled hashes and keeps them in text order, so that it agrees for texts with a small edit distance. Short texts take shorter
+k-mers, as one edit spoils most of their long ones. Texts that share a sketch are candidates; a word alignment within
+the band that the threshold allows decides. Candidates are compared inside the cells of a bucket; a cell gives out links that
+join its members, never its pairs.
 """
 
 from __future__ import annotations
@@ -10,29 +12,33 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callwise.llm.common import same, written
+from callwise.llm.common import by_bytes, same, written
 from callwise.llm.components import components
 
-K = 5
 SIMILARITY = 0.8
-SKETCHES = 32
+SKETCHES = 80
 #: k-mers in a sketch.
 TAKEN = 2
-#: After a round of leaders that brings a smaller share of the links, all pairs still open are compared. It decides how
-#: work is dealt, never a class.
-LEADERS_GAIN = 0.001
-#: Members of a bucket that a task compares with as many others.
-GRID_MEMBERS = 4_096
-#: Shares of the open pairs tested by the end of each round; pairs whose classes have been joined by then are not tested.
-OPEN_SHARES = (1 / 64, 1 / 8, 1.0)
+#: (words below which texts are of the class, words of a k-mer); classes overlap by what the threshold allows.
+LENGTHS = ((25, 2), (63, 3), (250, 4), (None, 5))
+#: Mask of the bits of a bucket that tell class and place of its sketch.
+PLACES = 0x1FF
+#: Sketches whose buckets are compared in each round; classes joined in one round are not compared again in the next.
+ROUNDS = (1, 9, 70)
+#: Members of a cell, and words of their texts together.
+CELL_MEMBERS = 512
+CELL_WORDS = 4_000_000
 #: Minimum hashes of the bag of words.
 BAG_HASHES = 64
+#: Hashes computed at once.
+HASHES_AT_ONCE = 1 << 16
 #: Cells of the equality bands held at once by the alignment of one pair.
 BAND_CELLS = 8_000_000
 
@@ -64,7 +70,7 @@ def word_hashes(text: str) -> np.ndarray:
     return _mix((sums[stop] - sums[start]) * np.cumprod(down)[start] + (stop - start).astype(np.uint64))
 
 
-def kmers(words: np.ndarray, k: int = K) -> np.ndarray:
+def kmers(words: np.ndarray, k: int) -> np.ndarray:
     """A hash per run of k words; a shorter text is one run."""
     k = max(1, min(k, len(words)))
     out = np.zeros(max(0, len(words) - k + 1), np.uint64)
@@ -84,41 +90,55 @@ def occurrence_labels(grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(words: np.ndarray, n: int = SKETCHES, seed: int = 7) -> np.ndarray:
-    """n hashes of ordered k-mer tuples; none for a text without words."""
-    grams = kmers(words)
-    if not len(words):
-        return np.zeros(0, np.int64)
+def length_classes(n: int, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """(class, k) of a text of n words. Texts as similar as ``similarity`` have a class in common."""
+    out, low = [], 0
+    for i, (high, k) in enumerate(LENGTHS):
+        if low <= n and (high is None or n < high):
+            out.append((i, k))
+        low = int(similarity * high) if high else 0
+    return out
+
+
+@lru_cache(maxsize=8)
+def _salt(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _hashed(values: np.ndarray, n: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first hash function, [function, value]) of n hash functions, some at a time. The values are well mixed, so that a
+    multiplication each suffices for their order."""
+    step = max(8, HASHES_AT_ONCE // max(1, len(values)))
+    for at in range(0, n, step):
+        yield at, values[None, :] * _salt(n, seed)[at:at + step, None]
+
+
+def sketches(words: np.ndarray, k: int, kind: int = 0, n: int = SKETCHES, seed: int = 7) -> np.ndarray:
+    """n hashes of ordered k-mer tuples."""
+    grams = kmers(words, k)
     labelled = _mix(grams + occurrence_labels(grams) * np.uint64(0xD6E8FEB86659FD93))
-    salt = np.random.default_rng(seed).integers(1, 1 << 63, (2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.empty(n, np.uint64)
-    take = min(TAKEN, len(grams))
-    for at in range(0, n, 8):
-        h = _mix(labelled[None, :] * salt[0, at:at + 8, None] + salt[1, at:at + 8, None])
-        picked = []
+    picked = np.empty((min(TAKEN, len(grams)), n), np.int64)
+    for at, h in _hashed(labelled, n, seed):
         rows = np.arange(len(h))
-        for _ in range(take):
+        for i in range(len(picked)):
             best = h.argmin(axis=1)
-            picked.append(best)
+            picked[i, at:at + len(h)] = best
             h[rows, best] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        ordered = np.sort(np.stack(picked), axis=0)
-        code = np.arange(at, at + len(h), dtype=np.uint64)
-        for row in ordered:
-            code = _mix(code * np.uint64(_P) + grams[row])
-        out[at:at + 8] = code
-    return out.view(np.int64)
+    place = np.arange(n, dtype=np.uint64) + np.uint64(kind * n)
+    code = place.copy()
+    for row in np.sort(picked, axis=0):
+        code = _mix(code * np.uint64(_P) + grams[row])
+    # The last bits tell class and place of the sketch.
+    return ((code & ~np.uint64(PLACES)) | place).view(np.int64)
 
 
 def bag_signature(words: np.ndarray, n: int = BAG_HASHES, seed: int = 9) -> np.ndarray:
-    """One byte of each minimum hash of the words, labelled by occurrence; a cheap bound on the overlap of two bags."""
+    """One byte of each minimum hash of the words, labelled by occurrence; it tells how much two bags overlap."""
     if not len(words):
-        return np.zeros(0, np.int8)
+        return np.zeros(n, np.int8)
     labelled = _mix(words + occurrence_labels(words) * np.uint64(0xD6E8FEB86659FD93))
-    salt = np.random.default_rng(seed).integers(1, 1 << 63, (2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.empty(n, np.uint64)
-    for at in range(0, n, 8):
-        out[at:at + 8] = _mix(labelled[None, :] * salt[0, at:at + 8, None] + salt[1, at:at + 8, None]).min(axis=1)
-    return (_mix(out) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+    least = np.concatenate([h.min(axis=1) for _, h in _hashed(labelled, n, seed)])
+    return (_mix(least) >> np.uint64(56)).astype(np.uint8).view(np.int8)
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -203,121 +223,177 @@ def edit_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -
     return alignment_cost(a, b) <= most or edit_distance_within(a, b, most) is not None
 
 
-def describe(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _x, node, words, marks, bag): ``node`` is a digest of the words (of the text, if it has none)."""
+def describe(docs: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, _x, node, words, sets, bag): ``node`` is a digest of the words (of the text, if it has none); ``sets`` are the
+    sketches of each of its length classes."""
     kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).alias("_t"))
+    slim = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.make_valid_utf8(text).alias("_t"))
+    sets = pa.list_(pa.struct([("kind", pa.int32()), ("marks", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, counts, marks, bags = [], [], [], []
-            for t in batch.column(2).to_pylist():
-                words = word_hashes(t or "")
-                raw = words.tobytes() if len(words) else b"-" + (t or "").encode("utf-8", "surrogatepass")
-                nodes.append(hashlib.blake2b(raw, digest_size=16).digest())
-                counts.append(len(words))
-                marks.append(sketches(words))
-                bags.append(bag_signature(words))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()),
-                 pa.array(marks, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int8()))], names=["_k", "_x", "node", "words", "marks", "bag"])
-
-    return slim.mapInArrow(run, f"_k {kind}, _x long, node binary, words int, marks array<long>, bag array<tinyint>")
+        for whole in batches:
+            for i, j in by_bytes(whole.column(2), 1 << 22):
+                batch = whole.slice(i, j - i)
+                nodes, counts, marks, bags = [], [], [], []
+                for t in batch.column(2).to_pylist():
+                    words = word_hashes(t or "")
+                    raw = words.tobytes() if len(words) else b"-" + (t or "").encode("utf-8", "surrogatepass")
+                    nodes.append(hashlib.blake2b(raw, digest_size=16).digest())
+                    counts.append(len(words))
+                    marks.append([{"kind": c, "marks": sketches(words, k, c)} for c, k in length_classes(len(words), similarity)] if len(words) else [])
+                    bags.append(bag_signature(words).tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(counts, pa.int32()), pa.array(marks, sets),
+                     pa.array(bags, pa.binary())], names=["_k", "_x", "node", "words", "sets", "bag"])
+
+    return slim.mapInArrow(run, f"_k {kind}, _x long, node binary, words int, sets array<struct<kind:int,marks:array<long>>>, bag binary")
 
 
 def least_agreement(similarity: float) -> int:
-    """Bag hashes that agree for all but about one in 5,000 pairs of just that similarity: they share s / (2 - s) of
+    """Bag hashes that agree for all but about one in 500,000 pairs of just that similarity: they share s / (2 - s) of
     their joint bag at least."""
     share = similarity / (2 - similarity)
-    return max(0, int(BAG_HASHES * share - 3.6 * (BAG_HASHES * share * (1 - share)) ** 0.5))
+    return max(0, int(BAG_HASHES * share - 4.6 * (BAG_HASHES * share * (1 - share)) ** 0.5))
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose bags of words may overlap enough; texts of the others need not be fetched."""
-    bags = nodes.select("node", "bag")
-    both = pairs.join(bags.withColumnsRenamed({"node": "b", "bag": "bag_b"}), "b").join(bags.withColumnsRenamed({"node": "a", "bag": "bag_a"}), "a")
-    agree = F.aggregate(F.zip_with("bag_a", "bag_b", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    return both.where(agree >= least_agreement(similarity)).select("a", "b")
+def with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Adds ``label``, the class so far, to rows of nodes."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+def first_cells(members: DataFrame, size: int) -> DataFrame:
+    """(bucket, cell, node, words, label, cut) of the buckets with several classes. A large bucket is cut into cells by the hash
+    of the node; its least node stands in all of them, so that what is like it joins at once."""
+    buckets = members.groupBy("bucket").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / size), F.ceil(F.sum("words") / CELL_WORDS)).alias("parts"),
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("lead")).where("lo != hi")
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("parts")))
+    cells = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(own)
+    return members.join(buckets, "bucket").select("bucket", F.explode(cells).alias("cell"), "node", "words", "label", (F.col("parts") > 1).alias("cut"))
+
+
+def open_cells(members: DataFrame, size: int) -> DataFrame:
+    """(bucket, cell, node, words, label) of buckets that were cut and still hold several classes: members outside the largest class
+    are dealt against it and against each other, block by block.
+
+    Rows grow with the members times the blocks outside the largest class.
+    """
+    counts = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("words").alias("w"))
+
+    def blocks(c: str, w: str) -> Column:
+        return F.greatest(F.ceil(F.col(c) / size), F.ceil(F.col(w) / CELL_WORDS))
+
+    top = counts.groupBy("bucket").agg(F.max_by(F.struct("label", "c", "w"), F.struct("c", "label")).alias("t"), F.sum("c").alias("c"), F.sum("w").alias("w"))
+    top = top.select("bucket", F.col("t.label").alias("top"), F.col("t.c").alias("tc"), F.col("t.w").alias("tw"),
+                     (F.col("c") - F.col("t.c")).alias("oc"), (F.col("w") - F.col("t.w")).alias("ow")).where("oc > 0")
+    top = top.select("bucket", "top", blocks("tc", "tw").alias("_t"), blocks("oc", "ow").alias("_o"))
+    member = members.join(top, "bucket").withColumn("_in", F.col("label") == F.col("top"))
+    member = member.withColumn("_m", F.pmod(F.xxhash64("node", F.lit(2)), F.when(F.col("_in"), F.col("_t")).otherwise(F.col("_o"))))
+    others, tops = F.expr("sequence(0L, _o - 1)"), F.expr("sequence(0L, _t - 1)")
+    # Cells are numbered (block of the largest class, block of others), and below zero (block of others, block of others).
+    against = F.when(F.col("_in"), F.transform(others, lambda x: F.col("_m") * F.col("_o") + x)).otherwise(
+        F.transform(tops, lambda x: x * F.col("_o") + F.col("_m")))
+    among = F.when(~F.col("_in"), F.transform(others, lambda x: -1 - (F.least(x, "_m") * F.col("_o") + F.greatest(x, "_m"))))
+    cells = F.explode(F.concat(against, F.coalesce(among, F.array().cast("array<long>"))))
+    return member.select("bucket", cells.alias("cell"), "node", "words", "label")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (bucket, cell) after the other; they stand together."""
+    rest: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        bucket, cell = part["bucket"].to_numpy(), part["cell"].to_numpy()
+        edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1
+        starts = [0, *edges.tolist()]
+        for a, b in zip(starts, [*starts[1:], len(part)]):
+            if rest and (bucket[a], cell[a]) != last:
+                yield pa.concat_tables(rest).combine_chunks()
+                rest = []
+            rest.append(part.slice(a, b - a))
+            last = bucket[a], cell[a]
+    if rest:
+        yield pa.concat_tables(rest).combine_chunks()
+
+
+class Cell:
+    """Which members of a cell are candidates of each other."""
+
+    def __init__(self, rows: pa.Table, similarity: float) -> None:
+        n = len(rows)
+        self.words, self.least, self.similarity = rows["words"].to_numpy(), least_agreement(similarity), similarity
+        self.bags = np.frombuffer(b"".join(rows["bag"].to_pylist()), np.uint8).reshape(n, BAG_HASHES)
+        self.marks = rows["marks"].combine_chunks().flatten().to_numpy().reshape(n, -1)
+        self.table = (rows["bucket"][0].as_py() & PLACES) % SKETCHES
+        self.labels = np.unique(np.array(rows["label"].to_pylist(), object), return_inverse=True)[1]
+
+    def candidates(self, x: int, among: np.ndarray) -> np.ndarray:
+        """Those of other classes, of fitting length and with a bag alike, that x meets in no earlier sketch."""
+        some = among[self.labels[among] != self.labels[x]]
+        lo, hi = np.minimum(self.words[some], self.words[x]), np.maximum(self.words[some], self.words[x])
+        some = some[lo >= hi * self.similarity - 1e-6]
+        if len(some):
+            some = some[(self.bags[some] == self.bags[x]).sum(axis=1) >= self.least]
+        if len(some) and self.table:
+            some = some[~(self.marks[some, :self.table] == self.marks[x, :self.table]).any(axis=1)]
+        return some
+
+
+def open_members(cells: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``cells`` that have a candidate in their cell; only their texts need be fetched."""
+    dealt = cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, words = [], None, None
-            for i, (ta, tb) in enumerate(zip(batch.column(2), batch.column(3))):
-                ta = ta.as_py()
-                if ta != last:
-                    last, words = ta, word_hashes(ta)
-                if edit_similar(words, word_hashes(tb.as_py()), similarity):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+        for rows in _cells(batches):
+            cell, n = Cell(rows, similarity), len(rows)
+            met = np.zeros(n, bool)
+            for x in range(n - 1):
+                found = cell.candidates(x, np.arange(x + 1, n))
+                met[found] = True
+                met[x] |= len(found) > 0
+            if met.any():
+                yield from rows.filter(pa.array(met)).to_batches()
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, cells.schema)
 
 
-def open_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all pairs of members of a bucket that are of different classes, of fitting lengths, and alike as bags of words.
+def cell_links(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the candidates of every cell, enough to join all that links join; one a member at most.
 
-    A bucket is cut into blocks of about GRID_MEMBERS by the hash of the node; each pair of blocks is compared inside one
-    task, so that no row is made for a pair that is not alike.
+    A search goes from member to member; each is aligned with the candidates that no search has reached, and members of a
+    class that is reached are reached.
     """
-    now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo != _hi")
-    here = now.join(mixed.select("bucket", F.ceil(F.col("_m") / GRID_MEMBERS).cast("int").alias("_blocks")), "bucket")
-    here = here.join(nodes.select("node", "bag"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    dealt = here.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "bucket", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "node", "label", "words", "bag")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "words")
-    least = least_agreement(similarity)
-
-    def compared(group: pa.Table) -> pa.RecordBatch:
-        """The group's rows stand in the order of their lengths, so those that fit a row stand close to it."""
-        node, words, own = group["node"].combine_chunks(), group["words"].to_numpy(), group["own"].to_numpy()
-        label = np.unique(np.array(group["label"].to_pylist(), object), return_inverse=True)[1]
-        bags = np.ascontiguousarray(group["bag"].combine_chunks().flatten().to_numpy().reshape(len(words), BAG_HASHES).T)
-        across = group["i"][0].as_py() != group["j"][0].as_py()
-        stop = np.searchsorted(words * similarity, words + 1e-6, "right")
-        first, second = [], []
-        for at in range(0, len(words), 256):
-            to = min(at + 256, len(words))
-            end = int(stop[to - 1])
-            fits = np.arange(at, end)[None, :] < stop[at:to, None]
-            fits &= np.arange(at, end)[None, :] > np.arange(at, to)[:, None]
-            fits &= label[None, at:end] != label[at:to, None]
-            if across:
-                fits &= own[None, at:end] != own[at:to, None]
-            if not fits.any():
-                continue
-            agree = np.zeros(fits.shape, np.uint8)
-            for h in bags:
-                agree += h[None, at:end] == h[at:to, None]
-            x, y = np.nonzero(fits & (agree >= least))
-            first.append(x + at)
-            second.append(y + at)
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (first, second))
-        return pa.RecordBatch.from_arrays([node.take(pa.array(x)), node.take(pa.array(y))], names=["x", "y"])
+    dealt = cells.join(texts, "node").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            part = part if rest is None else pa.concat_tables([rest, part])
-            keys = np.stack([part[c].to_numpy() for c in ("bucket", "i", "j")])
-            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            starts = [0, *edges.tolist()]
-            for start, stop in zip(starts, starts[1:]):
-                yield compared(part.slice(start, stop - start))
-            rest = part.slice(starts[-1])
-        if rest is not None and len(rest):
-            yield compared(rest)
-
-    found = dealt.mapInArrow(run, "x binary, y binary")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        for rows in _cells(batches):
+            cell, n, words = Cell(rows, similarity), len(rows), {}
+            node, text = rows["node"].to_pylist(), rows["text"]
+
+            def of(i: int, words=words, text=text) -> np.ndarray:
+                if i not in words:
+                    words[i] = word_hashes(text[i].as_py())
+                return words[i]
+
+            first, second, free = [], [], np.arange(n)
+            while len(free):
+                queue, free = [int(free[0])], free[1:]
+                while queue and len(free):
+                    x = queue.pop()
+                    hit = [int(y) for y in cell.candidates(x, free) if edit_similar(of(x), of(int(y)), similarity)]
+                    first += [node[x]] * len(hit)
+                    second += [node[y] for y in hit]
+                    reached = np.isin(free, hit) | np.isin(cell.labels[free], cell.labels[[x, *hit]])
+                    queue += free[reached].tolist()
+                    free = free[~reached]
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def between_classes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -339,78 +415,54 @@ def joined_classes(labels: DataFrame | None, found: DataFrame) -> DataFrame:
         fresh.select("node", "label")), "dup-labels")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """A row per input row: key, class_id (least key of its class), class_size (rows), n_links (verified links of its
-    text), _x (hash of its text).
+def joined_in_cells(cells: DataFrame, described: DataFrame, texts: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame | None:
+    """The labels after the links of ``cells``."""
+    kind = F.floor(F.col("bucket").bitwiseAND(PLACES) / SKETCHES).cast("int")
+    full = cells.withColumn("kind", kind).join(described, ["node", "kind"])
+    found = written(cell_links(written(open_members(full, similarity), "dup-open"), texts, similarity), "dup-links")
+    return joined_classes(labels, found) if found.limit(1).count() else labels
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
+                    size: int = CELL_MEMBERS) -> DataFrame:
+    """A row per input row: key, class_id (least key of its class), class_size (rows), kept (the class's row with the least key
+    and hash; rows equal in both are all kept), _x (hash of its text).
 
     Two texts are linked if 1 - edit distance / longer length >= ``similarity``, in words without case and punctuation, and
-    they share one of SKETCHES sketches; classes are the connected components. Equal word sequences are one node. A
-    bucket compares leaders with its other members, by signatures of their word bags and then by their texts; buckets
-    that still hold several classes get another leader in the next round, other ones in each of the SKETCHES tables, while
-    rounds bring many links. Then all pairs of a bucket that are still of different classes and not tested are compared in
-    the same way, so that no link between two classes is left. Texts without words, null texts among them (as empty), are
-    classed with equal texts only. Rows with a null key are documents; equal rows share
+    they share one of SKETCHES sketches of a length class; classes are the connected components. Equal word sequences are
+    one node. Buckets of some sketches are compared in each round; a pair is aligned in the first sketch it shares, unless its classes
+    have been joined by then, and unless its bags of words differ more than those of one in 500,000 similar pairs. Texts
+    without words, null texts among them (as empty), are classed with equal texts only; invalid UTF-8 counts as U+FFFD. Rows with a null key are documents; equal rows share
     a class; an empty table gives an empty result. Other columns are not looked at.
     """
-    rows = written(describe(docs, key, text), "dup-rows")
-    nodes = written(rows.groupBy("node").agg(F.min(F.struct("_k", "_x")).alias("rep"), F.first("marks").alias("marks"),
+    rows = written(describe(docs, key, text, similarity), "dup-rows")
+    nodes = written(rows.groupBy("node").agg(F.min(F.struct("_k", "_x")).alias("rep"), F.first("sets").alias("sets"),
                                              F.first("bag").alias("bag"), F.first("words").alias("words")), "dup-nodes")
-    marks = nodes.select("node", "words", F.explode("marks").alias("bucket"))
+    marks = nodes.select("node", F.explode(F.flatten("sets.marks")).alias("bucket"))
     shared = marks.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    members = written(marks.join(shared, "bucket"), "dup-buckets")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "rep._k", "rep._x")
-    source = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.col(text).alias("text"))
-    texts = written(source.alias("s").join(wanted.alias("w"), same("s", "w", ["_k", "_x"])).select("node", "text")
-                    .dropDuplicates(["node"]), "dup-texts")
-    labels = tested = links = None
-    turn = total = 0
-    while True:
-        now = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn(
-            "label", F.coalesce("label", "node"))
-        # The least node leads at first, then another member of each bucket in every round.
-        drawn = F.xxhash64("bucket", "node", F.lit(turn)) if turn else F.lit(0)
-        leaders = now.groupBy("bucket").agg(F.min(F.struct(drawn.alias("h"), "node", "words", "label")).alias("l"))
-        led = now.join(leaders, "bucket")
-        near = F.least("words", "l.words") >= F.greatest("words", "l.words") * F.lit(similarity)
-        pairs = led.where((F.col("label") != F.col("l.label")) & near).select(
-            F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "dup-pairs")
-        found = written(verified(alike(pairs, nodes, similarity), texts, similarity), "dup-links")
-        new = found.count()
-        tested = pairs if tested is None else tested.union(pairs)
-        if new == 0:
-            break
-        total += new
-        links = found if links is None else links.union(found)
-        labels = joined_classes(labels, found)
-        if new < LEADERS_GAIN * total:
-            break
-        turn += 1
-    classes = rows.select("node", F.col("node").alias("label")).where("false") if labels is None else labels
-    left = written(open_pairs(members, nodes, classes, similarity).join(tested, ["a", "b"], "left_anti"), "dup-open")
-    place, done = F.shiftrightunsigned(F.xxhash64("a", "b"), 33) / F.lit(float(1 << 31)), 0.0
-    for share in OPEN_SHARES:
-        pairs = left.where((place >= done) & (place < share))
-        if labels is not None:
-            pairs = between_classes(pairs, labels).where("la != lb").select("a", "b")
-        found = written(verified(pairs, texts, similarity), "dup-links")
-        done = share
-        if found.limit(1).count():
-            links = found if links is None else links.union(found)
-            labels = joined_classes(labels, found)
-    if links is None:
-        degree = rows.select("node").where("false").withColumn("n_links", F.lit(0).cast("long"))
-        labels = rows.select("node", F.col("node").alias("label")).where("false")
-    else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = written(rows.select("_k", "_x", "node").join(labels, "node", "left").join(degree, "node", "left").select(
-        "_k", "_x", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "dup-classes")
-    totals = classed.groupBy("label").agg(F.min("_k").alias("class_id"), F.min(F.struct("_k", "_x")).alias("kept"),
+    every = written(marks.join(shared, "bucket").join(nodes.select("node", "words"), "node"), "dup-buckets")
+    wanted = every.select("node").distinct().join(nodes.select("node", "rep._k", "rep._x"), "node")
+    source = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.make_valid_utf8(text).alias("text"))
+    texts = written(source.alias("s").join(wanted.alias("w"), same("s", "w", ["_k", "_x"])).select("node", "text").dropDuplicates(["node"]), "dup-texts")
+    described = nodes.select("node", "bag", F.inline("sets"))
+    labels, begin, place = None, 0, F.col("bucket").bitwiseAND(PLACES) % SKETCHES
+    for many in ROUNDS:
+        members = written(with_labels(every.where((place >= begin) & (place < begin + many)), labels), "dup-members")
+        cells = written(first_cells(members, size), "dup-cells")
+        labels = joined_in_cells(cells.drop("cut"), described, texts, labels, similarity)
+        cut = cells.where("cut").select("bucket").distinct()
+        if labels is not None and cut.limit(1).count():
+            again = written(with_labels(members.drop("label").join(cut, "bucket"), labels), "dup-members")
+            labels = joined_in_cells(written(open_cells(again, size), "dup-cells"), described, texts, labels, similarity)
+        begin += many
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("label")).where("false")
+    classed = written(rows.select("_k", "_x", "node").join(labels, "node", "left").select(
+        "_k", "_x", F.coalesce("label", "node").alias("label")), "dup-classes")
+    totals = classed.groupBy("label").agg(F.min("_k").alias("class_id"), F.min(F.struct("_k", "_x")).alias("least"),
                                           F.count(F.lit(1)).alias("class_size"))
-    is_kept = F.col("_k").eqNullSafe(F.col("kept._k")) & F.col("_x").eqNullSafe(F.col("kept._x"))
-    return classed.join(totals, "label").select(F.col("_k").alias(key), "class_id", "class_size", "n_links", is_kept.alias("kept"), "_x")
+    is_kept = F.col("_k").eqNullSafe(F.col("least._k")) & F.col("_x").eqNullSafe(F.col("least._x"))
+    return classed.join(totals, "label").select(F.col("_k").alias(key), "class_id", "class_size", is_kept.alias("kept"), "_x")
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -45,7 +45,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op3_order_minhash")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "class_size", "n_links", "kept")
+    return near_dup.near_duplicates(table(spark, sf, "documents")).select("doc_id", "class_id", "class_size", "kept")
 
 
 @query("op4_neighbour_quality")
