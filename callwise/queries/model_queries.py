@@ -287,6 +287,5 @@ def stream_lead_state(spark: SparkSession, d: str) -> DataFrame:
                  orders.where(year >= 1998)):
         part.write.mode("append").parquet(f"{base}/in")
         stream = scoring.arriving_parquet(spark, f"{base}/in", orders.schema)
-        scoring.score_stream(stream, lead_state.carry_lead_state, f"{base}/out",
-                             f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+        lead_state.carry_lead_state(stream, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return lead_state.LeadState(f"{base}/out").rows(spark)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from callwise.config import DEFAULTS, Settings
 from callwise.operators.clean import clean_calls
+from callwise.sources.quoted_csv import read_quoted_csv
 
 RAW_COLUMNS = (
     "interaction_id", "lead_id", "contact_name", "contact_role", "company_name",
@@ -26,11 +27,12 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
              multi_line: bool = True) -> DataFrame:
     """CSV with a header; cells may be quoted and span lines.
 
-    A file whose cells span lines is read by one task, so keep a large table in many files;
-    files without such cells are split among tasks with ``multi_line=False``.
+    Files are split among tasks, also inside quoted cells. Where no cell spans lines, ``multi_line=False`` saves the
+    pass that counts quotes.
     """
-    return spark.read.schema(schema).csv(
-        path, header=True, multiLine=multi_line, quote='"', escape='"', encoding="UTF-8")
+    if multi_line:
+        return read_quoted_csv(spark, path, schema)
+    return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', encoding="UTF-8")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
