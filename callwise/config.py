@@ -115,6 +115,7 @@ class Settings:
     numeric: tuple[str, ...] = NUMERIC
     target: str = "next_step"
     embedding_dim: int = 384
+    most_categories: int = 10_000
     test_size: Fraction = Fraction(1, 5)
     folds: int = 5
     seed: int = 42

@@ -39,5 +39,5 @@ def context_text(notes: Column, prev_outcome: Column) -> Column:
 
 
 def one_line(col: Column) -> Column:
-    """Trimmed text with line breaks as spaces."""
-    return F.replace(F.trim(col), F.lit("\n"), F.lit(" "))
+    """Text without outer white space, line breaks as spaces."""
+    return F.replace(F.regexp_replace(col, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""), F.lit("\n"), F.lit(" "))

@@ -40,6 +40,18 @@ def _scaling_sql(stats: dict[str, tuple[float, float]], categorical: Sequence[st
     return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
 
 
+def frequent_categories(df: DataFrame, columns: Sequence[str], most: int) -> list[list[str]]:
+    """Up to ``most`` values of each column, in order of their names: the most frequent, ties to the first name.
+
+    Counts are exact and shuffled by value; the driver receives ``most`` values a column, however many there are.
+    """
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(columns)])
+    counts = df.select(F.inline(pairs)).groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).persist()
+    found = [[r["v"] for r in counts.where(F.col("c") == i).orderBy(F.desc("n"), "v").limit(most).collect()] for i in range(len(columns))]
+    counts.unpersist()
+    return [sorted(v) for v in found]
+
+
 def text_stages(column: str, out: str, dim: int) -> list:
     """Hashed, IDF-weighted, unit-length bag of words; all in the JVM."""
     return [
@@ -56,16 +68,18 @@ def fit_features(df: DataFrame, settings: Settings = DEFAULTS, texts: Sequence[s
 
     ``texts`` are hashed; ``vectors`` name columns that already hold vectors of
     another encoder, with their widths. The target takes no part, so the same model serves
-    training and scoring.
+    training and scoring. Of a category column the ``most_categories`` most frequent values have slots; others encode to
+    zeros, as values do that were not seen.
     """
     stats = scale_stats(df, settings.numeric)
     cats = [f"{c}__s" for c in settings.categorical]
-    stages: list = [SQLTransformer(statement=_scaling_sql(
-        stats, settings.categorical, texts, settings.sentinel))]
+    filled = SQLTransformer(statement=_scaling_sql(stats, settings.categorical, texts, settings.sentinel))
+    stages: list = [filled]
     if cats:
+        categories = frequent_categories(filled.transform(df).select(*cats), cats, settings.most_categories)
+        indexed = [f"{c}__i" for c in settings.categorical]
         stages += [
-            StringIndexer(inputCols=cats, outputCols=[f"{c}__i" for c in settings.categorical],
-                          stringOrderType="alphabetAsc", handleInvalid="keep"),
+            StringIndexerModel.from_arrays_of_labels(categories, inputCols=cats, outputCols=indexed, handleInvalid="keep"),
             # The slot kept for unknown values is the last one, which is dropped: all zeros.
             OneHotEncoder(inputCols=[f"{c}__i" for c in settings.categorical],
                           outputCols=[f"{c}__o" for c in settings.categorical], dropLast=True),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +74,8 @@ def _mean(column: str):
     return F.expr(f"cast(round(coalesce(avg(cast({column} AS decimal(20, 10))), 0), 4) AS double)")
 
 
-def trajectory_summary(steps: DataFrame) -> DataFrame:
-    """One row per lead and strategy.
+def trajectory_summary(steps: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """One row per lead and strategy, with the last values of the ``carried`` columns, such as company name and sector.
 
     The status is that of the last step; a lead that never reached a terminal
     status ran out of steps. All aggregates combine on the map side.
@@ -83,7 +85,8 @@ def trajectory_summary(steps: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_steps"),
         _mean("confidence").alias("confidence_avg"),
         F.max("day").cast("long").alias("total_days"),
-        F.coalesce(last, F.lit("max_steps_reached")).alias("final_status"))
+        F.coalesce(last, F.lit("max_steps_reached")).alias("final_status"),
+        *[F.max_by(c, "step").alias(c) for c in carried])
 
 
 def status_distribution(summary: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callwise.config import DEFAULTS, Settings
 from callwise.operators import balance, coherence, correlation, duplicates, features, patterns
+from callwise.plans.storage import materialise
 
 # Thresholds of the audit's warnings.
 MAX_IMBALANCE = 10
@@ -82,13 +83,53 @@ def artificial_patterns(df: DataFrame, settings: Settings = DEFAULTS) -> DataFra
         {"n_over_represented": "over", "sector_entropy_std": "entropy_std", "n_sectors": "n_sectors"})
 
 
+#: What the checks read besides the columns that settings name.
+AUDITED = ("interaction_id", "lead_id", "call_number", "company_name", "contact_name", "company_sector", "company_num_employees",
+           "company_annual_revenue_eur", "days_since_entry", "days_since_last_call", "prev_outcome", "prev_next_step", "current_transcript")
+
+
+def audited(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The audited columns, written once: whatever ``df`` is made of is computed a single time, and each check reads
+    its own columns of the written table."""
+    wanted = dict.fromkeys([*AUDITED, settings.target, *settings.numeric])
+    return materialise(df.select(*[c for c in wanted if c in df.columns]), "audit")
+
+
 def validation_report(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """All five checks. Each reads only the columns it needs, so nothing is cached."""
+    """All five checks over one scan of the source."""
+    df = audited(df, settings)
     return reduce(DataFrame.unionByName, [
         class_distribution(df, settings.target), feature_correlations(df, settings),
         duplicate_rows(df), temporal_coherence(df, settings), artificial_patterns(df, settings)])
 
 
+def validation_stats(df: DataFrame, settings: Settings = DEFAULTS, examples: int = 10) -> DataFrame:
+    """What stands behind the checks, a row per figure: check_name, stat, item, value.
+
+    Counts and shares of classes, all correlations, duplicate counts, the first violations, counts and label entropies of sectors.
+    """
+    df = audited(df, settings)
+
+    def rows(table: DataFrame, check: str, stat: str, item: str, value: str) -> DataFrame:
+        return table.selectExpr(f"'{check}' AS check_name", f"'{stat}' AS stat", f"{item} AS item", f"cast({value} AS double) AS value")
+
+    classes = balance.class_percentages(df, settings.target)
+    sectors = patterns.sector_counts(df)
+    numeric = [c for c in settings.numeric if c in df.columns]
+    return reduce(DataFrame.unionByName, [
+        rows(classes, "class_distribution", "count", "label", "n"),
+        rows(classes, "class_distribution", "percent", "label", "pct"),
+        rows(classes.where("rare"), "class_distribution", "rare", "label", "n"),
+        rows(correlation.pearson_matrix(df, numeric), "feature_correlations", "pearson", "concat(col_a, ' ', col_b)", "r"),
+        rows(duplicates.exact_duplicates(df), "duplicates", "exact", "'rows'", "exact_duplicates"),
+        rows(duplicates.near_duplicates(df, prefix=duplicates.PREFIX_CHARS), "duplicates", "near", "'rows'", "near_duplicates"),
+        rows(coherence.coherence_examples(df, examples, sentinel=settings.sentinel), "temporal_coherence", "example",
+             "concat_ws(' ', rule, lead_id, call_number)", "call_number"),
+        rows(sectors, "artificial_patterns", "sector_count", "sector", "n"),
+        rows(sectors.where("over_represented"), "artificial_patterns", "over_represented", "sector", "n"),
+        rows(patterns.sector_entropy(df, target=settings.target), "artificial_patterns", "sector_entropy", "sector", "entropy")])
+
+
 def report_totals(report: DataFrame) -> DataFrame:
     return report.selectExpr("count_if(passed) AS checks_passed", "count(1) AS checks_total",
                              "every(passed) AS all_passed")

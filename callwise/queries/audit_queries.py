@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callwise.config import Settings
 from callwise.operators import balance, coherence, correlation, duplicates, patterns, report
 from callwise.plans.storage import scratch_path
 from callwise.queries import adapters as A
@@ -244,3 +245,33 @@ def report_json(spark: SparkSession, d: str) -> DataFrame:
     return _flat(spark.read.schema(
         "check_name string, passed boolean, warnings array<string>, errors array<string>, "
         "stats map<string,double>").json(path))
+
+
+def _stats_sql() -> str:
+    pairs = " UNION ALL ".join(
+        f"SELECT 'feature_correlations', 'pearson', '{a} {b}', round(corr({a}, {b}), 4) FROM call_texts"
+        for a in A.CALL_NUMERIC for b in A.CALL_NUMERIC)
+    return f""", counts AS (SELECT next_step AS label, count(*) AS n FROM call_texts WHERE next_step IS NOT NULL GROUP BY 1),
+shares AS (SELECT label, n, round(n / CAST(sum(n) OVER () AS DOUBLE) * 100, 2) AS pct FROM counts),
+sectors AS (SELECT company_sector AS sector, count(*) AS n FROM call_texts WHERE company_sector IS NOT NULL GROUP BY 1),
+bad AS (SELECT *, lag(next_step) OVER (PARTITION BY lead_id ORDER BY call_number, interaction_id) AS sb FROM call_texts)
+SELECT 'class_distribution' AS check_name, 'count' AS stat, label AS item, CAST(n AS DOUBLE) AS value FROM counts
+UNION ALL SELECT 'class_distribution', 'percent', label, pct FROM shares
+UNION ALL SELECT 'class_distribution', 'rare', label, n FROM shares WHERE pct < 5
+UNION ALL {pairs}
+UNION ALL SELECT 'duplicates', 'exact', 'rows', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM call_texts
+  GROUP BY company_name, contact_name, call_number)
+UNION ALL SELECT 'duplicates', 'near', 'rows', coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM call_texts
+  GROUP BY md5(substring(coalesce(current_transcript, ''), 1, 200)))
+UNION ALL SELECT 'artificial_patterns', 'sector_count', sector, n FROM sectors
+UNION ALL SELECT 'artificial_patterns', 'over_represented', sector, n FROM (SELECT *, avg(n) OVER () AS m FROM sectors) WHERE n > 3 * m
+UNION ALL SELECT 'artificial_patterns', 'sector_entropy', sector, round(-sum(n / t * ln(n / t + 1e-9)), 4)
+  FROM (SELECT company_sector AS sector, n, CAST(sum(n) OVER (PARTITION BY company_sector) AS DOUBLE) AS t
+    FROM (SELECT company_sector, next_step, count(*) AS n FROM call_texts GROUP BY 1, 2)) GROUP BY sector"""
+
+
+@query("validation_stats", _stats_sql(), "calls call_texts")
+def validation_stats(spark: SparkSession, d: str) -> DataFrame:
+    """All figures but the example rows, which ``coherence_examples`` holds."""
+    stats = report.validation_stats(A.call_texts(spark, d), Settings(numeric=A.CALL_NUMERIC))
+    return stats.where("stat != 'example'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callwise.functions.cells import one_line
 from callwise.operators import clean, leads
 from callwise.queries import adapters as A
 from callwise.queries.registry import query
@@ -132,3 +133,10 @@ HAVING count(*) FILTER (WHERE (len + i - 1) % 6 = 2) > 0""", "record_calls")
 def records_with_class(spark: SparkSession, d: str) -> DataFrame:
     kept = leads.records_with_class(A.lead_records(spark, d), "step-2")
     return kept.select("lead_id", F.size("calls").cast("long").alias("n_calls"))
+
+
+@query("one_line_texts", r"""
+SELECT doc_id, md5(replace(regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g'), chr(10), ' ')) AS text_md5
+FROM documents""")
+def one_line_texts(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", F.md5(one_line(F.col("text")).cast("binary")).alias("text_md5"))

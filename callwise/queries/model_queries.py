@@ -271,6 +271,32 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("vec_id", "predicted_next_step", "confidence")
 
 
+@query("stream_score_swap", """
+SELECT doc_id AS interaction_id, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS model_version, true AS as_in_batch FROM documents""")
+def stream_score_swap(spark: SparkSession, d: str) -> DataFrame:
+    """Documents arrive in two parts and are scored by the whole pipeline; a logistic model takes over from the majority
+    between the parts. Every row must come out as the same model scores it in a batch."""
+    pipeline, coded = doc_features(spark, d)
+    train = split.train_part(coded)
+    fitted = {1: models.fit_majority(train, A.LANGUAGES), 2: models.fit_logistic(train, A.LANGUAGES)}
+    raw = doc_table(spark, d)
+    base = scratch_path(spark, "arriving")
+    registry = scoring.ModelRegistry(f"{base}/models")
+    english = F.col("next_step") == "en"
+    for version, part in ((1, raw.where(english)), (2, raw.where(~english))):
+        registry.publish(fitted[version], spark, pipeline, version)
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = scoring.arriving_parquet(spark, f"{base}/in", raw.schema)
+        scoring.score_arriving(stream, registry, f"{base}/out", f"{base}/checkpoint", ["interaction_id"]).awaitTermination()
+    rows = features.add_features(pipeline, raw).select("interaction_id", "features")
+    known = [fitted[v].predict(rows).select(F.col("interaction_id").alias("id"), F.lit(v).alias("v"), F.col("predicted_next_step").alias("label"),
+                                            F.col("confidence").alias("p")) for v in fitted]
+    same = (F.col("predicted_next_step") == F.col("label")) & (F.col("confidence") == F.col("p"))
+    return scoring.scored_rows(spark, f"{base}/out").join(
+        known[0].union(known[1]), (F.col("interaction_id") == F.col("id")) & (F.col("model_version") == F.col("v"))).select(
+        "interaction_id", "model_version", same.alias("as_in_batch"))
+
+
 @query("stream_lead_state", """
 SELECT interaction_id, lead_id, call_number, prev_next_step, prev_outcome,
   CAST(days_since_last_call AS INTEGER) AS days_since_last_call,

@@ -46,6 +46,17 @@ def trajectory_summary(spark: SparkSession, d: str) -> DataFrame:
     return outcomes.trajectory_summary(A.steps(spark, d))
 
 
+@query("trajectory_companies", """
+SELECT t.*, c_name AS company_name, c_mktsegment AS company_sector FROM trajectories t LEFT JOIN customer ON c_custkey = t.lead_id""",
+       "steps trajectories")
+def trajectory_companies(spark: SparkSession, d: str) -> DataFrame:
+    """Trajectories with the name and sector of the lead's company."""
+    companies = read_table(spark, d, "customer").select(
+        F.col("c_custkey"), F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("company_sector"))
+    steps = A.steps(spark, d).join(companies, F.col("lead_id") == F.col("c_custkey"), "left").drop("c_custkey")
+    return outcomes.trajectory_summary(steps, ["company_name", "company_sector"])
+
+
 @query("status_distribution", "SELECT final_status, count(*) AS n FROM trajectories GROUP BY 1",
        "steps trajectories")
 def status_distribution(spark: SparkSession, d: str) -> DataFrame:

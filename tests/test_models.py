@@ -205,3 +205,20 @@ def test_a_failed_candidate_is_never_first(spark, monkeypatch):
     scores.update({2: float("nan"), 3: float("nan"), 4: float("nan")})
     with pytest.raises(ValueError):
         search.random_search(fit, {"p": [1, 2]}, data, ["x"], n_iter=2)
+
+
+def test_only_the_most_frequent_categories_have_slots(spark):
+    rows = spark.createDataFrame([(i, v, 1.0) for i, v in enumerate(["b"] * 5 + ["a"] * 5 + ["d"] * 3 + ["c"] * 3 + [None] * 9 + ["e"])],
+                                 "id int, lead_source string, x double")
+    settings = Settings(categorical=("lead_source",), numeric=("x",), most_categories=4)
+    model = features.fit_features(rows, settings, texts=())
+    assert features.feature_names(model, settings) == ["x", f"lead_source_{FIRST_CALL}", "lead_source_a", "lead_source_b", "lead_source_c"]
+    hot = {r["lead_source"]: r["v"][1:] for r in features.add_features(model, rows).select("lead_source", vector_to_array("features").alias("v")).collect()}
+    assert hot["c"] == [0, 0, 0, 1] and hot["d"] == hot["e"] == [0, 0, 0, 0] and hot[None] == [1, 0, 0, 0]
+
+
+def test_the_best_candidate_of_shared_passes_equals_fits_one_by_one(table):
+    fits = [partial(models.fit_boosted, n_estimators=2, max_depth=2), partial(models.fit_forest, n_estimators=3, min_samples_split=9)]
+    together = models.fold_scores(fits, table, LABELS, 3)
+    assert together == [models.cross_validate(f, table, LABELS, 3) for f in fits]
+    assert models.spec_of(models.fit_logistic) is None and models.spec_of(fits[1]).min_samples_split == 9

@@ -71,3 +71,41 @@ def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_path(own, "t").rsplit("/", 1)[0] == scratch_path(own, "t").rsplit("/", 1)[0]
     out = materialise(spark.range(5), "five")
     assert out.count() == 5 and "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_replayed_batch_keeps_its_model(spark, tmp_path):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml import Pipeline
+
+    base, labels = str(tmp_path), ("a", "b")
+    rows = spark.createDataFrame([(i, float(i), float(i % 2)) for i in range(20)], "id int, x double, label double")
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features")]).fit(rows)
+    registry = scoring.ModelRegistry(f"{base}/models")
+    with pytest.raises(Exception):
+        registry.newest(spark)
+    from callwise.operators import models
+
+    registry.publish(models.Fitted("one", labels, majority=0), spark, pipeline, 1)
+
+    def arrive(part):
+        part.select("id", "x").write.mode("append").parquet(f"{base}/in")
+        stream = scoring.arriving_parquet(spark, f"{base}/in", rows.select("id", "x").schema)
+        scoring.score_arriving(stream, registry, f"{base}/out", f"{base}/cp", ["id"]).awaitTermination()
+
+    arrive(rows.where("id < 10"))
+    registry.publish(models.Fitted("two", labels, majority=1), spark, pipeline, 2)
+    assert registry.newest(spark) == 2
+    # A folder without metadata is a version that was never finished.
+    spark.range(1).write.parquet(f"{base}/models/version=3/model")
+    assert registry.newest(spark) == 2
+    arrive(rows.where("id >= 10"))
+    got = {r["id"]: (r["predicted_next_step"], r["model_version"]) for r in scoring.scored_rows(spark, f"{base}/out").collect()}
+    assert got == {i: (("a", 1) if i < 10 else ("b", 2)) for i in range(20)}
+
+
+def test_texts_on_one_line(spark):
+    from callwise.functions.cells import one_line
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("\n a\nb \t\n",), ("",), (None,), (" x ",)], "t string")
+    assert [r[0] for r in rows.select(one_line(F.col("t"))).collect()] == ["a b", "", None, "x"]
