@@ -23,7 +23,7 @@ from callwise.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 LENGTH = 100
 #: Bytes aimed at per suffix array.
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 250_000
 #: Different snippets of one anchor from which on its stretches are aggregated.
 HOT_SNIPPETS = 2_000
 #: Bytes of texts hashed at once; a longer text is taken alone, in overlapping pieces.
