@@ -102,15 +102,16 @@ def length_classes(n: int, similarity: float = SIMILARITY) -> list[tuple[int, in
 
 @lru_cache(maxsize=8)
 def _salt(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(seed).integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _hashed(values: np.ndarray, n: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
     """(first hash function, [function, value]) of n hash functions, some at a time. The values are well mixed, so that a
-    multiplication each suffices for their order."""
+    multiplication of 32 bits each suffices for their order."""
     step = max(8, HASHES_AT_ONCE // max(1, len(values)))
+    short = (values >> np.uint64(32)).astype(np.uint32)
     for at in range(0, n, step):
-        yield at, values[None, :] * _salt(n, seed)[at:at + step, None]
+        yield at, short[None, :] * _salt(n, seed)[at:at + step, None]
 
 
 def sketches(words: np.ndarray, k: int, kind: int = 0, n: int = SKETCHES, seed: int = 7) -> np.ndarray:
@@ -123,7 +124,7 @@ def sketches(words: np.ndarray, k: int, kind: int = 0, n: int = SKETCHES, seed:
         for i in range(len(picked)):
             best = h.argmin(axis=1)
             picked[i, at:at + len(h)] = best
-            h[rows, best] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            h[rows, best] = np.uint32(0xFFFFFFFF)
     place = np.arange(n, dtype=np.uint64) + np.uint64(kind * n)
     code = place.copy()
     for row in np.sort(picked, axis=0):
@@ -138,7 +139,7 @@ def bag_signature(words: np.ndarray, n: int = BAG_HASHES, seed: int = 9) -> np.n
         return np.zeros(n, np.int8)
     labelled = _mix(words + occurrence_labels(words) * np.uint64(0xD6E8FEB86659FD93))
     least = np.concatenate([h.min(axis=1) for _, h in _hashed(labelled, n, seed)])
-    return (_mix(least) >> np.uint64(56)).astype(np.uint8).view(np.int8)
+    return (_mix(least.astype(np.uint64) * np.uint64(_P)) >> np.uint64(56)).astype(np.uint8).view(np.int8)
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -214,6 +215,22 @@ def alignment_cost(a: np.ndarray, b: np.ndarray) -> int:
     return int(unlike.sum() + np.abs(di - dj).sum())
 
 
+def profile(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of a text's words and of its pairs of words, labelled by occurrence."""
+    return tuple(np.sort(_mix(g + occurrence_labels(g) * np.uint64(0xD6E8FEB86659FD93))) for g in (words, kmers(words, 2)))
+
+
+def profiles_allow(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> bool:
+    """Whether the texts may be similar: an edit spoils no more than one word and two pairs of words of either text."""
+    longest = max(len(a[0]), len(b[0]))
+    most = int((1 - similarity) * longest + 1e-9)
+    for q, (x, y) in enumerate(zip(a, b), 1):
+        both = np.sort(np.concatenate([x, y]))
+        if int((both[1:] == both[:-1]).sum()) < max(len(x), len(y)) - q * most:
+            return False
+    return True
+
+
 def edit_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether some alignment within the band costs little enough; the plain one is tried before the best one."""
     longest = max(len(a), len(b))
@@ -344,9 +361,15 @@ class Cell:
         return some
 
 
+def _dealt(cells: DataFrame) -> DataFrame:
+    """Cells in as many tasks as there are shuffle partitions: their work is large against their bytes, so they are not merged."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
+
+
 def open_members(cells: DataFrame, similarity: float) -> DataFrame:
     """The rows of ``cells`` that have a candidate in their cell; only their texts need be fetched."""
-    dealt = cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    dealt = _dealt(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _cells(batches):
@@ -368,24 +391,29 @@ def cell_links(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     A search goes from member to member; each is aligned with the candidates that no search has reached, and members of a
     class that is reached are reached.
     """
-    dealt = cells.join(texts, "node").repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    dealt = _dealt(cells.join(texts, "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _cells(batches):
             cell, n, words = Cell(rows, similarity), len(rows), {}
             node, text = rows["node"].to_pylist(), rows["text"]
 
-            def of(i: int, words=words, text=text) -> np.ndarray:
+            def of(i: int, words=words, text=text) -> tuple:
                 if i not in words:
-                    words[i] = word_hashes(text[i].as_py())
+                    w = word_hashes(text[i].as_py())
+                    words[i] = w, profile(w)
                 return words[i]
 
+            def linked(x: int, y: int, of=of) -> bool:
+                (a, pa_), (b, pb) = of(x), of(y)
+                return profiles_allow(pa_, pb, similarity) and edit_similar(a, b, similarity)
+
             first, second, free = [], [], np.arange(n)
             while len(free):
                 queue, free = [int(free[0])], free[1:]
                 while queue and len(free):
                     x = queue.pop()
-                    hit = [int(y) for y in cell.candidates(x, free) if edit_similar(of(x), of(int(y)), similarity)]
+                    hit = [int(y) for y in cell.candidates(x, free) if linked(x, int(y))]
                     first += [node[x]] * len(hit)
                     second += [node[y] for y in hit]
                     reached = np.isin(free, hit) | np.isin(cell.labels[free], cell.labels[[x, *hit]])

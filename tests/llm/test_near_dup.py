@@ -62,6 +62,19 @@ def test_distances_equal_the_full_table():
             near_dup.BAND_CELLS = kept
 
 
+def test_profiles_never_refuse_a_similar_pair():
+    rng = random.Random(2)
+    refused = 0
+    for _ in range(500):
+        a = [f"w{rng.randrange(12)}" for _ in range(rng.randint(1, 40))]
+        b = edited(rng, a, rng.choice([0.05, 0.2, 0.5]))
+        x, y = (near_dup.word_hashes(" ".join(t)) for t in (a, b))
+        allowed = near_dup.profiles_allow(near_dup.profile(x), near_dup.profile(y))
+        refused += not allowed
+        assert allowed or edit_distance(a, b) > int(0.2 * max(len(a), len(b)) + 1e-9)
+    assert refused > 100
+
+
 def test_occurrences_are_labelled():
     grams = np.array([5, 7, 5, 5, 7], np.uint64)
     assert near_dup.occurrence_labels(grams).tolist() == [0, 0, 1, 2, 1]
