@@ -20,7 +20,7 @@ DOCS = Settings(
 DIGITS = tuple(str(i) for i in range(10))
 
 # Labelled rows that searches fit on, for each of 20 candidates and 5 folds; grids, draws and folds are full.
-SEARCH_ROWS = 1_000
+SEARCH_ROWS = 500
 
 
 def doc_table(spark: SparkSession, d: str) -> DataFrame:
