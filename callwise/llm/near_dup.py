@@ -10,7 +10,6 @@ join its members, never its pairs.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +38,6 @@ CELL_WORDS = 4_000_000
 BAG_HASHES = 64
 #: Hashes computed at once.
 HASHES_AT_ONCE = 1 << 16
-#: Cells of the equality bands held at once by the alignment of one pair.
-BAND_CELLS = 8_000_000
 
 _P, _P_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _WORD = np.zeros(256, bool)
@@ -143,55 +140,46 @@ def bag_signature(words: np.ndarray, n: int = BAG_HASHES, seed: int = 9) -> np.n
 
 
 def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """The word edit distance if it is at most ``most``, else None."""
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return None
-    both, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ca, cb = np.bincount(inverse[:n], minlength=len(both)), np.bincount(inverse[n:], minlength=len(both))
-    if max(np.maximum(ca - cb, 0).sum(), np.maximum(cb - ca, 0).sum()) > most:  # bags alone are too far apart
-        return None
-    a, b = inverse[:n], inverse[n:]
-    limit = min(most, max(8, BAND_CELLS // (2 * max(n, m, 1))))
-    misses: dict[int, list[int]] = {}
-
-    def slide(d: int, i: int) -> int:  # along diagonal d (of b over a) from row i to the next mismatch
-        if d not in misses:
-            lo, hi = max(0, -d), min(n, m - d)
-            misses[d] = (np.flatnonzero(a[lo:hi] != b[lo + d:hi + d]) + lo).tolist() + [hi]
-        at = bisect_left(misses[d], i)
-        return misses[d][at] if at < len(misses[d]) else i
-
-    reach = {0: slide(0, 0)}
-    for e in range(limit + 1):
-        if reach.get(m - n, -1) >= n:
-            return e
-        nxt = {}
-        for d in range(-e - 1, e + 2):
-            if not -n <= d <= m:
-                continue
-            i = max(reach.get(d, -9) + 1, reach.get(d - 1, -9), reach.get(d + 1, -9) + 1)
-            i = min(i, n, m - d)
-            if i >= max(0, -d):
-                nxt[d] = slide(d, i)
-        reach = nxt
-    if limit >= most:
+    """The word edit distance if it is at most ``most``, else None.
+
+    A column of the alignment is two integers with a bit per word of ``a`` (where the distance rises and where it falls
+    from word to word), so that a word of ``b`` takes a dozen operations whatever the length. It ends as soon as the
+    corner can no longer be reached within the band of ``most``.
+    """
+    if abs(len(a) - len(b)) > most:
         return None
-    # Long texts with many edits: rows of the band.
-    width = 2 * most + 1
-    shift = np.arange(width)
-    big = n + m + 1
-    row = np.where((shift >= most) & (shift - most <= m), shift - most, big)
-    for i in range(1, n + 1):
-        j = i - most + shift
-        diag = np.where((j >= 1) & (j <= m), row + (b[np.clip(j - 1, 0, m - 1)] != a[i - 1]), big)
-        down = np.append(row[1:], big) + 1
-        new = np.where((j >= 0) & (j <= m), np.minimum(diag, down), big)
-        row = np.minimum.accumulate(new - shift) + shift
-        row = np.where((j >= 0) & (j <= m), row, big)
-        if row.min() > most:
+    # What both texts begin or end with costs nothing.
+    short = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:short] != b[:short])
+    head = int(unlike[0]) if len(unlike) else short
+    a, b = a[head:], b[head:]
+    short = min(len(a), len(b))
+    unlike = np.flatnonzero(a[::-1][:short] != b[::-1][:short])
+    tail = int(unlike[0]) if len(unlike) else short
+    a, b = a[:len(a) - tail], b[:len(b) - tail]
+    if not len(a) or not len(b):
+        distance = len(a) + len(b)
+        return distance if distance <= most else None
+    places: dict[int, int] = {}
+    for i, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << i
+    every, corner = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, distance, left = every, 0, len(a), len(b)
+    for w in b.tolist():
+        left -= 1
+        here = places.get(w, 0)
+        down = here | falls
+        across = (((here & rises) + rises) ^ rises) | here
+        up_h, down_h = falls | (every & ~(across | rises)), rises & across
+        if up_h & corner:
+            distance += 1
+        elif down_h & corner:
+            distance -= 1
+        if distance - left > most:
             return None
-    return int(row[m - n + most]) if row[m - n + most] <= most else None
+        up_h, down_h = up_h << 1 | 1, down_h << 1
+        rises, falls = (down_h | ~(down | up_h)) & every, up_h & down & every
+    return distance if distance <= most else None
 
 
 def alignment_cost(a: np.ndarray, b: np.ndarray) -> int:
