@@ -6,13 +6,18 @@ import heapq
 from collections.abc import Callable
 from itertools import count as counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callwise.llm.common import with_order, written
+from callwise.plans.storage import scratch_path
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
+#: Bytes aimed at per file of a new shard.
+FILE_BYTES = 256 << 20
+#: Rows of a plan that are sent to every task (about 30 bytes each); a longer plan meets its rows by a shuffle.
+SENT_ROWS = 2_000_000
 
 
 class FlowNetwork:
@@ -105,48 +110,105 @@ def even_capacities(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
-def reshard(rows: DataFrame, old_shard: Column, capacities: Callable[[int], list[int]], text: str = "text",
-            key: str = "doc_id", seed: int = 29) -> DataFrame:
-    """Deals all rows to new shards of given row capacities, moving as few bytes as the flow allows.
-
-    Output, a row per input row: key, size, text_crc32, old_shard, shard, slot, moved. A block is the rows of
-    one old shard within one power of two of bytes; blocks, not rows, go to the driver: at most 64 per old shard.
-    ``capacities`` gets the row count and returns rows per new shard. ``slot`` is gapless from 0 in each shard.
-    Null texts and keys are ordinary rows (a null text has ROW_BYTES bytes); a null old shard is a shard without a
-    successor, so all its rows move; equal rows may be in different shards; an empty table gives an empty result.
+def stored_shards(rows: DataFrame, old_shard: Column) -> DataFrame:
+    """The old shards as files: (rid, old_shard, row), ``row`` with all columns of the input and ``rid`` a number per row."""
+    return written(rows.select(F.monotonically_increasing_id().alias("rid"), old_shard.cast("int").alias("old_shard"),
+                               F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")), "reshard-old")
+
+
+def _blocks(slim: DataFrame) -> list[tuple[int | None, int, int, int]]:
+    """(old shard, block, rows, bytes): at most 64 blocks per old shard, two more where one is parted."""
+    blocks = [(r["old_shard"], r["_block"], r["n"], r["b"]) for r in slim.groupBy("old_shard", "_block")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()]
+    return sorted(blocks, key=lambda b: (b[0] is None, b[0] or 0, b[1]))
+
+
+def _parted(slim: DataFrame, runs: list[tuple[int | None, int, int, int, int]]) -> DataFrame | None:
+    """``slim`` with every block of which some rows stay and some go parted by size: rows above, at and below the size up to which
+    rows go. None if there is no such block."""
+    going: dict[tuple[int | None, int], list[int]] = {}
+    for old, block, _, rows, shard in runs:
+        going.setdefault((old, block), [0, 0])[shard != old] += rows
+    mixed = [(old, block, go) for (old, block), (stay, go) in going.items() if stay and go]
+    if not mixed:
+        return None
+    table = F.broadcast(slim.sparkSession.createDataFrame(mixed, "old_shard int, _block int, _go long"))
+    sizes = slim.join(table, ["old_shard", "_block"]).groupBy("old_shard", "_block", "_go", "size").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("old_shard", "_block").orderBy("size"))
+    cut = sizes.withColumn("_upto", upto).where("_upto >= _go").groupBy("old_shard", "_block").agg(F.min("size").alias("_cut"))
+    part = F.when(F.col("_cut").isNull(), 0).when(F.col("size") > F.col("_cut"), 1).when(F.col("size") == F.col("_cut"), 2).otherwise(3)
+    # One row per old shard at most.
+    return slim.join(F.broadcast(cut), ["old_shard", "_block"], "left").withColumn("_block", F.col("_block") * 4 + part).drop("_cut")
+
+
+def plan_rows(stored: DataFrame, capacities: Callable[[int], list[int]], text: str = "text", key: str = "doc_id",
+              seed: int = 29) -> DataFrame:
+    """(rid, size, old_shard, shard, slot, moved) of every stored row.
+
+    A block is the rows of one old shard within one power of two of bytes; blocks, not rows, go to the driver. The flow says
+    how many rows of a block stay. Where only some do, the block is parted at the size where that falls and the flow is solved again, so
+    that exactly the smallest rows go. ``slot`` is gapless from 0 in each shard.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    slim = written(rows.select(
-        F.col(key), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"), old_shard.cast("int").alias("old_shard"),
-        F.xxhash64(F.lit(seed), key, body).alias("_h")), "reshard-rows")
-    slim = slim.withColumn("_class", F.floor(F.log2("size")).cast("int"))
-    sizes = [(r["old_shard"], r["_class"], r["n"], r["b"]) for r in slim.groupBy("old_shard", "_class")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()]
-    sizes.sort(key=lambda b: (b[0] is None, b[0] or 0, b[1]))
-    total = sum(b[2] for b in sizes)
-    runs = plan_moves(sizes, capacities(total))
-    spark = rows.sparkSession
-    table = F.broadcast(spark.createDataFrame(runs, "_o int, _c int, _first long, _rows long, shard int"))
-    placed = with_order(slim, ["old_shard", "_class"], "_h", [key, "size", "text_crc32"], rows=total)
-    hit = placed.join(table, F.col("old_shard").eqNullSafe(F.col("_o")) & (F.col("_class") == F.col("_c"))
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
+    slim = stored.select("rid", "old_shard", F.col("row").getField(key).alias("k"), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
+                         F.crc32(body).alias("crc"), F.xxhash64(F.lit(seed), F.col("row").getField(key), body).alias("_h"))
+    slim = written(slim, "reshard-rows").withColumn("_block", F.floor(F.log2("size")).cast("int"))
+    blocks = _blocks(slim)
+    total = sum(b[2] for b in blocks)
+    new = capacities(total)
+    runs = plan_moves(blocks, new)
+    parted = _parted(slim, runs)
+    if parted is not None:
+        slim = written(parted, "reshard-parted")
+        runs = plan_moves(_blocks(slim), new)
+    table = F.broadcast(stored.sparkSession.createDataFrame(runs, "_o int, _b int, _first long, _rows long, shard int"))
+    placed = with_order(slim, ["old_shard", "_block"], "_h", ["k", "size", "crc"], rows=total)
+    hit = placed.join(table, F.col("old_shard").eqNullSafe(F.col("_o")) & (F.col("_block") == F.col("_b"))
                       & (F.col("_index") >= F.col("_first")) & (F.col("_index") < F.col("_first") + F.col("_rows")))
-    dealt = written(hit.select(key, "size", "text_crc32", "old_shard", "shard", "_h"), "reshard-dealt")
-    slots = with_order(dealt, ["shard"], "_h", [key, "size", "text_crc32"], rows=total)
-    return slots.select(key, "size", "text_crc32", "old_shard", "shard", F.col("_index").alias("slot"),
-                        (~F.col("shard").eqNullSafe(F.col("old_shard"))).alias("moved"))
+    dealt = written(hit.select("rid", "k", "size", "crc", "old_shard", "shard", "_h"), "reshard-dealt")
+    slots = with_order(dealt, ["shard"], "_h", ["k", "size", "crc"], rows=total)
+    return written(slots.select("rid", "size", "old_shard", "shard", F.col("_index").alias("slot"),
+                                (~F.col("shard").eqNullSafe(F.col("old_shard"))).alias("moved")), "reshard-plan")
 
 
-def rewrite_shards(spark: SparkSession, old_path: str, plan: DataFrame, new_path: str, key: str = "doc_id") -> list[int]:
-    """Writes the shards that gain or lose rows as new files under ``new_path``; returns their numbers.
+def rewrite_shards(stored: DataFrame, plan: DataFrame, path: str) -> tuple[DataFrame, list[int]]:
+    """The rows after the plan, (row, old_shard, shard, slot), read back from files, and the numbers of the rewritten shards.
 
-    ``old_path`` is partitioned by old_shard and keeps the files of shards that stay as they are; keys must be
-    unique; columns named shard or slot are replaced. The list has an entry per shard.
+    Shards that gain or lose rows are written as new files under ``path``, a folder per shard, in files of about FILE_BYTES in the order of
+    slots; the rows of the other shards are read where they were.
     """
-    changed = (plan.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().where("s is not null"))
+    changed = plan.where("moved").select(F.explode(F.array("old_shard", "shard")).alias("s")).where("s is not null").distinct()
     numbers = sorted(r["s"] for r in changed.collect())
-    old = spark.read.parquet(old_path)
-    affected = plan.where(F.col("shard").isin(numbers)).select(F.col(key).alias("_k"), F.col("shard").alias("_shard"), "slot")
-    out = old.drop("shard", "slot").join(affected, F.col(key).eqNullSafe(F.col("_k"))).drop("_k", "old_shard").withColumnRenamed("_shard", "shard")
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(new_path)
-    return numbers
+    n, size = plan.agg(F.count(F.lit(1)), F.sum("size")).first()
+    each = max(1, n * FILE_BYTES // max(1, size or 0))
+    seats = plan.select("rid", "shard", "slot")
+
+    def seated(here: DataFrame) -> DataFrame:
+        joined = stored.join(F.broadcast(here) if n <= SENT_ROWS else here, "rid")
+        return joined.select("row", "old_shard", "shard", "slot")
+
+    affected = seated(seats.where(F.col("shard").isin(numbers))).withColumn("_file", F.expr(f"slot div {each}"))
+    (affected.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file")
+     .write.partitionBy("shard").parquet(path))
+    fresh = stored.sparkSession.read.schema(affected.drop("_file").schema).parquet(path).select("row", "old_shard", "shard", "slot")
+    rest = seats.where(~F.col("shard").isin(numbers))
+    return (fresh.unionByName(seated(rest)) if rest.limit(1).count() else fresh), numbers
+
+
+def reshard(rows: DataFrame, old_shard: Column, capacities: Callable[[int], list[int]], text: str = "text",
+            key: str = "doc_id", seed: int = 29) -> DataFrame:
+    """Deals all rows to new shards of given row capacities, moving as few bytes as can be, and rewrites the affected shards.
+
+    Output, a row per input row, read back from the files: key, size, text_crc32, old_shard, shard, slot, moved.
+    ``capacities`` gets the row count and returns rows per new shard; old shard i goes on as new shard i.
+    Null texts and keys are ordinary rows (a null text has ROW_BYTES bytes); a null old shard is a shard without a
+    successor, so all its rows move; equal rows may be in different shards; an empty table gives an empty result. Files hold
+    every column of the input, whatever its name.
+    """
+    stored = stored_shards(rows, old_shard)
+    plan = plan_rows(stored, capacities, text, key, seed)
+    after, _ = rewrite_shards(stored, plan, scratch_path(rows.sparkSession, "reshard-new"))
+    body = F.coalesce(F.col("row").getField(text), F.lit(""))
+    return after.select(F.col("row").getField(key).alias(key), (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
+                        F.crc32(body).alias("text_crc32"), "old_shard", "shard", "slot",
+                        (~F.col("shard").eqNullSafe(F.col("old_shard"))).alias("moved"))

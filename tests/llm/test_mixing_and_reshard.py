@@ -1,7 +1,8 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,11 +168,25 @@ def test_plan_moves_the_fewest_bytes(spark):
 
 
 def test_only_changed_shards_are_rewritten(spark, tmp_path):
-    rows = [(i, f"text {i}", "s") for i in range(40)]
-    docs = corpus(spark, rows).withColumn("old_shard", F.when(F.col("doc_id") < 10, 0).when(F.col("doc_id") < 20, 1).otherwise(2))
-    docs.write.partitionBy("old_shard").parquet(str(tmp_path / "old"))
-    plan = reshard.reshard(docs, F.col("old_shard"), lambda n: [10, 10, 10, 10])
-    changed = reshard.rewrite_shards(spark, str(tmp_path / "old"), plan, str(tmp_path / "new"))
+    docs = corpus(spark, [(i, f"text {i}", "s") for i in range(40)])
+    old_shard = F.when(F.col("doc_id") < 10, 0).when(F.col("doc_id") < 20, 1).otherwise(2)
+    stored = reshard.stored_shards(docs, old_shard)
+    plan = reshard.plan_rows(stored, lambda n: [10, 10, 10, 10])
+    after, changed = reshard.rewrite_shards(stored, plan, str(tmp_path / "new"))
     assert changed == [2, 3]
     new = spark.read.parquet(str(tmp_path / "new"))
     assert new.count() == 20 and {r["shard"] for r in new.select("shard").distinct().collect()} == {2, 3}
+    got = after.select("row.*", F.col("shard").alias("to"), F.col("slot").alias("at")).collect()
+    assert sorted((r["doc_id"], r["text"], r["_h"], r["shard"]) for r in got) == [(i, f"text {i}", "h", "x") for i in range(40)]
+    assert len({(r["to"], r["at"]) for r in got}) == 40 and {r["to"] for r in got if r["doc_id"] < 10} == {0}
+
+
+def test_the_smallest_rows_move_and_every_row_is_read_back(spark, rows):
+    docs = corpus(spark, rows)
+    got = reshard.reshard(docs, F.pmod(F.coalesce("doc_id", F.lit(3)), F.lit(3)), lambda n: reshard.even_capacities(n, 5)).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
+        (i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    for shard in range(3):
+        mine = sorted((r["size"] for r in got if r["old_shard"] == shard), reverse=True)
+        stay = sorted((r["size"] for r in got if r["old_shard"] == r["shard"] == shard), reverse=True)
+        assert len(stay) < len(mine) and stay == mine[:len(stay)]
