@@ -31,9 +31,11 @@ LENGTHS = ((25, 2), (63, 3), (250, 4), (None, 5))
 PLACES = 0x1FF
 #: Sketches whose buckets are compared in each round; classes joined in one round are not compared again in the next.
 ROUNDS = (1, 9, 70)
-#: Members of a cell, and words of their texts together.
-CELL_MEMBERS = 512
+#: Members of a block of a crowded bucket, whose signatures are compared (about 400 bytes a member), and words of their texts together.
+CELL_MEMBERS = 4096
 CELL_WORDS = 4_000_000
+#: Members of a block whose texts are aligned in one go.
+LINK_MEMBERS = 512
 #: Minimum hashes of the bag of words.
 BAG_HASHES = 64
 #: Hashes computed at once.
@@ -306,22 +308,22 @@ def open_cells(members: DataFrame, size: int) -> DataFrame:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one (bucket, cell) after the other; they stand together."""
+    """The rows of one (bucket, cell, part) after the other; they stand together."""
     rest: list[pa.Table] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         part = pa.Table.from_batches([batch])
-        bucket, cell = part["bucket"].to_numpy(), part["cell"].to_numpy()
-        edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])) + 1
+        keys = np.stack([part[c].to_numpy() for c in ("bucket", "cell", "part")], axis=1)
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         starts = [0, *edges.tolist()]
         for a, b in zip(starts, [*starts[1:], len(part)]):
-            if rest and (bucket[a], cell[a]) != last:
+            if rest and tuple(keys[a]) != last:
                 yield pa.concat_tables(rest).combine_chunks()
                 rest = []
             rest.append(part.slice(a, b - a))
-            last = bucket[a], cell[a]
+            last = tuple(keys[a])
     if rest:
         yield pa.concat_tables(rest).combine_chunks()
 
@@ -352,25 +354,32 @@ class Cell:
 def _dealt(cells: DataFrame) -> DataFrame:
     """Cells in as many tasks as there are shuffle partitions: their work is large against their bytes, so they are not merged."""
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
+    return cells.repartition(parts, "bucket", "cell", "part").sortWithinPartitions("bucket", "cell", "part")
 
 
-def open_members(cells: DataFrame, similarity: float) -> DataFrame:
-    """The rows of ``cells`` that have a candidate in their cell; only their texts need be fetched."""
-    dealt = _dealt(cells)
+def open_members(cells: DataFrame, similarity: float, size: int = LINK_MEMBERS) -> DataFrame:
+    """The rows of ``cells`` that have a candidate in their cell; only their texts need be fetched.
+
+    A large cell is cut into parts, each a pair of blocks with a candidate between them; a row is in the parts where it has one.
+    """
+    dealt = _dealt(cells.withColumn("part", F.lit(0).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _cells(batches):
             cell, n = Cell(rows, similarity), len(rows)
-            met = np.zeros(n, bool)
+            met: dict[tuple[int, int], np.ndarray] = {}
             for x in range(n - 1):
                 found = cell.candidates(x, np.arange(x + 1, n))
-                met[found] = True
-                met[x] |= len(found) > 0
-            if met.any():
-                yield from rows.filter(pa.array(met)).to_batches()
+                for block in np.unique(found // size).tolist():
+                    here = met.setdefault((x // size, block), np.zeros(n, bool))
+                    here[found[found // size == block]] = True
+                    here[x] = True
+            at = rows.schema.get_field_index("part")
+            for part, pair in enumerate(sorted(met)):
+                some = rows.filter(pa.array(met[pair]))
+                yield from some.set_column(at, "part", pa.array(np.full(len(some), part, np.int64))).to_batches()
 
-    return dealt.mapInArrow(run, cells.schema)
+    return dealt.mapInArrow(run, dealt.schema)
 
 
 def cell_links(cells: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -431,16 +440,17 @@ def joined_classes(labels: DataFrame | None, found: DataFrame) -> DataFrame:
         fresh.select("node", "label")), "dup-labels")
 
 
-def joined_in_cells(cells: DataFrame, described: DataFrame, texts: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame | None:
-    """The labels after the links of ``cells``."""
+def joined_in_cells(cells: DataFrame, described: DataFrame, texts: DataFrame, labels: DataFrame | None, similarity: float,
+                    part: int = LINK_MEMBERS) -> DataFrame | None:
+    """The labels after the links of ``cells``; ``described`` holds the marks of the sketches up to theirs."""
     kind = F.floor(F.col("bucket").bitwiseAND(PLACES) / SKETCHES).cast("int")
     full = cells.withColumn("kind", kind).join(described, ["node", "kind"])
-    found = written(cell_links(written(open_members(full, similarity), "dup-open"), texts, similarity), "dup-links")
+    found = written(cell_links(written(open_members(full, similarity, part), "dup-open"), texts, similarity), "dup-links")
     return joined_classes(labels, found) if found.limit(1).count() else labels
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-                    size: int = CELL_MEMBERS) -> DataFrame:
+                    size: int = CELL_MEMBERS, part: int = LINK_MEMBERS) -> DataFrame:
     """A row per input row: key, class_id (least key of its class), class_size (rows), kept (the class's row with the least key
     and hash; rows equal in both are all kept), _x (hash of its text).
 
@@ -460,16 +470,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     wanted = every.select("node").distinct().join(nodes.select("node", "rep._k", "rep._x"), "node")
     source = docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), F.make_valid_utf8(text).alias("text"))
     texts = written(source.alias("s").join(wanted.alias("w"), same("s", "w", ["_k", "_x"])).select("node", "text").dropDuplicates(["node"]), "dup-texts")
-    described = nodes.select("node", "bag", F.inline("sets"))
+    sets = nodes.select("node", "bag", F.inline("sets"))
     labels, begin, place = None, 0, F.col("bucket").bitwiseAND(PLACES) % SKETCHES
     for many in ROUNDS:
+        # Whether two texts met in an earlier sketch is told by 32 bits of its marks.
+        described = sets.select("node", "bag", "kind", F.transform(F.slice("marks", 1, begin + many), lambda m: F.shiftright(m, 32).cast("int")).alias("marks"))
         members = written(with_labels(every.where((place >= begin) & (place < begin + many)), labels), "dup-members")
         cells = written(first_cells(members, size), "dup-cells")
-        labels = joined_in_cells(cells.drop("cut"), described, texts, labels, similarity)
+        labels = joined_in_cells(cells.drop("cut"), described, texts, labels, similarity, part)
         cut = cells.where("cut").select("bucket").distinct()
         if labels is not None and cut.limit(1).count():
             again = written(with_labels(members.drop("label").join(cut, "bucket"), labels), "dup-members")
-            labels = joined_in_cells(written(open_cells(again, size), "dup-cells"), described, texts, labels, similarity)
+            labels = joined_in_cells(written(open_cells(again, size), "dup-cells"), described, texts, labels, similarity, part)
         begin += many
     if labels is None:
         labels = nodes.select("node", F.col("node").alias("label")).where("false")

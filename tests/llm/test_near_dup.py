@@ -140,8 +140,8 @@ def test_classes_equal_brute_force(spark, rows):
     assert len(kept) == len({(r["class_id"], r["class_size"]) for r in got if r["class_id"] is not None}) + len({r["class_size"] for r in got if r["class_id"] is None})
 
 
-@pytest.mark.parametrize("size", [near_dup.CELL_MEMBERS, 8])
-def test_no_pair_of_a_crowded_bucket_stays_open(spark, monkeypatch, size):
+@pytest.mark.parametrize("size, part", [(near_dup.CELL_MEMBERS, near_dup.LINK_MEMBERS), (8, near_dup.LINK_MEMBERS), (near_dup.CELL_MEMBERS, 8)])
+def test_no_pair_of_a_crowded_bucket_stays_open(spark, monkeypatch, size, part):
     """All texts share one bucket, whose least member is of another class than the copies."""
     def one(words, k, kind=0):
         n = near_dup.SKETCHES
@@ -152,7 +152,7 @@ def test_no_pair_of_a_crowded_bucket_stays_open(spark, monkeypatch, size):
     rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randint(64, 80)))) for i in range(60)]
     rows += [(100 + i, " ".join(edited(rng, t.split(), 0.05))) for i, t in rows[:25]]
     rows += [(200 + i, " ".join(edited(rng, rows[30][1].split(), 0.02))) for i in range(30)]
-    found = near_dup.near_duplicates(corpus(spark, rows), size=size).collect()
+    found = near_dup.near_duplicates(corpus(spark, rows), size=size, part=part).collect()
     got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in found}
     want = {i: (i % 100, 2 if i % 100 < 25 else 1) for i, _ in rows[:85]}
     want.update({i: (30, 31) for i in [30, *range(200, 230)]})
