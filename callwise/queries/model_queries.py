@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callwise.config import Settings
-from callwise.operators import evaluation, features, models, search, split
+from callwise.operators import evaluation, features, models, search, split, text_space
 from callwise.plans.storage import scratch_path
 from callwise.queries import adapters as A
 from callwise.queries.registry import query
@@ -110,6 +110,22 @@ def text_embeddings(spark: SparkSession, d: str) -> DataFrame:
                        F.round(F.sqrt(squares), 3).alias("norm"))
 
 
+@query("text_space_terms", r"""
+WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)
+SELECT term, count(*) AS texts FROM w GROUP BY term ORDER BY texts DESC, term LIMIT 16384""")
+def text_space_terms(spark: SparkSession, d: str) -> DataFrame:
+    return text_space.text_terms(A.doc_calls(spark, d), "current_transcript")
+
+
+@query("text_space_vectors")
+def text_space_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Dense vectors of all texts in the space of the train part."""
+    docs = split.stratified_split(A.doc_calls(spark, d), "interaction_id", "next_step")
+    space = text_space.fit_text_space(split.train_part(docs), "current_transcript")
+    return text_space.space_vectors(docs.select("interaction_id", "current_transcript"), "current_transcript",
+                                    text_space.share_space(docs, space)).select("interaction_id", "embedding")
+
+
 @query("feature_matrix", """
 SELECT doc_id AS interaction_id, (SELECT 2 + count(DISTINCT source) + 768 FROM documents) AS width,
   (SELECT 2 + count(DISTINCT source) + 768 FROM documents) AS n_names FROM documents""")
