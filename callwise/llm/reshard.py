@@ -17,7 +17,7 @@ ROW_BYTES = 16
 #: Bytes aimed at per file of a new shard.
 FILE_BYTES = 256 << 20
 #: Rows of a plan that are sent to every task (about 30 bytes each); a longer plan meets its rows by a shuffle.
-SENT_ROWS = 2_000_000
+SENT_ROWS = 500_000
 
 
 class FlowNetwork:
@@ -112,8 +112,11 @@ def even_capacities(rows: int, shards: int) -> list[int]:
 
 def stored_shards(rows: DataFrame, old_shard: Column) -> DataFrame:
     """The old shards as files: (rid, old_shard, row), ``row`` with all columns of the input and ``rid`` a number per row."""
-    return written(rows.select(F.monotonically_increasing_id().alias("rid"), old_shard.cast("int").alias("old_shard"),
-                               F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row")), "reshard-old")
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), old_shard.cast("int").alias("old_shard"),
+                           F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    path = scratch_path(rows.sparkSession, "reshard-old")
+    numbered.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
 def _blocks(slim: DataFrame) -> list[tuple[int | None, int, int, int]]:
@@ -189,7 +192,7 @@ def rewrite_shards(stored: DataFrame, plan: DataFrame, path: str) -> tuple[DataF
 
     affected = seated(seats.where(F.col("shard").isin(numbers))).withColumn("_file", F.expr(f"slot div {each}"))
     (affected.repartition("shard", "_file").sortWithinPartitions("shard", "slot").drop("_file")
-     .write.partitionBy("shard").parquet(path))
+     .write.option("compression", "zstd").partitionBy("shard").parquet(path))
     fresh = stored.sparkSession.read.schema(affected.drop("_file").schema).parquet(path).select("row", "old_shard", "shard", "slot")
     rest = seats.where(~F.col("shard").isin(numbers))
     return (fresh.unionByName(seated(rest)) if rest.limit(1).count() else fresh), numbers
