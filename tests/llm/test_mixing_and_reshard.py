@@ -181,7 +181,9 @@ def test_only_changed_shards_are_rewritten(spark, tmp_path):
     assert len({(r["to"], r["at"]) for r in got}) == 40 and {r["to"] for r in got if r["doc_id"] < 10} == {0}
 
 
-def test_the_smallest_rows_move_and_every_row_is_read_back(spark, rows):
+@pytest.mark.parametrize("sent", [reshard.SENT_ROWS, 0])
+def test_the_smallest_rows_move_and_every_row_is_read_back(spark, rows, monkeypatch, sent):
+    monkeypatch.setattr(reshard, "SENT_ROWS", sent)
     docs = corpus(spark, rows)
     got = reshard.reshard(docs, F.pmod(F.coalesce("doc_id", F.lit(3)), F.lit(3)), lambda n: reshard.even_capacities(n, 5)).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter(
