@@ -22,3 +22,10 @@ def test_entry_imports_without_the_optional_parts(tmp_path, gone):
     assert done.returncode == 0, done.stderr
     count, pipeline, corpus = done.stdout.split()
     assert int(count) > 50 and pipeline == "False" and corpus == str("llm" not in gone)
+
+
+def test_a_pipeline_elsewhere_on_the_path_is_not_registered(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "corpus_pipeline.py"))
+    code = "import __spark_entry__ as e; print('pipeline' in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(ROOT)})
+    assert done.returncode == 0 and done.stdout.split()[-1] == "False", done.stderr
