@@ -139,6 +139,28 @@ def test_cross_validation_and_failure(table):
     assert models.mean_std([0.5, 0.7]) == pytest.approx((0.6, 0.1))
 
 
+def test_pipelines_for_texts_and_for_word_counts_agree(calls, fitted_features):
+    texts = calls.withColumn("current_transcript", F.when(F.col("id") % 7 > 0, F.col("current_transcript")))
+    counted = features.word_counts(texts, dim=16)
+    whole, rest = features.fit_counted(counted.drop(*features.TEXTS), SMALL)
+    known = {r["id"]: r["features"] for r in features.add_features(whole, texts).collect()}
+    assert {r["id"]: r["features"] for r in features.add_features(rest, counted.drop(*features.TEXTS)).collect()} == known
+    again = features.fit_features(texts, SMALL)
+    assert {r["id"]: r["features"] for r in features.add_features(again, texts).collect()} == known
+
+
+def test_documents_are_read_once_for_all_fits(spark, tmp_path):
+    from callwise.queries import model_queries
+
+    docs = [(i, f"word{i % 5} text {i % 3}" if i % 9 else None, ("de", "en", "es", "fr")[i % 4], "src", 10 + i) for i in range(80)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    pipeline, coded = model_queries.doc_features(spark, str(tmp_path))
+    assert coded.inputFiles() and not any("documents" in f for f in coded.inputFiles())
+    raw = features.add_features(pipeline, model_queries.doc_table(spark, str(tmp_path))).select("interaction_id", "features")
+    # Numbers of null texts are NaN, so vectors are compared as text.
+    assert {r["interaction_id"]: str(r["features"]) for r in raw.collect()} == {r["interaction_id"]: str(r["features"]) for r in coded.collect()}
+
+
 def test_comparison_ranks_models(table):
     rows = models.compare_models(
         table.where("fold <> 0"), table.where("fold = 0"), LABELS,
