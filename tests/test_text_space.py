@@ -93,3 +93,18 @@ def test_vectors_go_through_the_cache(spark, fitted, texts, tmp_path):
     for _ in range(2):
         rows = cached_embeddings(df, "t", str(tmp_path / "cache"), "space-1", encode)
         assert rows.where(F.size("embedding") == 12).count() == len(texts)
+
+
+def test_products_of_entries_stay_small_and_sum_up(monkeypatch):
+    assert text_space.ENTRIES * (384 + 16) * 8 <= 2 << 20
+    rng = np.random.default_rng(1)
+    row, term, value = np.sort(rng.integers(0, 7, 200)), rng.integers(0, 11, 200), rng.random(200)
+    matrix = np.zeros((7, 11))
+    np.add.at(matrix, (row, term), value)
+    onto, x, back = rng.normal(size=(11, 3)), rng.normal(size=(7, 3)), np.zeros((11, 3))
+    for most in (9, text_space.ENTRIES):
+        monkeypatch.setattr(text_space, "ENTRIES", most)
+        assert np.allclose(text_space._projected(row, term, value, 7, onto), matrix @ onto)
+        back[:] = 0
+        text_space._back(row, term, value, x, back)
+        assert np.allclose(back, matrix.T @ x)
