@@ -25,8 +25,9 @@ FIT_ROWS = 200_000
 #: Tasks that multiply, each with a sum of terms x columns numbers (50 MB as set), and texts that make a task worth while.
 FIT_TASKS = 32
 TASK_ROWS = 2_000
-#: Entries of the term matrix that a task multiplies at once: their products with all columns (2 MB) stay in the processor's cache.
-ENTRIES = 1 << 9
+#: Entries of the term matrix whose sums are added at once, and products that are held for that: 2 MB, which stay in the processor's cache.
+ENTRIES = 1 << 14
+PRODUCTS = 1 << 18
 
 
 @dataclass
@@ -62,30 +63,37 @@ def _entries(lists: pa.Array, terms: pa.Array, weights: np.ndarray) -> tuple[np.
     return row, term, value / np.where(length[row] > 0, length[row], 1.0)
 
 
-def _summed(keys: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys and the sums of their rows; equal keys stand together."""
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(parts, first, axis=0)
+def _add_products(key: np.ndarray, other: np.ndarray, value: np.ndarray, lines: np.ndarray, out: np.ndarray) -> None:
+    """Adds the sums of ``lines[other] * value`` to the lines ``key`` of ``out``; equal keys stand together. The entries of a key are not
+    parted below ENTRIES, so sums do not depend on PRODUCTS; of a key with many entries, some columns are summed at a time."""
+    width = lines.shape[1]
+    most = max(1, PRODUCTS // max(1, width))
+    for at in range(0, len(key), ENTRIES):
+        end = min(at + ENTRIES, len(key))
+        first = at + np.flatnonzero(np.concatenate([[True], key[at + 1:end] != key[at:end - 1]]))
+        stop = np.append(first[1:], end)
+        a = 0
+        while a < len(first):
+            b = max(a + 1, int(np.searchsorted(stop, first[a] + most, "right")))
+            lo, hi = first[a], stop[b - 1]
+            step = max(1, PRODUCTS // int(hi - lo))
+            for c in range(0, width, step):
+                parts = lines[other[lo:hi], c:c + step] * value[lo:hi, None]
+                out[key[first[a:b]], c:c + step] += np.add.reduceat(parts, first[a:b] - lo, axis=0)
+            a = b
 
 
 def _projected(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, onto: np.ndarray) -> np.ndarray:
     """The product of n matrix rows with ``onto``."""
     out = np.zeros((n, onto.shape[1]))
-    for at in range(0, len(row), ENTRIES):
-        here = slice(at, at + ENTRIES)
-        key, total = _summed(row[here], onto[term[here]] * value[here, None])
-        out[key] += total
+    _add_products(row, term, value, onto, out)
     return out
 
 
 def _back(row: np.ndarray, term: np.ndarray, value: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
     """Adds the product of the transposed matrix rows with ``x`` to ``out``."""
     order = np.argsort(term, kind="stable")
-    row, term, value = row[order], term[order], value[order]
-    for at in range(0, len(row), ENTRIES):
-        here = slice(at, at + ENTRIES)
-        key, total = _summed(term[here], x[row[here]] * value[here, None])
-        out[key] += total
+    _add_products(term[order], row[order], value[order], x, out)
 
 
 def _multiplied(texts: DataFrame, terms: list[str], weights: np.ndarray, q: np.ndarray, inner: bool) -> np.ndarray:

@@ -95,16 +95,18 @@ def test_vectors_go_through_the_cache(spark, fitted, texts, tmp_path):
         assert rows.where(F.size("embedding") == 12).count() == len(texts)
 
 
-def test_products_of_entries_stay_small_and_sum_up(monkeypatch):
-    assert text_space.ENTRIES * (384 + 16) * 8 <= 2 << 20
+def test_products_of_entries_stay_small_and_sums_keep_their_order(monkeypatch):
+    assert text_space.PRODUCTS * 8 <= 2 << 20
     rng = np.random.default_rng(1)
     row, term, value = np.sort(rng.integers(0, 7, 200)), rng.integers(0, 11, 200), rng.random(200)
     matrix = np.zeros((7, 11))
     np.add.at(matrix, (row, term), value)
-    onto, x, back = rng.normal(size=(11, 3)), rng.normal(size=(7, 3)), np.zeros((11, 3))
-    for most in (9, text_space.ENTRIES):
-        monkeypatch.setattr(text_space, "ENTRIES", most)
-        assert np.allclose(text_space._projected(row, term, value, 7, onto), matrix @ onto)
-        back[:] = 0
+    onto, x, found = rng.normal(size=(11, 3)), rng.normal(size=(7, 3)), []
+    monkeypatch.setattr(text_space, "ENTRIES", 90)
+    for most in (1000, 100, 30, 1):
+        monkeypatch.setattr(text_space, "PRODUCTS", most)
+        back = np.zeros((11, 3))
         text_space._back(row, term, value, x, back)
-        assert np.allclose(back, matrix.T @ x)
+        found.append((text_space._projected(row, term, value, 7, onto).tolist(), back.tolist()))
+        assert np.allclose(found[-1][0], matrix @ onto) and np.allclose(found[-1][1], matrix.T @ x)
+    assert all(f == found[0] for f in found)
