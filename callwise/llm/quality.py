@@ -26,6 +26,8 @@ NEIGHBOURS = 25
 #: Of 5 parts of the documents the one that is never learnt from.
 FOLDS = 5
 THRESHOLD = 0.3
+#: Rows whose counts by bin are spread out at once in the fit.
+ROWS_AT_ONCE = 256
 
 _SHAPE = np.zeros(256, np.uint64)
 _SHAPE[128:] = _SHAPE[ord("a"):ord("z") + 1] = 1  # letters, those outside ASCII with them
@@ -106,16 +108,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             counts = [text_counts(t) for t in batch.column(1).to_pylist()]
             at = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(at, pa.list_(pa.int32())),
-                 pa.array([c[i] for c, i in zip(counts, at)], pa.list_(pa.float32()))], names=["k", "y", "at", "n"])
+                [batch.column(0), batch.column(2), pa.array([i.astype(np.int32).tobytes() for i in at], pa.binary()),
+                 pa.array([c[i].astype(np.float32).tobytes() for c, i in zip(counts, at)], pa.binary())], names=["k", "y", "at", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
-    found = sorted(sample.select(key, text, "_y").mapInArrow(sparse, f"k {kind}, y int, at array<int>, n array<float>").collect())
+    found = sorted(sample.select(key, text, "_y").mapInArrow(sparse, f"k {kind}, y int, at binary, n binary").collect())
     idf = corpus_rarity(docs, text)
-    counts = np.zeros((len(found), BINS))
-    for row, r in zip(counts, found):
-        row[r["at"]] = r["n"]
-    x = weighted(counts, idf)
+    # The driver holds the sample once, in single precision; counts are spread out for a few rows at a time.
+    x = np.empty((len(found), BINS), np.float32)
+    for first in range(0, len(found), ROWS_AT_ONCE):
+        some = found[first:first + ROWS_AT_ONCE]
+        counts = np.zeros((len(some), BINS))
+        for row, r in zip(counts, some):
+            row[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.float32)
+        x[first:first + len(some)] = weighted(counts, idf)
     basis = singular_vectors(x, min(RANK, max(1, len(found)))) if len(found) else np.zeros((BINS, 1), np.float32)
     return {"idf": idf, "basis": basis, "vectors": project(x, basis), "labels": np.array([r["y"] for r in found], np.float32)}
 

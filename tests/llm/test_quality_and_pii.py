@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -32,6 +33,26 @@ def test_quality_on_held_out_documents(spark, docs):
     assert all(flag[r["doc_id"]] for r in held)
 
 
+def test_quality_fit_holds_its_sample_once(spark):
+    words = ["one", "Two", "%%3", "|", "a1b2", "(x)", "ÄÖ", "9.9", "#"]
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words, k=40)), i % 2) for i in range(2_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    tracemalloc.start()
+    try:
+        model = quality.fit(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    n = len(model["labels"])
+    assert n > 1_500 and peak < 4 * (4 * n * quality.BINS), peak
+    # The same as from all counts at once, in the order of the keys.
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert model["labels"].tolist() == [r[2] for r in learnt]
+    x = quality.weighted(np.stack([quality.text_counts(r[1]) for r in learnt]), model["idf"])
+    assert np.array_equal(model["vectors"], quality.project(x, quality.singular_vectors(x, quality.RANK)))
+
+
 def test_quality_votes_equal_all_products(spark):
     rng = np.random.default_rng(1)
     texts = [" ".join(rng.choice(["one", "Two", "%%3", "|"], 20)) for _ in range(60)]
