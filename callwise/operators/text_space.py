@@ -20,9 +20,7 @@ from callwise.config import DEFAULTS
 
 #: Terms of a space: the ones that most texts hold.
 TERMS = 16_384
-#: Different texts that the directions are fitted on, at most about; terms are counted over all texts.
-FIT_ROWS = 200_000
-#: Tasks that multiply, each with a sum of terms x columns numbers (50 MB as set), and texts that make a task worth while.
+#: Tasks that multiply, more where more run at once, each with a sum of terms x columns numbers (50 MB as set), and texts that make a task worth while.
 FIT_TASKS = 32
 TASK_ROWS = 2_000
 #: Entries of the term matrix whose sums are added at once, and products that are held for that: 2 MB, which stay in the processor's cache.
@@ -51,16 +49,34 @@ def text_terms(df: DataFrame, text: str, most: int = TERMS) -> DataFrame:
     return counts.orderBy(F.desc("texts"), "term").limit(most)
 
 
-def _entries(lists: pa.Array, terms: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, value) of the texts of a batch, by row; rows have length 1."""
+def _counted(lists: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, times) of the texts of a batch, by row."""
     size = np.diff(lists.offsets.to_numpy())
     place = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy()
     row = np.repeat(np.arange(len(size)), size)[place >= 0]
-    cell, times = np.unique(row * len(weights) + place[place >= 0], return_counts=True)
-    row, term = np.divmod(cell, len(weights))
+    cell, times = np.unique(row * len(terms) + place[place >= 0], return_counts=True)
+    return *np.divmod(cell, len(terms)), times
+
+
+def _weighed(row: np.ndarray, term: np.ndarray, times: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    """The value of each entry of n texts; rows have length 1."""
     value = times * weights[term]
-    length = np.sqrt(np.bincount(row, value * value, len(size)))
-    return row, term, value / np.where(length[row] > 0, length[row], 1.0)
+    length = np.sqrt(np.bincount(row, value * value, n))
+    return value / np.where(length[row] > 0, length[row], 1.0)
+
+
+def _term_counts(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, times): the known terms of every text of ``words``, looked up once for all passes; texts without one are left out."""
+    sent = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.string())
+        for batch in batches:
+            row, term, times = _counted(batch.column(0), known)
+            ends = np.append(0, np.cumsum(np.unique(row, return_counts=True)[1])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (term, times)], names=["term", "times"])
+
+    return texts.mapInArrow(run, "term array<int>, times array<int>")
 
 
 def _add_products(key: np.ndarray, other: np.ndarray, value: np.ndarray, lines: np.ndarray, out: np.ndarray) -> None:
@@ -96,18 +112,20 @@ def _back(row: np.ndarray, term: np.ndarray, value: np.ndarray, x: np.ndarray, o
     _add_products(term[order], row[order], value[order], x, out)
 
 
-def _multiplied(texts: DataFrame, terms: list[str], weights: np.ndarray, q: np.ndarray, inner: bool) -> np.ndarray:
-    """A'Aq, or q'A'Aq with ``inner``, for the matrix A of the texts. Each task sums its texts; its sums meet by line of the result."""
-    sent = texts.sparkSession.sparkContext.broadcast((terms, weights, q))
+def _multiplied(texts: DataFrame, weights: np.ndarray, q: np.ndarray, inner: bool) -> np.ndarray:
+    """A'Aq, or q'A'Aq with ``inner``, for the matrix A of the texts' term counts. Each task sums its texts; its sums meet by line of the result."""
+    sent = texts.sparkSession.sparkContext.broadcast((weights, q))
     lines = q.shape[1] if inner else q.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, scale, onto = sent.value
-        known, total, any_row = pa.array(names, pa.string()), np.zeros((lines, onto.shape[1])), False
+        scale, onto = sent.value
+        total, any_row = np.zeros((lines, onto.shape[1])), False
         for batch in batches:
-            row, term, value = _entries(batch.column(0), known, scale)
+            size, (term, times) = pc.list_value_length(batch.column(0)).to_numpy(), (c.flatten().to_numpy() for c in batch.columns)
+            row = np.repeat(np.arange(len(size)), size)
             if len(row):
                 any_row = True
+                value = _weighed(row, term, times, len(size), scale)
                 x = _projected(row, term, value, batch.num_rows, onto)
                 if inner:
                     total += x.T @ x
@@ -131,12 +149,12 @@ def _multiplied(texts: DataFrame, terms: list[str], weights: np.ndarray, q: np.n
     return out
 
 
-def fit_text_space(df: DataFrame, text: str, dim: int = DEFAULTS.embedding_dim, terms: int = TERMS, fit_rows: int = FIT_ROWS,
+def fit_text_space(df: DataFrame, text: str, dim: int = DEFAULTS.embedding_dim, terms: int = TERMS, fit_rows: int | None = None,
                    extra: int = 16, passes: int = 2, seed: int = 17) -> TextSpace:
     """The space of the ``dim`` strongest directions of the term matrix.
 
-    Terms and their weights, ln((1 + texts) / (1 + texts with the term)), come from all texts; directions from different texts, of
-    more than ``fit_rows`` rows those with the least hashes. Each pass multiplies a random matrix of ``dim + extra`` columns with the texts; the driver holds
+    Terms and their weights, ln((1 + texts) / (1 + texts with the term)), come from all texts; directions from all different texts, or,
+    if ``fit_rows`` is given, from about so many by their hashes. Each pass multiplies a random matrix of ``dim + extra`` columns with the texts; the driver holds
     that matrix, terms x columns, whatever the number of texts. A null text is empty; a corpus without words gives a space without terms.
     """
     found = [(r["term"], r["texts"]) for r in text_terms(df, text, terms).collect()]
@@ -149,15 +167,16 @@ def fit_text_space(df: DataFrame, text: str, dim: int = DEFAULTS.embedding_dim,
         return TextSpace(names, weights, basis, strengths)
     mark = F.xxhash64(F.lit(seed), text)
     chosen = df.select(mark.alias("_m"), F.col(text).alias("_t"))
-    if n > fit_rows:
+    if fit_rows is not None and n > fit_rows:
         chosen = chosen.where(F.shiftrightunsigned("_m", 34) < int((1 << 30) * fit_rows / n))
-    tasks = max(1, min(FIT_TASKS, min(n, fit_rows) // TASK_ROWS))
-    tokens = chosen.dropDuplicates(["_m"]).select(words(F.col("_t")).alias("words")).repartition(tasks).persist()
+    tasks = max(1, min(max(FIT_TASKS, df.sparkSession.sparkContext.defaultParallelism), n // TASK_ROWS))
+    # Term counts are smaller than texts, so these are what is dealt out and kept.
+    counts = _term_counts(chosen.dropDuplicates(["_m"]).select(words(F.col("_t")).alias("words")), names).repartition(tasks).persist()
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(names), width)))[0]
     for _ in range(passes):
-        q = np.linalg.qr(_multiplied(tokens, names, weights, q, False))[0]
-    power, turn = np.linalg.eigh(_multiplied(tokens, names, weights, q, True))
-    tokens.unpersist()
+        q = np.linalg.qr(_multiplied(counts, weights, q, False))[0]
+    power, turn = np.linalg.eigh(_multiplied(counts, weights, q, True))
+    counts.unpersist()
     power, turn = np.maximum(power[::-1], 0.0), turn[:, ::-1]
     kept = min(dim, int((power > 1e-10 * max(power[0], 1e-300)).sum()))
     basis[:, :kept], strengths[:kept] = (q @ turn[:, :kept]), np.sqrt(power[:kept])
@@ -177,8 +196,8 @@ def space_vectors(df: DataFrame, text: str, space: Broadcast, out: str = "embedd
         for at in range(0, len(lists), 1024):
             some = lists.slice(at, 1024)
             some = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(some).to_numpy())]), pa.int32()), some.flatten())
-            row, term, value = _entries(some, known, here.weights) if len(known) else (np.zeros(0, int),) * 3
-            x = _projected(row, term, value, len(some), basis)
+            row, term, times = _counted(some, known) if len(known) else (np.zeros(0, int),) * 3
+            x = _projected(row, term, _weighed(row, term, times, len(some), here.weights), len(some), basis)
             length = np.linalg.norm(x, axis=1, keepdims=True)
             x = (x / np.where(length > 0, length, 1.0)).astype(np.float32)
             results.append(pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())))

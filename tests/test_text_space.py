@@ -87,6 +87,15 @@ def test_bounded_fit_and_odd_tables(spark, texts):
     assert text_space.space_vectors(df.where("false"), "t", text_space.share_space(df, few)).collect() == []
 
 
+def test_directions_come_from_all_different_texts(spark):
+    """Half of 240,000 different texts hold the only term, so its column has that many ones; each text comes twice here and there."""
+    n = 240_000
+    rows = spark.range(n).unionAll(spark.range(0, n, 400)).selectExpr("concat(if(id % 2 = 0, 'a', 'b'), ' x', id) AS t")
+    space = text_space.fit_text_space(rows, "t", dim=2, terms=1)
+    assert space.terms == ["a"] and space.weights[0] > 0
+    assert space.strengths[0] ** 2 == pytest.approx(n / 2, rel=1e-9)
+
+
 def test_vectors_go_through_the_cache(spark, fitted, texts, tmp_path):
     df = frame(spark, texts)
     encode = text_space.space_encoder(text_space.share_space(df, fitted))
