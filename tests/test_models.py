@@ -255,3 +255,14 @@ def test_the_best_candidate_of_shared_passes_equals_fits_one_by_one(table):
     together = models.fold_scores(fits, table, LABELS, 3)
     assert together == [models.cross_validate(f, table, LABELS, 3) for f in fits]
     assert models.spec_of(models.fit_logistic) is None and models.spec_of(fits[1]).min_samples_split == 9
+
+
+def test_tune_all_reads_the_whole_train_part(spark, tmp_path, monkeypatch):
+    from callwise.queries import model_queries
+
+    rows = [(i, f"text {i} {'ab'[i % 2]}", ("de", "en", "es", "fr")[i % 4], f"s{i % 3}", 10 + i % 7) for i in range(800)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    monkeypatch.setattr(model_queries.search, "tune_all", lambda train, test, labels: seen.extend([train.count(), test.count()]) or (None, {}))
+    model_queries.tune_all(spark, str(tmp_path))
+    assert seen == [640, 160]
